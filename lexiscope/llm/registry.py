@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexiscope.llm import q_mixing, q_sharding
+from lexiscope.llm import q_decontaminate, q_mixing, q_sharding
 
-_MODULES = (q_sharding, q_mixing)
+_MODULES = (q_sharding, q_mixing, q_decontaminate)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
