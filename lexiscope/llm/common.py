@@ -53,3 +53,8 @@ def free_name(df: DataFrame, wanted: str) -> str:
 def bernoulli(key: Column, rate: float | Column, seed: int) -> Column:
     """True for about ``rate`` of the keys, always for the same ones."""
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < F.lit(float(1 << 30)) * rate
+
+
+def fold(doc_id: Column, modulus: int) -> Column:
+    """crc32 of the id's text modulo ``modulus``; null for a null id."""
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
