@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexiscope.llm import q_decontaminate, q_langid, q_mixing, q_secrets, q_sharding, q_tokens, q_toxicity
+from lexiscope.llm import q_decontaminate, q_langid, q_mixing, q_secrets, q_sharding, q_tokens, q_topk, q_toxicity
 
-_MODULES = (q_sharding, q_mixing, q_decontaminate, q_tokens, q_secrets, q_langid, q_toxicity)
+_MODULES = (q_sharding, q_mixing, q_decontaminate, q_tokens, q_secrets, q_langid, q_toxicity, q_topk)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
