@@ -7,8 +7,9 @@
 3. Splitting tree: the quotas of all sources are split between the two halves of the output
    shards by an exact multivariate-hypergeometric draw (source after source, each conditional on
    the ones before), then each half again, down to single shards. Totals hold exactly.
-4. Draw: the blocks of an epoch are permuted; shard after shard takes its quota from that
-   permutation, so that draws are disjoint. ``shard_key`` orders the rows within a shard.
+4. Draw: as documents are in a seeded random order, so are their blocks; each epoch starts at a block
+   of its own. Shard after shard takes its quota of the blocks that follow, so that draws are disjoint
+   and few documents are cut. ``shard_key`` puts the rows of a shard into a shuffled order.
 
 Only DataFrame functions are used. What is held per source (a row with its quotas) is the only
 thing gathered: a tree node holds one array with an entry per source. Documents are never grouped
@@ -37,8 +38,6 @@ WORD_WITH_GAP = f"[{ASCII_SPACE}]*[^{ASCII_SPACE}]+"
 BLOCK_WORDS, MIN_BLOCKS, MAX_BLOCKS = 2048, 1000, 100_000
 #: Rows per (source, sub-bucket) group, about.
 SUB_ROWS = 4096
-#: Multipliers of the block permutations (fixed values): primes above MAX_BLOCKS, so coprime to any count.
-PRIMES = (100_003, 200_003, 300_007, 400_009, 500_009, 600_011, 700_001, 800_011)
 ADDED = ("source_size", "target", "pieces", "taken")
 
 
@@ -185,8 +184,7 @@ def mixed(
 
     def piece(epoch: int, b: Column) -> Column:
         turn = F.xxhash64(F.lit(seed), F.lit(epoch), F.col("skey"))
-        a = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(turn, F.lit(len(PRIMES))) + 1).cast("int"))
-        drawn = epoch * F.col("n_blocks") + F.pmod(a * b + F.pmod(turn, F.lit(1 << 40)), F.col("n_blocks"))
+        drawn = epoch * F.col("n_blocks") + F.pmod(b + F.pmod(turn, F.col("n_blocks")), F.col("n_blocks"))
         first = F.greatest(F.lit(0), b * F.col("block") - F.col("at"))
         last = F.least(F.col("size"), (b + 1) * F.col("block") - F.col("at"))
         shard = F.size(F.filter("cum", lambda c: c <= drawn)) - 1
@@ -205,11 +203,24 @@ def mixed(
     return placed.withColumn("pieces", pieces).select(*columns, "source_size", "target", "pieces", total.alias("taken"))
 
 
+def joined_pieces(pieces: Column) -> Column:
+    """Pieces that follow each other in one epoch and shard, as one."""
+
+    def step(acc: Column, p: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["epoch"].alias("epoch"), last["first"].alias("first"), (last["n"] + p["n"]).alias("n"), last["shard"].alias("shard"))
+        follows = (F.size(acc) > 0) & (last["epoch"] == p["epoch"]) & (last["shard"] == p["shard"]) & (last["first"] + last["n"] == p["first"])
+        return F.when(follows, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(p)))
+
+    ordered = F.array_sort(F.transform(pieces, lambda p: F.struct(p["epoch"], p["first"], p["n"], p["shard"])))
+    return F.aggregate(ordered, F.array().cast("array<struct<epoch:int,first:bigint,n:bigint,shard:int>>"), step)
+
+
 def mixture_rows(planned: DataFrame, text: str = "text", size: str = "size", seed: int = 41) -> DataFrame:
     """The mixture itself: a row per taken copy, with the words taken, ``shard`` and ``shard_key``.
 
-    A pass that takes all of a document gives its whole text unchanged; else each drawn block gives
-    a row with its words and the white space before each of them.
+    A pass that takes all of a document gives its whole text unchanged; else each run of drawn
+    blocks gives a row with its words and the white space before each of them.
     """
     whole = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(2)), lambda e: F.filter("pieces", lambda p: p["epoch"] == e)),
@@ -218,7 +229,7 @@ def mixture_rows(planned: DataFrame, text: str = "text", size: str = "size", see
     item = lambda p, n: F.struct(p["epoch"].alias("epoch"), p["shard"].alias("shard"), p["first"].alias("first"), n.alias("n"))
     full = F.transform(F.filter(whole, lambda own: F.size(own) > 0), lambda own: item(own[0], F.col(size)))
     full_epochs = F.transform(full, lambda p: p["epoch"])
-    part = F.transform(F.filter("pieces", lambda p: ~F.array_contains(full_epochs, p["epoch"])), lambda p: item(p, p["n"]))
+    part = F.transform(joined_pieces(F.filter("pieces", lambda p: ~F.array_contains(full_epochs, p["epoch"]))), lambda p: item(p, p["n"]))
     taken = planned.withColumn("piece", F.explode(F.concat(full, part)))
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD_WITH_GAP), F.lit(0)), (F.col("piece.first") + 1).cast("int"), F.col("piece.n").cast("int")), "")
     return (
