@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from lexiscope.plans import metrics_queries
+
+_MODULES = (metrics_queries,)
+
+
+def queries() -> dict[str, Callable]:
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.ORACLES.items()}
