@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN = r"[\p{L}\p{N}_]+"
 
@@ -48,7 +49,7 @@ def eval_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", " "), " +", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC form, which Spark SQL lacks."""
     return text.str.normalize("NFKC")
@@ -93,7 +94,7 @@ def quality_line(text: Column) -> Column:
 
 def sentences(text: Column, least: int = 40, most: int = 200) -> Column:
     """P-08: trimmed sentences between . ! ? of bounded length."""
-    parts = F.transform(F.split(text, "[.!?]+"), F.trim)
+    parts = F.transform(F.split(text, "[.!?]+"), lambda x: F.trim(x))
     return F.filter(parts, lambda s: F.length(s).between(least, most))
 
 
@@ -178,8 +179,9 @@ def social_form(text: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """F-12: runs of n words, joined by blanks."""
-    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    none = F.array().cast("array<string>")
+    return F.flatten(F.transform(F.array(words), lambda w: F.when(F.size(w) >= n, grams(w)).otherwise(none)))
 
 
 def mapped(value: Column, table: Mapping[str, str], default: Column | None = None) -> Column:

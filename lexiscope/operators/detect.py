@@ -63,7 +63,7 @@ def blocking_context(text: Column, term: Column, avoid_when: Column) -> Column:
     filled = lambda p: reduce(lambda a, b: F.concat(a, q, b), [F.lit(x) for x in p.split("{term}")])
     hits = {c: reduce(lambda a, b: a | b, [F.regexp_like(text, F.concat(F.lit(NOCASE), filled(p))) for p in ps]) for c, ps in P.CONTEXTS.items()}
     hits["biographical"] = hits["biographical"] | F.regexp_like(text, filled(P.NAME_BEFORE)) | F.regexp_like(text, filled(P.NAME_AFTER))
-    checked = F.create_map(*[x for c, h in hits.items() for x in (F.lit(c), h)])
+    checked = F.create_map(*[x for c, h in hits.items() for x in (F.lit(c), F.array_contains(conditions, F.lit(c)) & h)])
     first = F.get(F.filter(conditions, lambda c: F.try_element_at(checked, c)), F.lit(0))
     own_name = reduce(lambda a, b: a | b, [F.contains(F.lower(F.regexp_extract(text, p, 0)), F.lower(term)) for p in P.FAMILY_NAMES])
     nouns = F.transform(F.regexp_extract_all(text, F.lit(NOCASE + r"\b(\w+)\s+(?:" + "|".join(P.POSSESSIVES) + r")\b"), F.lit(1)), F.lower)
