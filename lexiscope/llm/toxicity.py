@@ -11,7 +11,7 @@ are scored. Clauses end at . ! ? ; : and line ends.
 Insults are learned from labels: words, and word beginnings (stems that take many endings). An entry's
 weight is the log ratio of its document frequencies in both classes; it is kept if a lower confidence
 bound of that ratio is high enough. Documents that are near copies count once, by the smallest
-hash of their words. Both the stems and the weights of the kinds are fitted on a bounded sample
+hash of their runs of three words. Both the stems and the weights of the kinds are fitted on a bounded sample
 (``MAX_TOXIC`` and ``MAX_CLEAN`` labelled rows, chosen by hash); scoring reads all whole texts.
 
 Cases: null and empty texts match nothing and get the score of a text without patterns; several labels
@@ -148,8 +148,9 @@ def features_of_words(text: str) -> set[str]:
 
 
 def copy_key(text: str) -> int:
-    """The smallest hash of the text's words: near copies share it."""
-    return min((zlib.crc32(w.encode()) for w in set(TOKEN.findall(text.lower()))), default=0)
+    """The smallest hash of the text's runs of three words: near copies mostly share it, other texts hardly ever."""
+    words = text.lower().split()
+    return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", seed: int = 11) -> DataFrame:
