@@ -12,7 +12,7 @@ from lexiscope.functions import patterns as P
 from lexiscope.functions.text import literal, stripped_tokens, tokens
 from lexiscope.operators.lexicon import matches
 
-NOCASE = "(?iuU)"
+NOCASE, CASED = "(?iuU)", "(?uU)"
 CONFIDENCE = {"counter-stereotype": 0.85, "derogation": 0.9, "suffix": 0.95, "stereotype": 0.85, "neutral": 0.7}
 
 
@@ -50,18 +50,19 @@ def gendered_suffix(text: Column) -> Column:
     return F.when(~text.rlike(NOCASE + P.PROGRESS), out)
 
 
-def blocking_context(text: Column, term: Column, avoid_when: Column) -> Column:
+def blocking_context(text: Column, term: Column, avoid_when: Column, strict_case: bool = False) -> Column:
     """D-04 to D-10: the first condition that blocks a correction, or null.
 
     ``term`` differs between rows, so these patterns are columns: use it on matched rules only. Conditions
-    are those of ``avoid_when`` in its order, or the default three where none of it is known.
+    are those of ``avoid_when`` in its order, or the default three where none of it is known. All patterns
+    ignore case, so that a capital stands for any letter; with ``strict_case`` those of names and organizations don't.
     """
     known = F.array(*[F.lit(c) for c in P.CONTEXTS])
     listed = F.filter(F.transform(F.split(F.coalesce(avoid_when, F.lit("")), r"\|"), lambda c: F.lower(F.trim(c))), lambda c: F.array_contains(known, c))
     conditions = F.when(F.size(listed) > 0, listed).otherwise(F.array(*[F.lit(c) for c in P.DEFAULT_CONDITIONS]))
     q = literal(term)
     filled = lambda p: reduce(lambda a, b: F.concat(a, q, b), [F.lit(x) for x in p.split("{term}")])
-    hits = {c: reduce(lambda a, b: a | b, [F.regexp_like(text, F.concat(F.lit(NOCASE), filled(p))) for p in ps]) for c, ps in P.CONTEXTS.items()}
+    hits = {c: reduce(lambda a, b: a | b, [F.regexp_like(text, F.concat(F.lit(CASED if strict_case and c in ("proper_noun", "organization") else NOCASE), filled(p))) for p in ps]) for c, ps in P.CONTEXTS.items()}
     hits["biographical"] = hits["biographical"] | F.regexp_like(text, filled(P.NAME_BEFORE)) | F.regexp_like(text, filled(P.NAME_AFTER))
     checked = F.create_map(*[x for c, h in hits.items() for x in (F.lit(c), F.array_contains(conditions, F.lit(c)) & h)])
     first = F.get(F.filter(conditions, lambda c: F.try_element_at(checked, c)), F.lit(0))

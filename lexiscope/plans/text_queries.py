@@ -25,44 +25,43 @@ def add(name, fn, sql=None):
 
 
 docs = lambda s, d: R.table(s, d, "documents")
-col = F.col("text")
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 CONV = r"conversations"
 
-add("F01_tokens", lambda s, d: docs(s, d).select("doc_id", F.size(T.tokens(col)).cast("long").alias("n"), F.md5(F.array_join(T.tokens(col), " ")).alias("digest")), f"SELECT doc_id, len({TOK}) AS n, md5(array_to_string({TOK}, ' ')) AS digest FROM documents")
-add("F12_bigrams", lambda s, d: docs(s, d).select(F.explode(T.ngrams(T.tokens(col), 2)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 20"),
+add("F01_tokens", lambda s, d: docs(s, d).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n"), F.md5(F.array_join(T.tokens(F.col("text")), " ")).alias("digest")), f"SELECT doc_id, len({TOK}) AS n, md5(array_to_string({TOK}, ' ')) AS digest FROM documents")
+add("F12_bigrams", lambda s, d: docs(s, d).select(F.explode(T.ngrams(T.tokens(F.col("text")), 2)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 20"),
     f"SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM (SELECT {TOK} AS w FROM documents)) GROUP BY gram HAVING count(*) >= 20")
-add("P02_eval_form", lambda s, d: docs(s, d).select("doc_id", F.md5(T.eval_form(col)).alias("digest")), r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}]', ' ', 'g'), ' +', ' ', 'g'))) AS digest FROM documents")
-add("P03_quality_filters", lambda s, d: R.table(s, d, "conversations").select("conv_id", "turn", T.quality_prose(col).alias("prose"), T.quality_tweet(col).alias("tweet"), T.quality_web(col).alias("web"), T.quality_line(col).alias("line"), T.quality_social(col, ["the", "le", "der", "el"]).alias("social")),
+add("P02_eval_form", lambda s, d: docs(s, d).select("doc_id", F.md5(T.eval_form(F.col("text"))).alias("digest")), r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}]', ' ', 'g'), ' +', ' ', 'g'))) AS digest FROM documents")
+add("P03_quality_filters", lambda s, d: R.table(s, d, "conversations").select("conv_id", "turn", T.quality_prose(F.col("text")).alias("prose"), T.quality_tweet(F.col("text")).alias("tweet"), T.quality_web(F.col("text")).alias("web"), T.quality_line(F.col("text")).alias("line"), T.quality_social(F.col("text"), ["the", "le", "der", "el"]).alias("social")),
     f"""SELECT conv_id, turn, length(text) BETWEEN 50 AND 400 AND length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / greatest(length(text), 1) >= 0.6 AND NOT regexp_matches(text, 'http|@|#') AS prose,
 length(text) BETWEEN 20 AND 280 AND regexp_matches(text, '\\p{{L}}') AND NOT starts_with(text, 'RT') AND len(regexp_extract_all(text, '#')) <= 3 AND len(regexp_extract_all(text, 'http')) <= 1 AS tweet,
 regexp_matches(text, '\\p{{L}}') AND len(regexp_extract_all(text, '[.,!?;:]')) / greatest(length(text), 1) <= 0.15 AS web, length(text) BETWEEN 20 AND 500 AND regexp_matches(text, '[\\p{{L}}\\p{{N}}_]') AS line,
 length(text) BETWEEN 30 AND 280 AND list_has_any({TOK}, ['the', 'le', 'der', 'el']) AND len(regexp_extract_all(text, 'https?://')) <= 2 AND len(regexp_extract_all(text, '#')) <= 5 AND len(regexp_extract_all(text, '@')) <= 3 AS social FROM conversations""")
 _SENT = "sent AS (SELECT doc_id, unnest(p) AS sentence, unnest(range(len(p))) AS pos FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, ' ')), lambda x: length(x) BETWEEN 40 AND 200) AS p FROM documents))"
-add("P08_sentences", lambda s, d: docs(s, d).select("doc_id", F.posexplode(T.sentences(col)).alias("pos", "sentence")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("sentence").alias("digest")), f"WITH {_SENT} SELECT doc_id, pos, md5(sentence) AS digest FROM sent")
-add("P09_keyword_filter", lambda s, d: docs(s, d).where(T.has_keyword(col, ["trash", "loser", "http"])).select("doc_id"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'trash') OR contains(lower(text), 'loser') OR contains(lower(text), 'http')")
-add("P10_terms_found", lambda s, d: docs(s, d).select("doc_id", F.array_join(T.terms_found(col, ["he", "idiot", "the", "trash"]), ",").alias("terms")), f"SELECT doc_id, array_to_string(list_filter(['he', 'idiot', 'the', 'trash'], lambda t: list_contains(w, t)), ',') AS terms FROM (SELECT doc_id, {TOK} AS w FROM documents)")
+add("P08_sentences", lambda s, d: docs(s, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("sentence").alias("digest")), f"WITH {_SENT} SELECT doc_id, pos, md5(sentence) AS digest FROM sent")
+add("P09_keyword_filter", lambda s, d: docs(s, d).where(T.has_keyword(F.col("text"), ["trash", "loser", "http"])).select("doc_id"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'trash') OR contains(lower(text), 'loser') OR contains(lower(text), 'http')")
+add("P10_terms_found", lambda s, d: docs(s, d).select("doc_id", F.array_join(T.terms_found(F.col("text"), ["he", "idiot", "the", "trash"]), ",").alias("terms")), f"SELECT doc_id, array_to_string(list_filter(['he', 'idiot', 'the', 'trash'], lambda t: list_contains(w, t)), ',') AS terms FROM (SELECT doc_id, {TOK} AS w FROM documents)")
 add("P11_needs_work", lambda s, d: R.samples(s, d).select("doc_id", (F.col("has_bias") & F.col("expected_correction").isNull()).alias("needs_annotation"), (F.col("has_bias") & F.col("bias_category").isNull()).alias("needs_category")), f"WITH {R.SAMPLES} SELECT doc_id, has_bias AND expected_correction IS NULL AS needs_annotation, has_bias AND bias_category IS NULL AS needs_category FROM samples")
-add("P13_training_rows", lambda s, d: R.truth(s, d).where(F.trim(col) != "").select("doc_id", F.col("has_bias").cast("int").alias("y")), f"WITH {R.TRUTH} SELECT doc_id, CAST(has_bias AS INT) AS y FROM truth WHERE trim(text) <> ''")
+add("P13_training_rows", lambda s, d: R.truth(s, d).where(F.trim(F.col("text")) != "").select("doc_id", F.col("has_bias").cast("int").alias("y")), f"WITH {R.TRUTH} SELECT doc_id, CAST(has_bias AS INT) AS y FROM truth WHERE trim(text) <> ''")
 add("P15_valid_requests", lambda s, d: docs(s, d).select("doc_id", F.when(~F.col("lang").isin("en", "fr"), "language").when(~F.length("text").between(1, 5000), "length").otherwise("valid").alias("outcome")), "SELECT doc_id, CASE WHEN lang NOT IN ('en', 'fr') THEN 'language' WHEN length(text) NOT BETWEEN 1 AND 5000 THEN 'length' ELSE 'valid' END AS outcome FROM documents")
 _any = lambda ws: " OR ".join(f"contains(t, ' {w} ')" for w in ws)
 _g = P.GROUPS["en"]
-add("P16_groups", lambda s, d: docs(s, d).select("doc_id", T.group_of(col, *P.GROUPS["en"]).alias("grp")),
+add("P16_groups", lambda s, d: docs(s, d).select("doc_id", T.group_of(F.col("text"), *P.GROUPS["en"]).alias("grp")),
     f"""SELECT doc_id, CASE WHEN m AND NOT f THEN 'male_referent' WHEN f AND NOT m THEN 'female_referent' WHEN n AND NOT m AND NOT f THEN 'neutral_referent' ELSE 'unknown' END AS grp
 FROM (SELECT doc_id, {_any(_g[0])} AS m, {_any(_g[1])} AS f, {_any(_g[2])} AS n FROM (SELECT doc_id, ' ' || lower(text) || ' ' AS t FROM documents))""")
-add("P17_marker_class", lambda s, d: docs(s, d).select("doc_id", T.marker_class(col, {"female": ["elle", "sich"], "male": ["aux ", "der "]}).alias("cls")), "SELECT doc_id, CASE WHEN f AND m THEN 'mixed' WHEN f THEN 'female' WHEN m THEN 'male' ELSE 'neutral' END AS cls FROM (SELECT doc_id, contains(lower(text), 'elle') OR contains(lower(text), 'sich') AS f, contains(lower(text), 'aux ') OR contains(lower(text), 'der ') AS m FROM documents)")
-add("P18_target_gender", lambda s, d: docs(s, d).select("doc_id", T.target_of(col).alias("gender")), f"SELECT doc_id, CASE WHEN m AND f THEN 'mixed' WHEN m THEN 'male' WHEN f THEN 'female' ELSE 'neutral' END AS gender FROM (SELECT doc_id, list_has_any({TOK}, ['he', 'him', 'his']) AS m, list_has_any({TOK}, ['she', 'her', 'hers']) AS f FROM documents)")
-add("P20_entities", lambda s, d: R.table(s, d, "conversations").select("conv_id", "turn", F.size(T.entities(col)).alias("n_entities")))
+add("P17_marker_class", lambda s, d: docs(s, d).select("doc_id", T.marker_class(F.col("text"), {"female": ["elle", "sich"], "male": ["aux ", "der "]}).alias("cls")), "SELECT doc_id, CASE WHEN f AND m THEN 'mixed' WHEN f THEN 'female' WHEN m THEN 'male' ELSE 'neutral' END AS cls FROM (SELECT doc_id, contains(lower(text), 'elle') OR contains(lower(text), 'sich') AS f, contains(lower(text), 'aux ') OR contains(lower(text), 'der ') AS m FROM documents)")
+add("P18_target_gender", lambda s, d: docs(s, d).select("doc_id", T.target_of(F.col("text")).alias("gender")), f"SELECT doc_id, CASE WHEN m AND f THEN 'mixed' WHEN m THEN 'male' WHEN f THEN 'female' ELSE 'neutral' END AS gender FROM (SELECT doc_id, list_has_any({TOK}, ['he', 'him', 'his']) AS m, list_has_any({TOK}, ['she', 'her', 'hers']) AS f FROM documents)")
+add("P20_entities", lambda s, d: R.table(s, d, "conversations").select("conv_id", "turn", F.size(T.entities(F.col("text"))).alias("n_entities")))
 add("P22_domain_map", lambda s, d: docs(s, d).select("doc_id", T.mapped(F.col("source"), {"src0": "media", "src1": "education"}, F.lit("other")).alias("domain")), "SELECT doc_id, CASE source WHEN 'src0' THEN 'media' WHEN 'src1' THEN 'education' ELSE 'other' END AS domain FROM documents")
 _pii = lambda k: f"len(regexp_extract_all(text, '{T.PII[k]}'))"
-add("A37_pii_statistics", lambda s, d: docs(s, d).select("lang", *[F.regexp_count(col, F.lit(T.PII[k])).alias(k) for k in ("email", "url", "ssn", "credit_card", "id_number")]).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).cast("long").alias(k) for k in ("email", "url", "ssn", "credit_card", "id_number")]),
+add("A37_pii_statistics", lambda s, d: docs(s, d).select("lang", *[F.regexp_count(F.col("text"), F.lit(T.PII[k])).alias(k) for k in ("email", "url", "ssn", "credit_card", "id_number")]).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.sum(k).cast("long").alias(k) for k in ("email", "url", "ssn", "credit_card", "id_number")]),
     "SELECT lang, count(*) AS n, " + ", ".join(f"CAST(sum({_pii(k)}) AS BIGINT) AS {k}" for k in ("email", "url", "ssn", "credit_card", "id_number")) + " FROM documents GROUP BY lang")
 _red = "text"
 for _k, _p in T.PII.items():
     _red = f"regexp_replace({_red}, '{_p}', '[{_k.upper()}]', 'g')"
-add("F09_redaction", lambda s, d: docs(s, d).select("doc_id", F.md5(T.redacted(col)).alias("digest"), (T.redacted(col) != col).alias("pii_removed")), f"SELECT doc_id, md5({_red}) AS digest, {_red} <> text AS pii_removed FROM documents")
-add("F07_social_form", lambda s, d: docs(s, d).select("doc_id", F.md5(T.social_form(col)).alias("digest")), rf"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{T.PII['email']}', '[EMAIL]', 'g'), 'https?://\S+', '[URL]', 'g'), '(?:\+254|\b0)[17]\d{{8}}\b', '[PHONE]', 'g'), '@[A-Za-z0-9_]+', '[USER]', 'g')) AS digest FROM documents")
-add("P01_clean_text", lambda s, d: docs(s, d).select("doc_id", F.md5(T.clean_text(col)).alias("digest")))
+add("F09_redaction", lambda s, d: docs(s, d).select("doc_id", F.md5(T.redacted(F.col("text"))).alias("digest"), (T.redacted(F.col("text")) != F.col("text")).alias("pii_removed")), f"SELECT doc_id, md5({_red}) AS digest, {_red} <> text AS pii_removed FROM documents")
+add("F07_social_form", lambda s, d: docs(s, d).select("doc_id", F.md5(T.social_form(F.col("text"))).alias("digest")), rf"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{T.PII['email']}', '[EMAIL]', 'g'), 'https?://\S+', '[URL]', 'g'), '(?:\+254|\b0)[17]\d{{8}}\b', '[PHONE]', 'g'), '@[A-Za-z0-9_]+', '[USER]', 'g')) AS digest FROM documents")
+add("P01_clean_text", lambda s, d: docs(s, d).select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("digest")))
 
 # mining
 add("A41_term_frequency", lambda s, d: N.term_frequency(docs(s, d), F.length("term") >= 4).where("n >= 5"), f"SELECT term, count(*) AS n FROM (SELECT unnest({TOK}) AS term FROM documents) WHERE length(term) >= 4 GROUP BY term HAVING count(*) >= 5")
@@ -141,18 +140,17 @@ add("V10_file_report", lambda s, d: V.file_report(R.samples(s, d), V.issues(R.sa
 
 # detectors
 _first = lambda table, langs: "CASE " + " ".join(f"WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}', 'is') THEN '{c}:{g}'" for lg, p, c, g in table if lg in langs) + " END"
-en = F.lit("en")
 flat = lambda x: F.when(x.isNotNull(), F.concat_ws(":", x["category"], x["gender"]))
-one_line = F.regexp_replace(col, "\n", " ")
-add("D11_counter_stereotype", lambda s, d: docs(s, d).select("doc_id", flat(X.counter_stereotype(one_line, en)).alias("found")), f"SELECT doc_id, {_first(P.COUNTER_STEREOTYPE, ('en',))} AS found FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)")
-add("D12_derogation", lambda s, d: docs(s, d).select("doc_id", flat(X.derogation(one_line, en)).alias("found")), f"SELECT doc_id, {_first(P.DEROGATION, ('en',))} AS found FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)")
+one_line = lambda: F.regexp_replace("text", "\n", " ")
+add("D11_counter_stereotype", lambda s, d: docs(s, d).select("doc_id", flat(X.counter_stereotype(one_line(), F.lit("en"))).alias("found")), f"SELECT doc_id, {_first(P.COUNTER_STEREOTYPE, ('en',))} AS found FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)")
+add("D12_derogation", lambda s, d: docs(s, d).select("doc_id", flat(X.derogation(one_line(), F.lit("en"))).alias("found")), f"SELECT doc_id, {_first(P.DEROGATION, ('en',))} AS found FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)")
 _nc = "CASE WHEN starts_with(n, 'm') AND (contains(n, 'limu') OR contains(n, 'kulima') OR contains(n, 'andishi') OR contains(n, 'fanya')) THEN '1/2' WHEN starts_with(n, 'w') THEN '1/2' WHEN starts_with(n, 'ma') THEN '5/6' WHEN starts_with(n, 'ki') OR starts_with(n, 'ch') OR starts_with(n, 'vi') OR starts_with(n, 'vy') THEN '7/8' WHEN starts_with(n, 'n') THEN '9/10' END"
-add("D18_noun_classes", lambda s, d: docs(s, d).select(F.explode(T.tokens(col)).alias("n")).select(X.noun_class(F.col("n")).alias("cls"), "n").where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("uses"), F.count_distinct("n").alias("nouns")), f"SELECT cls, count(*) AS uses, count(DISTINCT n) AS nouns FROM (SELECT n, {_nc} AS cls FROM (SELECT unnest({TOK}) AS n FROM documents)) WHERE cls IS NOT NULL GROUP BY cls")
-add("D19_noun_profile", lambda s, d: docs(s, d).select("doc_id", X.noun_profile(col).alias("p")).select("doc_id", "p.m_wa_count", "p.total"))
+add("D18_noun_classes", lambda s, d: docs(s, d).select(F.explode(T.tokens(F.col("text"))).alias("n")).select(X.noun_class(F.col("n")).alias("cls"), "n").where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("uses"), F.count_distinct("n").alias("nouns")), f"SELECT cls, count(*) AS uses, count(DISTINCT n) AS nouns FROM (SELECT n, {_nc} AS cls FROM (SELECT unnest({TOK}) AS n FROM documents)) WHERE cls IS NOT NULL GROUP BY cls")
+add("D19_noun_profile", lambda s, d: docs(s, d).select("doc_id", X.noun_profile(F.col("text")).alias("p")).select("doc_id", "p.m_wa_count", "p.total"))
 _kw = ", ".join(f"'{k}'" for k in P.KEYWORDS["en"])
-add("D22_keyword_detector", lambda s, d: docs(s, d).select("doc_id", X.keyword_detector(col, F.col("lang")).alias("has_bias")), f"SELECT doc_id, lang = 'en' AND list_has_any({TOK}, [{_kw}]) AS has_bias FROM documents")
-add("D21_substring_detector", lambda s, d: docs(s, d).select("doc_id", F.array_join(X.substring_detector(col, ["trash", "idiot", "moron"]), ",").alias("terms")), "SELECT doc_id, array_to_string(list_filter(['trash', 'idiot', 'moron'], lambda t: contains(lower(text), t)), ',') AS terms FROM documents")
-add("D24_keyword_score", lambda s, d: docs(s, d).select("doc_id", F.round(X.keyword_score(col, ["trash", "idiot", "moron"]), 6).alias("score")), "SELECT doc_id, round(least(0.4 * len(list_filter(['trash', 'idiot', 'moron'], lambda t: contains(lower(text), t))), 1), 6) AS score FROM documents")
+add("D22_keyword_detector", lambda s, d: docs(s, d).select("doc_id", X.keyword_detector(F.col("text"), F.col("lang")).alias("has_bias")), f"SELECT doc_id, lang = 'en' AND list_has_any({TOK}, [{_kw}]) AS has_bias FROM documents")
+add("D21_substring_detector", lambda s, d: docs(s, d).select("doc_id", F.array_join(X.substring_detector(F.col("text"), ["trash", "idiot", "moron"]), ",").alias("terms")), "SELECT doc_id, array_to_string(list_filter(['trash', 'idiot', 'moron'], lambda t: contains(lower(text), t)), ',') AS terms FROM documents")
+add("D24_keyword_score", lambda s, d: docs(s, d).select("doc_id", F.round(X.keyword_score(F.col("text"), ["trash", "idiot", "moron"]), 6).alias("score")), "SELECT doc_id, round(least(0.4 * len(list_filter(['trash', 'idiot', 'moron'], lambda t: contains(lower(text), t))), 1), 6) AS score FROM documents")
 add("D25_hybrid", lambda s, d: R.judged(s, d).select("doc_id", X.hybrid(F.col("predicted"), F.col("quality") == 0).alias("h")).select("doc_id", "h.*"), f"WITH {R.JUDGED} SELECT doc_id, predicted OR quality = 0 AS has_bias, round(0.7 * CAST(predicted AS INT) + 0.3 * CASE WHEN quality = 0 THEN 0.8 ELSE 0.2 END, 6) AS confidence, predicted = (quality = 0) AS agreement FROM judged")
 gated = lambda s: R.lexicon(s).withColumn("avoid_when", F.when(F.col("rule_no") % 2 == 0, "quote|statistical|legal").otherwise("biographical"))
 add("D04_context_gate", lambda s, d: X.gated_matches(docs(s, d), gated(s)).select("doc_id", "rule_no", "blocked_by"))
