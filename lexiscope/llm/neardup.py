@@ -45,7 +45,7 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 SHINGLE, COORDINATES, MISS = 5, 64, 1e-5
 #: Shingles and documents of a block, about.
 BLOCK_SHINGLES, BLOCK_ROWS = 1_000_000, 512
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 _RNG = np.random.default_rng(20240611)
 _A = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)

@@ -37,7 +37,7 @@ from lexiscope.llm.common import bernoulli
 MAX_TOXIC, MAX_CLEAN, MAX_CANDIDATES, MAX_STEMS = 2000, 6000, 60_000, 2000
 #: Least lower bound of the log ratio, its width in standard errors, and lengths of word beginnings.
 LEAST_RATIO, ERRORS, STEM_LENGTHS = math.log(6), 1.64, range(4, 10)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 CLAUSE = re.compile(r"[.!?;:\n]+")
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”„«»,]")
