@@ -20,7 +20,11 @@ NAME = re.compile(r"[a-z]+")
 #: Elements by behaviour (fixed values).
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg iframe object head title math canvas audio video".split())
+HIDDEN = frozenset("script style noscript template svg iframe object title math canvas audio video".split())
+#: Elements whose content isn't markup but runs to their own end tag; in svg and math it is markup.
+RAW = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)", re.IGNORECASE) for n in "script style noscript iframe title textarea xmp".split()}
+HEAD_END = re.compile(r"(?:</head|<body)(?=[\s/>]|\Z)", re.IGNORECASE)
+SCRIPT = re.compile(r"<!--(-*>)?|-->|<(/?)script(?=[\s/>]|\Z)", re.IGNORECASE)
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Names in tags, classes, ids and roles by what they stand for (fixed values).
@@ -58,11 +62,33 @@ class Leaf:
         return " ".join("".join(self.parts).split())
 
 
+def raw_end(page: str, name: str, at: int) -> int:
+    """Where the end tag of the raw element ``name`` begins whose content begins at ``at``; -1 without one.
+
+    In a script, "<!-- <script" hides one "</script" up to "-->", as in browsers, unless that leaves no end at all.
+    """
+    first = RAW[name].search(page, at)
+    if first is None or name != "script":
+        return first.start() if first else -1
+    escaped = nested = False
+    for m in SCRIPT.finditer(page, at):
+        if m[2] is None:
+            escaped, nested = (escaped, nested) if m[1] else (True, nested) if m[0] != "-->" else (False, False)
+        elif m[2] and not nested:
+            return m.start()
+        elif escaped:
+            nested = not m[2]
+    return first.start()
+
+
 def leaves(page: str | None) -> list[Leaf]:
-    """Blocks of a page in order. Scripts, styles, comments and the head aren't blocks."""
+    """Blocks of a page in order. Scripts, styles, comments and the title aren't blocks."""
+    page = page or ""
     out: list[Leaf] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     leaf, hidden, at, in_link = None, "", 0, 0
+    in_head: bool | None = None
+    endless: set[str] = set()
 
     def close(names: frozenset | set, stop: frozenset = frozenset(("div", "ul", "ol", "table", "td", "body"))) -> None:
         nonlocal in_link
@@ -86,18 +112,45 @@ def leaves(page: str | None) -> list[Leaf]:
             if in_link:
                 leaf.linked += len(raw)
 
-    for m in MARKUP.finditer(page or ""):
+    def content_end(name: str) -> int:
+        """Where raw content from ``at`` on ends. Without an end tag: of hidden elements with the head or page, else -1."""
+        end = -1 if name in endless else raw_end(page, name, at)
+        if end >= 0:
+            return end
+        endless.add(name)
+        if name not in HIDDEN:
+            return -1
+        m = HEAD_END.search(page, at) if in_head else None
+        return m.start() if m else len(page)
+
+    while m := MARKUP.search(page, at):
         add(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
         tag, closing = m[2].lower(), m[1]
+        opens = not closing and not m[3].endswith("/")
+        of_head = tag == "head" or (tag == "body" and not closing)
         if hidden:
-            hidden = "" if closing and tag == hidden else hidden
+            if in_head and of_head:
+                hidden = ""
+            else:
+                if closing and tag == hidden:
+                    hidden = ""
+                elif opens and tag in RAW and hidden not in ("svg", "math"):
+                    at = max(at, content_end(tag))
+                continue
+        if of_head:
+            in_head = in_head is None and tag == "head" and not closing
+        if tag == "head":
+            leaf = None
             continue
         if tag in HIDDEN:
-            hidden = "" if closing or m[3].endswith("/") else tag
             leaf = None
+            if opens and tag in RAW:
+                at = content_end(tag)
+            elif opens:
+                hidden = tag
             continue
         if tag not in INLINE:
             leaf = None
@@ -113,8 +166,10 @@ def leaves(page: str | None) -> list[Leaf]:
                 words += [n for a in ATTRIBUTE.finditer(m[3]) for n in NAME.findall((a[1] or a[2] or a[3] or "").lower())]
             stack.append((tag, tuple(words)))
             in_link += tag == "a"
-    if page:
-        add(page[at:])
+            if tag in RAW and (end := content_end(tag)) >= 0:
+                add(page[at:end])
+                at = end
+    add(page[at:])
     return [x for x in out if x.text]
 
 

@@ -134,6 +134,37 @@ def test_leaves_of_rough_markup():
     assert leaves(None) == [] and leaves("") == [] and leaves("<p") == [] and leaves("just text")[0].text == "just text"
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<script>for(i=0;i<n;i++){f(i)}</script>",
+        "<SCRIPT type=x>var a='<!--';if(a<b)f(\"it's\")</Script >",
+        "<script><!-- document.write('<script src=x></script>') //--></script>",
+        "<script>var a='<!--<script>'</script>",
+        "<style>a:after{content:'<!--'}</style>",
+        "<noscript><!-- x</noscript><iframe><p <</iframe>",
+        "<head><script>for(i=0;i<n;i++){f(i)}</script></head>",
+        "<head><title>T <b</title><meta charset=x>",
+        "<head><title>T</title><link href=x><body class=y>",
+        "<head><title>T</head><body>",
+        "<head><template><p>no</head><body>",
+        "<svg><title>T</svg>",
+        "<canvas><script>a<b</script></canvas>",
+    ],
+)
+def test_html_after_raw_text(before):
+    page = f"<html>{before}<p>One</p><p>Two <b>three</b></p><script>g(a<b)</script><p>Four</p>"
+    assert [x.text for x in leaves(page)] == ["One", "Two three", "Four"]
+
+
+def test_html_textarea_and_head_text():
+    assert [x.text for x in leaves("<form><textarea><!-- <p>x</textarea></form><p>One</p>")] == ["<!-- <p>x", "One"]
+    assert [x.text for x in leaves("<textarea><p>One</p><textarea><p>Two</p>")] == ["One", "Two"]
+    assert [x.text for x in leaves("<head><title>T</title>Hello<p>One")] == ["Hello", "One"]
+    assert [x.text for x in leaves("<head><script>x<y</head><body><p>One")] == ["One"]
+    assert [x.text for x in leaves("<p>One</p><script>var a = 1; <p>no</p>")] == ["One"]
+
+
 def test_extraction_accuracy(spark):
     rng = np.random.default_rng(4)
     texts = [words(random.Random(i), 80) for i in range(30)]
