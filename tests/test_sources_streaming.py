@@ -1,9 +1,11 @@
 """Sources read what they should, and streams give the batch's rows."""
 
 import json
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from lexiscope.plans import catalog
 from lexiscope.sources import files as S
 from lexiscope.streaming import jobs as J
 
@@ -91,3 +93,18 @@ def test_stream_join(spark, tmp_path):
     schema = lambda df: df.schema.simpleString()[7:-1].replace(":", " ")
     job = J.joined_reviews(J.read(spark, f"{tmp_path}/w", schema(left)), J.read(spark, f"{tmp_path}/r", schema(right)))
     assert result(spark, job, tmp_path, "join").count() == want > 0
+
+
+def test_whole_texts_are_counted(spark, tmp_path):
+    texts = ["aa " * 11 + "bb Jane cc Tom " + "dd " * 500, "ee\tff\n gg", "", "Ann hh"]
+    rows = [(i, t, "en", "src0") for i, t in enumerate(texts)] + [(5, " " * 12 + "term", "en", "src0")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = [t.split() for _, t, _, _ in rows]
+    named = lambda w: "A" <= w[0] <= "Z"
+    tags = Counter("B-PER" if named(w) else "O" for ws in words for w in ws)
+    assert {r["tag"]: r["n"] for r in catalog.queries()["S11_bio_scan"](spark, str(tmp_path)).collect()} == tags
+    terms = Counter(w.lower() for ws in words if any(map(named, ws)) for w in ws if not named(w))
+    assert {r["term"]: r["n"] for r in catalog.queries()["A43_person_terms"](spark, str(tmp_path)).collect()} == terms
+    issues = catalog.queries()["V02_lexicon_issues"](spark, str(tmp_path)).collect()
+    assert (5, "IDENTICAL_TERMS") in {(r["row_no"], r["issue"]) for r in issues}
+    assert catalog.queries()["V03_lexicon_report"](spark, str(tmp_path)).first()["n_valid"] == 4  # all but document 5
