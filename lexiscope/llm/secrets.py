@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and a battery of randomness tests for everything else.
 
 Base spans come from three patterns (``assign``, ``access``, ``hex``). The battery takes every
-other run of secret-like characters, infers its encoding (the smallest alphabet that holds it) and
-asks how well the run fits *uniform* draws from that alphabet, against writing as the null
+other run of secret-like characters, cut at "=" that isn't padding, infers its encoding (the
+smallest alphabet that holds it) and asks how well the run fits *uniform* draws from that alphabet, against writing as the null
 hypothesis. Three statistics are computed: chi-squared distance of the letter counts from
 uniformity, runs above and below the middle of the alphabet, and lag-one serial correlation. For
 each the null is a departure of at least a given effect size, so that the p-value is small only if
@@ -10,10 +10,12 @@ the run is close to uniform *and* long enough to show it. A run counts by its la
 
 Within a document the runs that were tested go through Benjamini-Hochberg with weights in
 proportion to their length (mean 1): the false-discovery rate is held while longer runs, where the
-tests have power, get more of it.
+tests have power, get more of it. What was not found as a whole, or fits no alphabet, is cut at "/"
+and its parts are tested in the same way, then at "-", "_" and "+" (URL paths, prefixed keys). Each
+of these rounds holds the rate by itself, so that parts take nothing from the test of the wholes.
 
 Cases: a null text is empty and has no spans; offsets are code points, end exclusive; whole texts
-are scanned; a run that overlaps a base span isn't added again; an empty table gives an empty result.
+are scanned; a part that overlaps a base span isn't added again; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: Runs that the battery looks at: this long at least, with a digit or both cases or a sign.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MIXED = re.compile(r"[0-9+/_=-]|[a-z][A-Z]|[A-Z]{2}[a-z]")
+#: What a run is cut into, round by round (fixed values); signs at its end are padding.
+PARTS = (re.compile(r"[^=]+(?:=+\Z)?"), re.compile(r"[^/]+"), re.compile(r"[^_+-]+"))
 #: Alphabets by encoding, in order of their values (fixed values).
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -116,15 +120,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs beside the base spans that the battery takes for random."""
-    runs, p = [], []
-    for m in RUN.finditer(text):
-        if MIXED.search(m[0]) and not any(s < m.end() and m.start() < e for s, _, e in base):
-            value = battery(m[0])
-            if value is not None:
-                runs.append((m.start(), 3, m.end()))
-                p.append(value)
-    return [r for r, yes in zip(runs, discoveries(p, [e - s for s, _, e in runs]), strict=True) if yes]
+    """Runs and parts of runs beside the base spans that the battery takes for random."""
+    found = []
+    left = [(m.start(), m.end()) for m in RUN.finditer(text)]
+    for parts in PARTS:
+        tested, p, after = [], [], []
+        for start, end in left:
+            for m in parts.finditer(text[start:end]):
+                s, e = start + m.start(), start + m.end()
+                if e - s < 16:
+                    continue
+                beside = not any(x < e and s < y for x, _, y in base)
+                value = battery(m[0]) if beside and MIXED.search(m[0]) else None
+                if value is None:
+                    after.append((s, e))
+                else:
+                    tested.append((s, e))
+                    p.append(value)
+        for (s, e), yes in zip(tested, discoveries(p, [e - s for s, e in tested]), strict=True):
+            if yes:
+                found.append((s, 3, e))
+            else:
+                after.append((s, e))
+        left = [(s, e) for s, e in after if not text[s:e].isalnum()]
+    return sorted(found)
 
 
 def shown(spans: list[tuple[int, int, int]]) -> str:

@@ -370,6 +370,32 @@ def test_battery_tells_random_from_writing():
     assert secrets.discoveries([], []) == [] and secrets.discoveries([0.001, 0.9], [40, 20]) == [True, False]
 
 
+@pytest.mark.parametrize("form", ["AUTH={}", "client_id={}&x", "sig={}==", "https://host.example/v1/user-data/{}", "https://host.example/some_path/a-b/{}/edit", "a/long/path/of/words/that/is/writing/{}", "sk-live_key/{}", "some-service-name+with_words-{}"])
+def test_secret_values_in_runs(form):
+    rng = random.Random(7)
+    draws = ["".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(48)) for _ in range(50)]
+    found = 0
+    for d in draws:
+        text = f"see {form.format(d)} there"
+        at = text.index(d)
+        spans = secrets.random_spans(text, [])
+        found += any(s <= at and at + 48 <= e for s, _, e in spans)
+    assert found >= 45
+    assert not secrets.random_spans(f"see {form.format('internationalization_of_the_words')} there", [])
+
+
+def test_secret_parts_beside_base_spans():
+    rng = random.Random(8)
+    value = "".join(rng.choice(secrets.ALPHABETS["base62"]) for _ in range(48))
+    text = f"AKIA{'A1' * 10}/{value}"
+    base = secrets.base_spans(text)
+    assert secrets.random_spans(text, base) == [(25, 3, 73)]
+    text = f"sig={value} and {value[:40]}/x"
+    assert all(s >= 0 and text[s:e] for s, _, e in secrets.random_spans(text, []))
+    spans = secrets.random_spans(text, [])
+    assert all(a[2] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_secret_scan_column(spark):
     rows = [(1, None), (2, ""), (3, "secret: abcdefgh"), (3, "secret: abcdefgh"), (4, "x " * 100_000 + "token=abcdef")]
     out = frame(spark, rows, "doc_id long, text string").select("doc_id", "text", secrets.scan(F.col("text")).alias("s")).select("doc_id", "s.*", secrets.masked(F.col("text"), F.col("s.spans")).alias("masked")).collect()
