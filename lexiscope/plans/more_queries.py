@@ -144,19 +144,28 @@ add("X05_explode_matches", matched_spans)
 # streams over the tables, run to their end; each gives the batch's rows
 
 def streamed(job, mode="complete"):
+    """Runs ``job`` over all files of the events. In complete mode the last batch holds the whole result."""
+
     def query(s, d):
         at = scratch(s)
         stream = J.read(s, f"{d}/events.parquet*", R.table(s, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
+        made = job(stream)
         if mode == "append":
-            J.run(job(stream), f"{at}/out", f"{at}/cp").awaitTermination()
-            return s.read.parquet(f"{at}/out")
-        keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out/{n}")
-        J.run(job(stream), "", f"{at}/cp", mode, each=keep).awaitTermination()
-        return s.read.option("recursiveFileLookup", True).parquet(f"{at}/out")
+            J.run(made, f"{at}/out", f"{at}/cp").awaitTermination()
+        else:
+            keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out")
+            J.run(made, "", f"{at}/cp", mode, each=keep).awaitTermination()
+        return s.read.schema(made.schema).parquet(f"{at}/out")
 
     return query
 
 
+def lateness(s, d):
+    """A watermark delay that covers all stored events: files are read in any order of their times."""
+    span = R.table(s, d, "events").agg(F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))).first()[0]
+    return f"{(span or 0) + 86_400} seconds"
+
+
 accepted = lambda e: e.select("ts", F.when(F.col("event_type") == "click", "approve").when(F.col("event_type") == "purchase", "approve_with_edit").otherwise("reject").alias("action"))
 windows = streamed(lambda e: J.windowed_actions(accepted(e)))
 add("ST02_windowed_actions", lambda s, d: windows(s, d).withColumn("start", F.date_format("start", "yyyy-MM-dd")), "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, count(*) AS n, count(*) FILTER (WHERE event_type IN ('click', 'purchase')) AS accepted, round(count(*) FILTER (WHERE event_type IN ('click', 'purchase')) / count(*), 6) AS rate FROM events GROUP BY 1")
@@ -164,5 +173,5 @@ add("ST07_running_confusion", streamed(lambda e: J.running_confusion(e.select(F.
     "SELECT event_type AS lang, count(*) FILTER (WHERE value > 50 AND event_id % 2 = 0) AS tp, count(*) FILTER (WHERE NOT value > 50 AND event_id % 2 = 0) AS fp, count(*) FILTER (WHERE value > 50 AND event_id % 2 <> 0) AS fn, count(*) FILTER (WHERE NOT value > 50 AND event_id % 2 <> 0) AS tn FROM events GROUP BY 1")
 add("ST01_audit_records", streamed(lambda e: J.audit_records(e.select("event_id", F.concat(F.col("event_type"), F.lit(" by "), F.col("user_id").cast("string")).alias("text")), [("click", "press")]).select("event_id", "rewrite", "has_bias_detected"), "append"),
     "SELECT event_id, replace(event_type, 'click', 'press') || ' by ' || user_id AS rewrite, event_type = 'click' AS has_bias_detected FROM events")
-add("ST04_sessions", streamed(lambda e: J.sessions(e.withColumnRenamed("user_id", "reviewer")), "append"))
-add("ST05_fresh_texts", streamed(lambda e: J.fresh_texts(e.select("ts", F.col("props").alias("text"))), "append"))
+add("ST04_sessions", lambda s, d: streamed(lambda e: J.sessions(e.withColumnRenamed("user_id", "reviewer"), late=lateness(s, d)))(s, d))  # complete mode: open sessions as well
+add("ST05_fresh_texts", lambda s, d: streamed(lambda e: J.fresh_texts(e.select("ts", F.col("props").alias("text")), late=lateness(s, d)), "append")(s, d))

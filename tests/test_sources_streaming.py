@@ -108,3 +108,19 @@ def test_whole_texts_are_counted(spark, tmp_path):
     issues = catalog.queries()["V02_lexicon_issues"](spark, str(tmp_path)).collect()
     assert (5, "IDENTICAL_TERMS") in {(r["row_no"], r["issue"]) for r in issues}
     assert catalog.queries()["V03_lexicon_report"](spark, str(tmp_path)).first()["n_valid"] == 4  # all but document 5
+
+
+def test_streams_over_many_files(spark, tmp_path):
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.xxhash64("event_id"), F.lit(30 * 86_400)))
+    kind = F.element_at(F.array(*map(F.lit, ("click", "purchase", "view"))), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = spark.range(660).withColumnRenamed("id", "event_id").select("event_id", at.alias("ts"), (F.col("event_id") % 4).alias("user_id"), kind.alias("event_type"), (F.col("event_id") % 100).cast("double").alias("value"), F.concat(F.lit("text "), (F.col("event_id") % 90).cast("string")).alias("props"))
+    rows.repartition(220).write.parquet(f"{tmp_path}/events.parquet")
+    batch = spark.read.parquet(f"{tmp_path}/events.parquet")
+    assert len(batch.inputFiles()) > 200  # three batches
+    got = {n: catalog.queries()[n](spark, str(tmp_path)) for n in ("ST02_windowed_actions", "ST04_sessions", "ST05_fresh_texts", "ST07_running_confusion")}
+    same = lambda n, want: sorted(map(str, got[n].collect())) == sorted(map(str, want.collect()))
+    actions = batch.select("ts", F.when(F.col("event_type") == "view", "reject").otherwise("approve").alias("action"))
+    assert same("ST02_windowed_actions", J.windowed_actions(actions).withColumn("start", F.date_format("start", "yyyy-MM-dd")))
+    assert same("ST04_sessions", J.sessions(batch.withColumnRenamed("user_id", "reviewer")))
+    assert same("ST07_running_confusion", J.running_confusion(batch.select(F.col("event_type").alias("lang"), (F.col("value") > 50).alias("has_bias"), (F.col("event_id") % 2 == 0).alias("predicted"))))
+    assert sorted(r["text"] for r in got["ST05_fresh_texts"].collect()) == sorted(f"text {i}" for i in range(90))
