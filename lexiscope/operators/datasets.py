@@ -51,6 +51,19 @@ def numbered(rows: DataFrame, order: Sequence[str], start: int | Column = 0, nam
     return placed.join(offsets, "_p").withColumn(name, (F.col("_before") + F.col("_r") + first).cast("long")).drop("_p", "_r", "_before")
 
 
+def ranked(rows: DataFrame, by: Column, key: str, seed: int) -> DataFrame:
+    """Rows with their place ``_r`` in the seeded order among the ``_all`` rows of their stratum ``by``.
+
+    A stratum is dealt into 4,096 parts by its leading digits, so no task holds a whole one; a row's place is
+    that in its part after the counts of the parts before.
+    """
+    placed = rows.withColumn("_k", F.struct(by.alias("by"))).withColumn("_o", seeded(key, seed)).withColumn("_b", F.substring("_o", 1, 3))
+    parts, before = W.partitionBy("_k"), W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    counts = placed.groupBy("_k", "_b").agg(F.count(F.lit(1)).alias("_n")).select("_k", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(parts).alias("_all"))
+    own = F.row_number().over(W.partitionBy("_k", "_b").orderBy("_o"))
+    return placed.withColumn("_own", own).join(counts, ["_k", "_b"]).withColumn("_r", F.col("_before") + F.col("_own")).drop("_k", "_o", "_b", "_own", "_before")
+
+
 def assigned(rows: DataFrame, annotators: Sequence[str], order: Sequence[str], name: str = "annotator") -> DataFrame:
     """W-05, M-20: contiguous blocks of rows to annotators; the first ones get one more."""
     k = len(annotators)
@@ -71,17 +84,15 @@ def capped_by_key(rows: DataFrame, key: str, most: int, order: Sequence[Column])
 
 def stratified_split(rows: DataFrame, label: str, key: str, share: float, seed: int = 42, name: str = "split") -> DataFrame:
     """M-06: max(1, int(n * share)) validation rows of every stratum, by seeded rank."""
-    rank = F.row_number().over(W.partitionBy(label).orderBy(seeded(key, seed)))
-    n = F.count(F.lit(1)).over(W.partitionBy(label))
-    return rows.withColumn(name, F.when(rank <= F.greatest(F.lit(1), F.floor(n * share)), "val").otherwise("train"))
+    val = F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_all") * share))
+    return ranked(rows, F.col(label), key, seed).withColumn(name, F.when(val, "val").otherwise("train")).select(*rows.columns, name)
 
 
 def oversampled(rows: DataFrame, minority: Column, key: str, ratio: float) -> DataFrame:
     """M-07, M-10: minority rows repeated until they make ``ratio`` of all: int(major * ratio / (1 - ratio)) rows."""
     counts = rows.agg(F.count_if(minority).alias("_few"), F.count_if(~minority).alias("_many"))
     goal = F.greatest(F.col("_few"), F.floor(F.col("_many") * ratio / (1 - ratio)).cast("long"))
-    rank = F.row_number().over(W.partitionBy(minority).orderBy(seeded(key, 1)))
-    few = rows.where(minority).withColumn("_r", rank).join(F.broadcast(counts))
+    few = ranked(rows.where(minority), F.lit(True), key, 1).drop("_all").join(F.broadcast(counts))
     times = F.floor(goal / F.col("_few")) + F.when(F.col("_r") <= F.pmod(goal, F.col("_few")), 1).otherwise(0)
     copies = few.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long")))).drop("_r", "_few", "_many")
     return rows.where(~minority).withColumn("copy", F.lit(1).cast("long")).unionByName(copies)
@@ -90,9 +101,8 @@ def oversampled(rows: DataFrame, minority: Column, key: str, ratio: float) -> Da
 def undersampled(rows: DataFrame, minority: Column, key: str, times: int, seed: int = 42) -> DataFrame:
     """M-09: all minority rows and ``times`` as many others, by seeded rank."""
     n = rows.agg(F.count_if(minority).alias("_few"))
-    rank = F.row_number().over(W.orderBy(seeded(key, seed)))
     others = rows.where(~minority)
-    kept = others.select(key, rank.alias("_r")).join(F.broadcast(n)).where(F.col("_r") <= F.col("_few") * times).select(key)
+    kept = ranked(others.select(key), F.lit(False), key, seed).join(F.broadcast(n)).where(F.col("_r") <= F.col("_few") * times).select(key)
     return rows.where(minority).unionByName(others.join(kept, key, "left_semi"))
 
 

@@ -86,7 +86,8 @@ add("S11_bio_scan", lambda s, d: S.read_bio(s, conll(s, d)).groupBy("tag").agg(F
 add("A43_person_terms", lambda s, d: P.person_terms(S.read_bio(s, conll(s, d))))
 add("S17_sentence_pairs", lambda s, d: S.benchmark_sentences(docs(s, d).select(F.col("text").alias("sent_more"), F.col("lang").alias("sent_less"), F.when(F.col("doc_id") % 2 == 0, "gender").otherwise("age").alias("bias_type")), "pairs").groupBy("has_bias").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("chars")),
     "SELECT true AS has_bias, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT false, count(*), CAST(sum(length(lang)) AS BIGINT) FROM documents WHERE doc_id % 2 = 0")
-add("S22_batches", lambda s, d: S.batch_rows(S.unannotated(docs(s, d), "ann").withColumn("lang", F.substring("text", 1, 1)).groupBy("annotator_id", F.col("lang").alias("language")).agg(F.collect_list(F.struct("text", "confidence")).alias("samples")).withColumn("batch_id", F.col("language"))).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.max("pos").cast("long").alias("last")),
+batch = lambda s, d: S.unannotated(docs(s, d), "ann", ["doc_id"]).withColumn("batch_id", F.substring("text", 1, 1))
+add("S22_batches", lambda s, d: D.ranked(batch(s, d), F.col("batch_id"), "doc_id", 1).withColumn("pos", F.col("_r") - 1).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.max("pos").cast("long").alias("last")),
     "SELECT text[1] AS batch_id, count(*) AS n, count(*) - 1 AS last FROM documents GROUP BY 1")
 add("S28_registry_append", lambda s, d: S.appended_registry(docs(s, d).where("source = 'src1'").select(F.col("lang").alias("tag")), docs(s, d).select(F.col("lang").alias("tag"), "doc_id").unionByName(docs(s, d).select(F.col("source").alias("tag"), "doc_id"))),
     "SELECT tag, doc_id FROM (SELECT lang AS tag, doc_id FROM documents UNION ALL SELECT source, doc_id FROM documents) WHERE tag NOT IN (SELECT lang FROM documents WHERE source = 'src1')")

@@ -145,9 +145,9 @@ def batch_rows(batches: DataFrame) -> DataFrame:
     return batches.select("batch_id", "language", "annotator_id", F.posexplode("samples").alias("pos", "sample")).select("batch_id", "language", "annotator_id", "pos", "sample.*")
 
 
-def unannotated(texts: DataFrame, annotator: str) -> DataFrame:
-    """S-22: texts as samples to be annotated."""
-    return texts.select("text", F.lit(None).cast("boolean").alias("has_bias"), F.lit(annotator).alias("annotator_id"), F.lit("medium").alias("confidence"))
+def unannotated(texts: DataFrame, annotator: str, keep: Sequence[str] = ()) -> DataFrame:
+    """S-22: texts as samples to be annotated, with the columns to ``keep``."""
+    return texts.select(*keep, "text", F.lit(None).cast("boolean").alias("has_bias"), F.lit(annotator).alias("annotator_id"), F.lit("medium").alias("confidence"))
 
 
 def write_corpus(rows: DataFrame, path: str, source: str, order: Sequence[str]) -> None:

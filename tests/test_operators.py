@@ -1,5 +1,7 @@
 """Hand-checked cases of the library's operators."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +177,26 @@ def test_validation_rows(spark):
     got = {(r["row_no"], r["issue"], r["level"]) for r in V.issues(lex, "row_no", V.lexicon_checks()).collect()}
     assert got == {(1, "IDENTICAL_TERMS", "error"), (1, "IDENTICAL_EXAMPLES", "error"), (2, "IDENTICAL_TERMS", "warning"), (2, "MISSING_EXAMPLE_BIASED", "warning"), (2, "MISSING_BIAS_LABEL", "info"), (2, "MISSING_STEREOTYPE_CATEGORY", "info"), (3, "SIMILAR_EXAMPLES", "warning")}
     assert V.header_issues(["language", "biased"])[0] == ("error", "neutral_primary")
+
+
+def test_ranks_without_one_task(spark):
+    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 10 == 0, "a").when(F.col("id") % 10 < 9, "b").alias("label"))
+    got = D.ranked(rows, F.col("label"), "id", 3).collect()
+    for label in ("a", "b", None):
+        own = [r for r in got if r["label"] == label]
+        order = sorted(own, key=lambda r: hashlib.md5(f"{r['id']}-3".encode()).hexdigest())
+        assert [r["_r"] for r in order] == list(range(1, len(own) + 1)) and {r["_all"] for r in own} == {len(own)}
+    few = F.col("label") == "a"
+    for made in (D.stratified_split(rows, "label", "id", 0.15), D.oversampled(rows, few, "id", 0.3), D.undersampled(rows, few, "id", 4)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        ranks = [x for x in plan.splitlines() if "row_number" in x and "Window" in x]
+        assert ranks and all("_b#" in x for x in ranks)
+
+
+def test_batches_are_not_collected(spark, tmp_path):
+    from lexiscope.plans import catalog
+
+    spark.createDataFrame([(1, "ab"), (2, "ac"), (3, "b"), (4, ""), (5, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = catalog.queries()["S22_batches"](spark, str(tmp_path))
+    assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["batch_id"], r["n"], r["last"]) for r in made.collect()} == {("a", 2, 1), ("b", 1, 0), ("", 1, 0), (None, 1, 0)}
