@@ -80,9 +80,16 @@ def bias_patterns(docs: DataFrame, roles: Sequence[str], gendered: Sequence[str]
 
 
 def person_terms(tagged: DataFrame) -> DataFrame:
-    """A-43: lower-cased tokens outside entities, counted in sentences (sentence, pos, token, tag) with a person."""
-    people = tagged.where(F.col("tag").endswith("PER")).select("sentence").distinct()
-    return tagged.join(people, "sentence", "left_semi").where("tag = 'O'").groupBy(F.lower("token").alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    """A-43: lower-cased tokens outside entities, counted in sentences (sentence, pos, token, tag) with a person.
+
+    Where the reader says so in ``person``, no token is shuffled to find out.
+    """
+    if "person" in tagged.columns:
+        own = tagged.where("person")
+    else:
+        people = tagged.where(F.col("tag").endswith("PER")).select("sentence").distinct()
+        own = tagged.join(people, "sentence", "left_semi")
+    return own.where("tag = 'O'").groupBy(F.lower("token").alias("term")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def rewrite_ratios(rows: DataFrame, before: str = "text", after: str = "rewrite") -> DataFrame:

@@ -78,7 +78,7 @@ def conll(s, d):
     at = scratch(s)
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     tagged = F.array_join(F.transform(words, lambda w: F.concat(w, F.lit(" "), F.when(w.rlike("^[A-Z]"), "B-PER").otherwise("O"))), "\n")
-    docs(s, d).select(F.concat(tagged, F.lit("\n")).alias("value")).write.text(at)
+    docs(s, d).select(F.concat(tagged, F.lit("\n")).alias("value")).write.option("compression", "gzip").text(at)
     return at
 
 

@@ -72,11 +72,12 @@ def read_texts(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def read_bio(spark: SparkSession, path: str) -> DataFrame:
-    """S-11: (sentence, pos, token, tag) of lines with exactly two fields; a blank line ends a sentence."""
+    """S-11: (sentence, pos, token, tag) of lines with exactly two fields; a blank line ends a sentence. ``person``: it has a PER tag."""
     rows = spark.read.text(path, lineSep="\n\n").select(F.monotonically_increasing_id().alias("sentence"), F.split("value", "\n").alias("lines"))
-    blocks = rows.select("sentence", F.posexplode("lines").alias("pos", "line"))
+    person = F.exists("lines", lambda x: F.trim(x).rlike(r"^\S+\s+\S*PER\z"))
+    blocks = rows.select("sentence", person.alias("person"), F.posexplode("lines").alias("pos", "line"))
     parts = F.split(F.trim("line"), r"\s+")
-    return blocks.where(F.size(parts) == 2).select("sentence", "pos", F.get(parts, F.lit(0)).alias("token"), F.get(parts, F.lit(1)).alias("tag"))
+    return blocks.where(F.size(parts) == 2).select("sentence", "pos", F.get(parts, F.lit(0)).alias("token"), F.get(parts, F.lit(1)).alias("tag"), "person")
 
 
 def sniffed_formats(spark: SparkSession, path: str, lines: int = 50) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from lexiscope.operators import prepare as P
 from lexiscope.plans import catalog
 from lexiscope.sources import files as S
 from lexiscope.streaming import jobs as J
@@ -105,6 +106,9 @@ def test_whole_texts_are_counted(spark, tmp_path):
     assert {r["tag"]: r["n"] for r in catalog.queries()["S11_bio_scan"](spark, str(tmp_path)).collect()} == tags
     terms = Counter(w.lower() for ws in words if any(map(named, ws)) for w in ws if not named(w))
     assert {r["term"]: r["n"] for r in catalog.queries()["A43_person_terms"](spark, str(tmp_path)).collect()} == terms
+    tagged = S.read_bio(spark, put(tmp_path / "b.conll", "Jane B-PER\nran O\n\nPER x y\nhe O\n\nsat  O\nBo I-PER\n"))
+    both = [sorted((r["term"], r["n"]) for r in P.person_terms(t).collect()) for t in (tagged, tagged.drop("person"))]
+    assert both[0] == both[1] == [("ran", 1), ("sat", 1)]
     issues = catalog.queries()["V02_lexicon_issues"](spark, str(tmp_path)).collect()
     assert (5, "IDENTICAL_TERMS") in {(r["row_no"], r["issue"]) for r in issues}
     assert catalog.queries()["V03_lexicon_report"](spark, str(tmp_path)).first()["n_valid"] == 4  # all but document 5
