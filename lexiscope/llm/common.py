@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,24 +20,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: ``spark.checkpoint.dir``; in local mode one of our own where unset."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexiscope-"))
         found = context.getCheckpointDir()
-        if not found:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="lexiscope-"))
-            found = context.getCheckpointDir()
     return found
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/lexiscope/{label}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/lexiscope/{label}-{uuid.uuid4().hex}"
+    path = path or scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch path that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A to Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,7 +1,10 @@
 """Connected components of a graph given as edges, by alternating large-star and small-star steps.
 
-Each step is a grouped minimum (partially aggregated before the shuffle) joined back to the edges, so
-that no neighbourhood is gathered in one task and Spark may split the join of a hub's edges.
+Each step is a grouped minimum (partially aggregated before the shuffle) joined back to the edges. Nodes
+with more than ``HUB`` edges are few (at most twice the edges by HUB), so their minima are broadcast and
+their edges are never shuffled by the hub; all others meet theirs in an equi join.
+
+Cases: loops are left out; repeated and reversed edges count once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,25 +12,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import saved
+from lexiscope.llm.common import BROADCAST_BYTES, removed, saved, scratch
+
+#: Edges of a node from which on it is a hub, at least, and bytes of a hub's row in memory, generously.
+HUB, HUB_BYTES = 500, 128
+
+
+def with_least(edges: DataFrame, n_edges: int) -> DataFrame:
+    """(a, b) to (a, b, m): m is the least of a and of all b of that a."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    is_hub = F.col("n") > max(HUB, 2 * n_edges * HUB_BYTES // BROADCAST_BYTES)
+    tagged = edges.join(F.broadcast(least.where(is_hub).select("a", F.col("m").alias("hub_m"))), "a", "left")
+    rest = tagged.where("hub_m is null").select("a", "b").join(least.where(~is_hub).select("a", "m"), "a")
+    return tagged.where("hub_m is not null").select("a", "b", F.col("hub_m").alias("m")).unionByName(rest)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) to (node, root) for every node with an edge to another; root is the least node of its component."""
-    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = digest(now)
-    for _ in range(most_rounds):
+    spark = edges.sparkSession
+    path = scratch(spark, "edges")
+    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", path)
+    before, seen = None, digest(now)
+    while before != seen and seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        ends = large.join(least, "a").select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
-        now = saved(ends.where("a <> b").distinct(), "edges")
+        large_path, next_path = scratch(spark, "large"), scratch(spark, "edges")
+        large = saved(with_least(both, 2 * seen[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large", large_path)
+        small = with_least(large, 2 * seen[0])
+        ends = small.select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
+        now = saved(ends.where("a <> b").distinct(), "edges", next_path)
+        removed(spark, path)
+        removed(spark, large_path)
+        path = next_path
         before, seen = seen, digest(now)
-        if before == seen:
-            break
-    else:
-        raise RuntimeError("components did not converge")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
