@@ -10,20 +10,21 @@ from lexiscope.llm.decontaminate import find_hits, hit_words, is_contaminated
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document; rows that share id and text share their result and are given once each."""
+    """One row per row of documents; rows that share id and text share their result."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = find_hits(docs, table(spark, sf_dir, "benchmark"))
-    n_hit, n_words = hit_words(F.col("spans")).cast("long"), F.col("n_words").cast("long")
-    items = F.array_sort(F.transform("items", lambda i: i.cast("string")))
-    out = hits.select(
+    rows, hits = find_hits(docs, table(spark, sf_dir, "benchmark"))
+    hits = hits.select(F.col("id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "spans", "items")
+    met = rows.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
+    n_hit = F.coalesce(hit_words(F.col("spans")), F.lit(0)).cast("long")
+    items = F.coalesce(F.array_sort(F.transform("items", lambda i: i.cast("string"))), F.array().cast("array<string>"))
+    out = met.select(
         F.col("id").alias("doc_id"),
-        n_words.alias("n_words"),
+        F.col("n_words").cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
+        F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        F.col("rows"),
     )
-    return out.withColumn("contaminated", is_contaminated(F.col("n_hit"), F.col("n_words"))).withColumn("rows", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("rows")
+    return out.withColumn("contaminated", is_contaminated(F.col("n_hit"), F.col("n_words")))
 
 
 ORACLE = r"""
