@@ -1,16 +1,21 @@
 """Sharding by a two-pass external shuffle, in DataFrame functions only.
 
 Pass 1 scatters records uniformly into memory-sized buckets by a seeded hash of their key and
-their text. Pass 2 holds one bucket per task, puts it into a defined order and runs Spark's
-Fisher-Yates ``shuffle`` over it. Buckets follow each other in the shuffled sequence, so position
-p belongs to shard ``p mod n`` at slot ``p div n``: shard sizes in rows differ by one at most.
+their text. Records that are equal in both and together fill more than a quarter of a bucket are
+scattered by their running number as well, so that no bucket holds them all. Pass 2 holds one bucket
+per task, puts it into a defined order and runs Spark's Fisher-Yates ``shuffle`` over it. Buckets
+follow each other in the shuffled sequence, so position p belongs to shard ``p mod n`` at slot
+``p div n``: shard sizes in rows differ by one at most.
 
 Both passes are repeatable: a lost executor's tasks give the same permutation again, because the
-bucket is the partition number, its rows are ordered before the shuffle and the seed is fixed.
-
-Cases: a null key or text hashes as null and is a record like others; rows that are equal in key
-and text are interchangeable and each keep a slot; an empty table gives an empty result; extra
-columns of any type travel along, and names of the added columns may be chosen by the caller.
+bucket is the partition number, its rows are ordered before the shuffle and the seed is fixed. The
+running numbers repeat for frames read from files; save other frames first.
+
+Cases: a null key or text hashes as null and is a record like others; empty and very long texts are
+records (a bucket holds at least one record, whatever its size); rows that are equal in key
+and text are interchangeable and each keep a slot; ties in the hash go by the running number; an empty
+table gives an empty result; extra columns of any type travel along, and an added column whose name is
+taken gets the next free name (``shard_``).
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexiscope.llm.common import BROADCAST_BYTES
+from lexiscope.llm.common import BROADCAST_BYTES, free_name, saved
 
 #: Bytes of records per bucket. One bucket is held in memory by one task.
 BUCKET_BYTES = 16 << 20
@@ -36,6 +41,13 @@ def record_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
+def held_bytes(df: DataFrame) -> Column:
+    """Bytes of a whole row in memory, about: contents of strings, binaries and nested values, and 8 for each column."""
+    flat = [F.octet_length(df[c]) for c, t in df.dtypes if t in ("string", "binary")]
+    nested = [F.octet_length(F.to_json(F.struct(df[c]))) for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]
+    return sum((F.coalesce(x, F.lit(0)).cast("long") for x in flat + nested), F.lit(8 * len(df.columns)).cast("long"))
+
+
 def shuffled_shards(
     df: DataFrame,
     n_shards: int,
@@ -47,14 +59,22 @@ def shuffled_shards(
     slot: str = "slot",
 ) -> DataFrame:
     """All rows and columns of ``df`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0)."""
-    clash = {shard, slot} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    shard = free_name(df, shard)
+    slot = free_name(df.withColumn(shard, F.lit(0)), slot)
     payload = F.struct(*[df[c].alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row")
     key_hash = F.xxhash64(F.lit(seed), *[F.col(c) for c in key], F.xxhash64(F.col(text)))
-    total = df.agg(F.coalesce(F.sum(record_bytes(F.col(text))), F.lit(0)).alias("b")).first()["b"]
+
+    # how much there is, and which equal records fill more than a quarter of a bucket: four a bucket at most
+    groups = saved(df.select(key_hash.alias("h"), held_bytes(df).alias("b")).groupBy("h").agg(F.sum("b").alias("b")), "shard-groups")
+    total = groups.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()["b"]
     n_buckets = max(1, -(-int(total) // bucket_bytes))
-    scattered = df.select(payload, key_hash.alias("h")).withColumn("bucket", F.pmod("h", F.lit(n_buckets)).cast("int"))
+    hot = groups.where(F.col("b") * 4 > bucket_bytes).select(F.col("h").alias("hot_h"))
+    if 4 * n_buckets * OFFSET_BYTES <= BROADCAST_BYTES:
+        hot = F.broadcast(hot)
+    own = F.monotonically_increasing_id()
+    scattered = df.select(payload, key_hash.alias("h"), own.alias("own")).join(hot, F.col("h") == F.col("hot_h"), "left")
+    spread = F.when(F.col("hot_h").isNull(), F.col("h")).otherwise(F.xxhash64("h", "own"))
+    scattered = scattered.select("row", spread.alias("h")).withColumn("bucket", F.pmod("h", F.lit(n_buckets)).cast("int"))
 
     # Pass 1: one partition per bucket. Pass 2: Fisher-Yates within each.
     held = scattered.repartitionById(n_buckets, F.col("bucket")).groupBy("bucket").agg(F.collect_list(F.struct("h", "row")).alias("rows"))
