@@ -5,17 +5,19 @@ back to its character n-grams (with word ends marked), from the longest down: th
 which any n-gram is known decides, by the mean over those n-grams, at a discount per step.
 
 The model is fitted on a bounded sample of labelled rows (``per_language`` documents of each
-language, chosen by a hash) and keeps the most frequent entries of each language, so that its size is
-bounded too. It is collected once and sent to the workers. Prediction reads whole texts.
+language, chosen by a hash) and keeps every word and n-gram of that sample. It is collected once and
+sent to the workers. Prediction reads whole texts, however long.
 
-Cases: null texts and texts without a letter give ``und`` with score 0; ties go to the language that
-sorts first; rows without a language are not learned from; without any labelled row all texts give
-``und``; repeated rows and words count as often as they occur; an empty table gives an empty result.
+Cases: null and empty texts and texts without a letter (Unicode category L) give ``und`` with score 0;
+ties go to the language that sorts first; rows without a language are not learned from; without any
+labelled row all texts give ``und``; repeated rows and words count as often as they occur; an empty table
+gives an empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,11 +29,12 @@ from pyspark.sql import Window as W
 
 from lexiscope.llm.common import bernoulli
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters of Python's ``re`` that are numbers but neither digits nor letters, such as fractions.
+_NUMBERS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 UNDETERMINED = "und"
-#: Sample and model bounds: documents and kept words and n-grams of each language, over all languages.
-PER_LANGUAGE, MAX_ENTRIES = 1000, 1_000_000
-PER_LANGUAGE_ENTRIES = 40_000
+#: Bound of the sample: documents of each language.
+PER_LANGUAGE = 500
 GRAM_LENGTHS = (5, 4, 3, 2, 1)
 SMOOTHING, DISCOUNT = 0.5, 0.7
 #: Words of evidence that the score is taken to rest on at most.
@@ -75,9 +78,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     by_word = sample.mapInPandas(words, "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n"))
     by_gram = by_word.mapInPandas(grams, "lang string, size int, entry string, n long").groupBy("lang", "size", "entry").agg(F.sum("n").alias("n"))
     every = by_word.select("lang", F.lit(0).alias("size"), "entry", "n").unionByName(by_gram)
-    each = max(1, min(PER_LANGUAGE_ENTRIES, MAX_ENTRIES // len(langs)))
-    rank = F.row_number().over(W.partitionBy("lang", "size").orderBy(F.desc("n"), "entry"))
-    kept = every.withColumn("total", F.sum("n").over(W.partitionBy("lang", "size"))).withColumn("r", rank).where((F.col("r") <= each) & (F.col("n") > 1))
+    kept = every.withColumn("total", F.sum("n").over(W.partitionBy("lang", "size")))
 
     at = {k: i for i, k in enumerate(langs)}
     tables: list[tuple[dict[str, int], np.ndarray]] = []
@@ -85,12 +86,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     for size in (0, *GRAM_LENGTHS):
         own = got[got["size"] == size]
         entries = {e: i for i, e in enumerate(sorted(set(own["entry"])))}
-        counts = np.zeros((len(entries), len(langs)))
+        counts = np.zeros((len(entries), len(langs)), dtype=np.float32)
         totals = np.zeros(len(langs))
         cols = own["lang"].map(at).to_numpy(dtype=int)
         counts[own["entry"].map(entries).to_numpy(dtype=int), cols] = own["n"].to_numpy()
         totals[cols] = own["total"].to_numpy()
-        logs = np.log(counts + SMOOTHING) - np.log(totals + SMOOTHING * (len(entries) + 1))
+        logs = np.log(counts + np.float32(SMOOTHING)) - np.log(totals + SMOOTHING * (len(entries) + 1)).astype(np.float32)
         tables.append((entries, (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32) if len(entries) else logs.astype(np.float32)))
     return {"langs": langs, "tables": tables}
 
