@@ -1,13 +1,14 @@
-"""Token counts with the tokenizer libraries, in Arrow batches that return lengths only.
+"""Token counts with the tokenizer libraries, in Arrow functions that return lengths only.
 
 Texts are split at safe boundaries into units (white space with the word after it), and each
 distinct unit is encoded once per worker: units go to the library in batches of about equal bytes.
 A boundary is safe if a visible character stands before it and a blank, tab or line end after it:
-none of the supported pre-tokenizers joins those two, so that counts add up. Texts with other white
-space are given to the library whole.
+none of the supported pre-tokenizers joins those two, so that counts add up. After any other white
+space a unit goes on to the next word. Vocabularies whose counts don't add up get whole texts.
 
 Cases: null and empty texts have 0 tokens; whole texts are counted, whatever their length; special
-strings inside a text are handled as the library does by default; an empty table gives an empty result.
+strings inside a text are handled as the library does by default; repeated rows get equal counts; an
+empty table gives an empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 1 << 20
 #: Distinct units that a worker remembers; then it starts afresh.
 CACHE_UNITS = 500_000
-UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+#: White space that pre-tokenizers may join with what follows it (class body).
+OTHER = "\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿"
+UNIT = re.compile(rf"[ \t\n\r]*[^ \t\n\r]+(?:(?<=[{OTHER}])[ \t\n\r]+[^ \t\n\r]*)*|[ \t\n\r]+")
 
 
 def encoder(path: str) -> tuple[Callable[[list[str]], list[int]], bool]:
@@ -45,12 +47,16 @@ def encoder(path: str) -> tuple[Callable[[list[str]], list[int]], bool]:
     return lambda texts: [len(x) for x in pieces.encode(texts, num_threads=1)], False
 
 
+def utf8(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def by_bytes(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
     """Slices of ``texts`` with about equal bytes."""
     batch, held = [], 0
     for t in texts:
         batch.append(t)
-        held += len(t)
+        held += utf8(t)
         if held >= limit:
             yield batch
             batch, held = [], 0
@@ -70,7 +76,7 @@ class Counter:
         for group in self.rows_by_bytes(texts):
             units = {}
             for i in group:
-                if not self.splits or OTHER_SPACE.search(texts[i]):
+                if not self.splits:
                     whole.append(i)
                 else:
                     units[i] = UNIT.findall(texts[i])
@@ -93,7 +99,7 @@ class Counter:
         for i, t in enumerate(texts):
             if t:
                 group.append(i)
-                held += len(t)
+                held += utf8(t)
                 if held >= 4 * BATCH_BYTES:
                     yield group
                     group, held = [], 0
@@ -104,10 +110,10 @@ class Counter:
 def token_count(text: Column, path: str) -> Column:
     """Tokens of every text by the vocabulary file at ``path``, which must exist on every machine."""
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Counter(path)
         for texts in batches:
-            yield pd.Series(own.count([t if isinstance(t, str) else None for t in texts]), dtype="int64")
+            yield pa.array(own.count(texts.to_pylist()), pa.int64())
 
     return count(text)
