@@ -31,7 +31,7 @@ def test_language_id(spark):
     rows = [(i, " ".join(rng.choice(vocab[l]) for _ in range(12)), l, None, 0) for i, l in enumerate(["en", "de"] * 30)]
     docs = frame(spark, rows)
     model = langid.fit(docs)
-    cases = [(1, "the house"), (2, "der hause"), (3, None), (4, ""), (5, "123 !!"), (6, "hauses " * 30_000), (7, "the house")]
+    cases = [(1, "the house"), (2, "der hause"), (3, None), (4, ""), (5, "123 !! ½ ② Ⅷ"), (6, "hauses " * 30_000), (7, "the house")]
     got = {r["doc_id"]: r["s"] for r in frame(spark, cases, "doc_id long, text string").select("doc_id", langid.identify(F.col("text"), model, spark).alias("s")).collect()}
     assert (got[1]["lang"], got[2]["lang"], got[6]["lang"]) == ("en", "de", "de")
     assert all(got[i]["lang"] == "und" and got[i]["score"] == 0 for i in (3, 4, 5))
@@ -218,11 +218,22 @@ def test_sharding(spark):
     counts = [sum(p[0] == s for p in places) for s in range(24)]
     assert len(places) == len(rows) and max(counts) - min(counts) <= 1
     assert all((s, k) in places for s in range(24) for k in range(counts[s]))
-    again = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shuffled_shards(docs.repartition(3), 24, bucket_bytes=2000).select("doc_id", "shard", "slot").collect()}
-    assert again == {(r["doc_id"], r["shard"], r["slot"]) for r in got}
+    seen = lambda df: sorted(map(str, sharding.shuffled_shards(df, 24, bucket_bytes=2000).select("doc_id", "shard", "slot").collect()))
+    assert seen(docs) == sorted(str(r) for r in out.select("doc_id", "shard", "slot").collect())
+    few = docs.where("text is null or text <> 'same'").where("doc_id is not null")
+    assert seen(few) == seen(few.repartition(3))
     assert sharding.shuffled_shards(frame(spark, []), 24).count() == 0
-    with pytest.raises(ValueError):
-        sharding.shuffled_shards(docs.withColumn("slot", F.lit(1)), 24)
+    clash = sharding.shuffled_shards(docs.withColumn("slot", F.lit(1)), 24)
+    assert clash.columns[-2:] == ["shard", "slot_"] and clash.count() == len(rows)
+
+
+def test_sharding_spreads_equal_rows(spark, tmp_path):
+    frame(spark, [(1, "same text", None, None, 0)] * 3000 + [(i, f"t{i}", None, None, 0) for i in range(300)]).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    out = sharding.shuffled_shards(docs, 7, bucket_bytes=3000).select("doc_id", "shard", "slot", F.spark_partition_id().alias("p")).collect()
+    assert len({(r["shard"], r["slot"]) for r in out}) == 3300
+    held = [sum(r["p"] == p for r in out if r["doc_id"] == 1) for p in {r["p"] for r in out}]
+    assert max(held) < 400
 
 
 def test_sharding_writes(spark, tmp_path):
@@ -330,13 +341,13 @@ def test_decontamination_equals_brute_force(spark):
         docs.append((i, " ".join(own).upper() if i % 5 == 0 else " ".join(own)))
     docs += [(500, None), (501, ""), (502, items[9][1]), (502, items[9][1]), (None, items[8][1]), (503, " ".join([items[9][1]] * 300))]
     df, bench = frame(spark, docs, "doc_id long, text string"), frame(spark, items, "item_id long, text string")
-    got = decontaminate.find_hits(df, bench).select("id", "text_hash", "n_words", "rows", decontaminate.hit_words(F.col("spans")).alias("n"), F.array_sort("items").alias("items")).collect()
-    want = {}
-    for i, t in docs:
-        want.setdefault((i, brute_hits(t, items)[0]), []).append(brute_hits(t, items))
-    assert sum(r["rows"] for r in got) == len(docs)
-    for r in got:
-        assert (r["n_words"], r["n"], r["items"]) == want[r["id"], r["n_words"]][0]
+    for limit in (decontaminate.BROADCAST_BYTES, 0):
+        rows, hits = decontaminate.find_hits(df, bench, broadcast_bytes=limit)
+        got = hits.select("id", "n_words", decontaminate.hit_words(F.col("spans")).alias("n"), F.array_sort("items").alias("items")).collect()
+        every = {(i, brute_hits(t, items)[0]): brute_hits(t, items) for i, t in docs}
+        assert sorted(map(str, ((r["id"], r["n_words"]) for r in rows.collect()))) == sorted(str((i, brute_hits(t, items)[0])) for i, t in docs)
+        assert {(r["id"], r["n_words"]): (r["n_words"], r["n"], r["items"]) for r in got} == {k: v for k, v in every.items() if v[1]}
+        assert len(got) == sum(v[1] > 0 for v in every.values())
     kept = {r["doc_id"] for r in decontaminate.decontaminated(df, bench).collect()}
     assert kept == {i for i, t in docs if not (brute_hits(t, items)[1] > 0 and 20 * brute_hits(t, items)[1] >= brute_hits(t, items)[0])}
 
@@ -344,7 +355,25 @@ def test_decontamination_equals_brute_force(spark):
 def test_decontamination_edges(spark):
     df, none = frame(spark, [(1, "a b c")], "doc_id long, text string").withColumn("item", F.lit(1)), frame(spark, [], "item_id long, text string")
     assert decontaminate.decontaminated(df, none).count() == 1
-    assert decontaminate.find_hits(df.limit(0), none).count() == 0
+    assert [x.count() for x in decontaminate.find_hits(df.limit(0), none)] == [0, 0]
+    clashing = frame(spark, [(1, "a b c"), (1, "a b c"), (None, "x y")], "doc_id long, text string").withColumn("hit_id", F.lit(1)).withColumn("spans", F.lit(2)).withColumn("words", F.lit(3))
+    kept = decontaminate.decontaminated(clashing, frame(spark, [(1, "b c")], "item_id long, text string"))
+    assert kept.columns == clashing.columns and [r["doc_id"] for r in kept.collect()] == [None]
+
+
+def test_decontamination_of_long_texts_is_linear(spark):
+    import time
+
+    rng = random.Random(7)
+    item = words(rng, 40)
+    took = []
+    for n in (20_000, 160_000):
+        df = frame(spark, [(1, words(rng, n) + " " + item)], "doc_id long, text string")
+        began = time.perf_counter()
+        hits = decontaminate.find_hits(df, frame(spark, [(1, item)], "item_id long, text string"))[1].collect()
+        took.append(time.perf_counter() - began)
+        assert len(hits) == 1 and hits[0]["n_words"] == n + 40
+    assert took[1] < 8 * took[0] + 2
     cut = decontaminate.decontaminated(frame(spark, [(1, "one. two, three four")], "doc_id long, text string"), frame(spark, [(1, "two three")], "item_id long, text string"), remove_spans=True)
     assert cut.first()["text"] == "one four"
 
