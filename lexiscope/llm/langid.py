@@ -29,9 +29,9 @@ from pyspark.sql import Window as W
 
 from lexiscope.llm.common import bernoulli
 
+LETTERS = re.compile(r"[^\W\d_]+")
 #: Word characters of Python's ``re`` that are numbers but neither digits nor letters, such as fractions.
-_NUMBERS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+NUMBERS = {c: " " for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()}
 UNDETERMINED = "und"
 #: Bound of the sample: documents of each language.
 PER_LANGUAGE = 500
@@ -43,6 +43,14 @@ EVIDENCE = 40
 CACHE_WORDS = 400_000
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased runs of letters."""
+    text = text.lower()
+    if not text.isascii() and not NUMBERS.keys().isdisjoint(text):
+        text = text.translate(str.maketrans(NUMBERS))
+    return LETTERS.findall(text)
+
+
 def grams_of(word: str, n: int) -> list[str]:
     marked = f"<{word}>"
     return [marked[i : i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(word)
@@ -62,7 +70,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         for b in batches:
             counts: dict[tuple[str, str], int] = Counter()
             for t, of in zip(b["text"], b["lang"], strict=True):
-                for w, n in Counter(LETTERS.findall(t.lower())).items():
+                for w, n in Counter(words_of(t)).items():
                     counts[of, w] += n
             yield pd.DataFrame([(of, w, n) for (of, w), n in counts.items()], columns=["lang", "entry", "n"])
 
@@ -125,7 +133,7 @@ class Scorer:
         return i
 
     def score(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.langs:
             return UNDETERMINED, 0.0
         if len(self.row) > CACHE_WORDS:
