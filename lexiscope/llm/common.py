@@ -49,6 +49,21 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def join_by_count(left: DataFrame, right: DataFrame, key: str, n: str, rows: int, hot: int = 500, row_bytes: int = 128) -> DataFrame:
+    """``left`` inner-joined with ``right``, which has one row per key and in ``n`` how many rows of ``left`` the key has.
+
+    Keys of many rows are few (at most ``rows`` by their least count, which is chosen so that they fit into
+    BROADCAST_BYTES): theirs are broadcast, and no task gets all rows of such a key. The rest is an equi join.
+    """
+    is_hot = F.col(n) > max(hot, rows * row_bytes // BROADCAST_BYTES)
+    more = [c for c in right.columns if c not in (key, n)]
+    side = right.where(is_hot).select(F.col(key), F.struct(F.lit(True).alias("yes"), *more).alias("hot_row"))
+    tagged = left.join(F.broadcast(side), key, "left")
+    rest = tagged.where("hot_row is null").drop("hot_row").join(right.where(~is_hot).drop(n), key)
+    found = tagged.where("hot_row is not null").select(*left.columns, *[F.col(f"hot_row.{c}").alias(c) for c in more])
+    return found.unionByName(rest.select(*left.columns, *more))
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A to Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

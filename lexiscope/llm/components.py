@@ -1,8 +1,8 @@
 """Connected components of a graph given as edges, by alternating large-star and small-star steps.
 
 Each step is a grouped minimum (partially aggregated before the shuffle) joined back to the edges. Nodes
-with more than ``HUB`` edges are few (at most twice the edges by HUB), so their minima are broadcast and
-their edges are never shuffled by the hub; all others meet theirs in an equi join.
+with very many edges are few, so their minima are broadcast and their edges are never shuffled by the
+hub; all others meet theirs in an equi join.
 
 Cases: loops are left out; repeated and reversed edges count once; an empty table gives an empty result.
 """
@@ -12,19 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import BROADCAST_BYTES, removed, saved, scratch
-
-#: Edges of a node from which on it is a hub, at least, and bytes of a hub's row in memory, generously.
-HUB, HUB_BYTES = 500, 128
+from lexiscope.llm.common import join_by_count, removed, saved, scratch
 
 
 def with_least(edges: DataFrame, n_edges: int) -> DataFrame:
     """(a, b) to (a, b, m): m is the least of a and of all b of that a."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    is_hub = F.col("n") > max(HUB, 2 * n_edges * HUB_BYTES // BROADCAST_BYTES)
-    tagged = edges.join(F.broadcast(least.where(is_hub).select("a", F.col("m").alias("hub_m"))), "a", "left")
-    rest = tagged.where("hub_m is null").select("a", "b").join(least.where(~is_hub).select("a", "m"), "a")
-    return tagged.where("hub_m is not null").select("a", "b", F.col("hub_m").alias("m")).unionByName(rest)
+    return join_by_count(edges, least, "a", "n", n_edges)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -14,14 +14,18 @@
    whole signatures, pairs below ``matches`` are left, and the others are confirmed on full shingle
    sets, best first, unless both ends are in one component already: what a task returns is a
    spanning forest, never all pairs.
-5. Clusters larger than a block are dealt into blocks, each with the cluster's first document.
-   Documents that are not linked with it then meet all blocks, pair of blocks by pair of blocks, so that no
-   cluster is held by one task and no pair is lost.
-6. Components of all links; the smallest id names each.
+5. Clusters larger than a block are dealt into blocks, each with the cluster's first document, and every
+   document also meets the first document of each of its prefix tokens, so that chains and stars are
+   linked in linear work. Only documents outside the cluster's largest component so far
+   meet all blocks, pair of blocks by pair of blocks: no cluster is held by one task and no pair is lost.
+6. Components of all links; the smallest id names each. Tokens and hubs of very many documents are
+   joined by broadcast (they are few), so that no task gets all posts of one.
 
 Cases: documents without words (null, empty or blank text) have an empty set and are linked with
-nothing; texts with fewer words than a shingle are one shingle; a row without id takes no part and keeps a null
-component; rows with one id and several texts count as one node; an empty table gives an empty result.
+nothing; texts with fewer words than a shingle are one shingle; very long texts are read whole; ties at
+the threshold are links; repeated rows are copies of each other; a row without id takes no part and keeps
+a null component; rows with one id and several texts count as one node; an empty table gives an empty
+result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexiscope.llm.common import ASCII_SPACE, BROADCAST_BYTES, saved
+from lexiscope.llm.common import ASCII_SPACE, BROADCAST_BYTES, join_by_count, saved
 from lexiscope.llm.components import components
 
 WORD = re.compile(f"[^{ASCII_SPACE}]+")
@@ -123,10 +127,10 @@ def posted(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     return docs.select("node", F.explode(tokens).alias("token"))
 
 
-def with_partners(posts: DataFrame, matches: int) -> DataFrame:
+def with_partners(posts: DataFrame, matches: int, rows: int) -> DataFrame:
     """(node, token, freq): posts under tokens of several documents, for nodes that have enough of those."""
     freq = posts.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    shared = posts.join(freq, "token")
+    shared = join_by_count(posts, freq.withColumn("n", F.col("freq")), "token", "n", rows)
     return shared.withColumn("c", F.count(F.lit(1)).over(W.partitionBy("node"))).where(F.col("c") >= matches).drop("c")
 
 
@@ -184,6 +188,37 @@ def link(nodes: np.ndarray, labels: np.ndarray, texts: list[str], left: np.ndarr
             yield x, root
 
 
+def same_id_links(all_docs: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (id, class) of ids that have several rows with words; None without such ids."""
+    again = saved(all_docs.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "dup-again")
+    if again.isEmpty():
+        return None
+    own = all_docs.where("n_shingles > 0").join(again, "doc_id", "left_semi").select("doc_id", "k1", "k2").distinct()
+    return own.join(classes.select("k1", "k2", "node"), ["k1", "k2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+
+
+def hub_links(texts: DataFrame, met: DataFrame, members: DataFrame, width: int, percent: int, matches: int) -> DataFrame:
+    """Confirmed links (a, b) of large clusters' documents with the first documents of their prefix tokens.
+
+    A hub's partners are dealt into cells of about BLOCK_ROWS rows and BLOCK_SHINGLES shingles, each with the hub.
+    """
+    pairs = met.join(members.where("blocks > 1").select("node", "n"), "node")
+    sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    sizes = saved(sizes, "dup-hub-sizes")
+    dealt = join_by_count(pairs, sizes, "hub", "rows", pairs.count())
+    at = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")).cast("int")
+    needs = dealt.select(F.col("node").alias("doc_id"), "hub", at.alias("part"))
+    needs = needs.unionByName(sizes.select(F.col("hub").alias("doc_id"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+
+    def star(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("doc_id", kind="stable")
+        ids = b["doc_id"].to_numpy(dtype=np.int64)
+        out = link(ids, ids, b["text"].tolist(), ids == b["hub"].to_numpy(dtype=np.int64), width, percent, matches, Shingler(width))
+        return pd.DataFrame(list(out), columns=["a", "b"], dtype="int64")
+
+    return texts.select("doc_id", "text").join(needs, "doc_id").groupBy("hub", "part").applyInPandas(star, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; links are pairs with ``percent`` of their union shared."""
     matches = matches_for(percent / 100)
@@ -192,19 +227,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     classes = saved(classes, "dup-classes")
 
     # posts, then fewer posts of fewer documents, then prefixes
-    posts = saved(with_partners(posted(classes), matches), "dup-posts")
-    posts = with_partners(posts.select("node", "token"), matches)
+    n_posts = COORDINATES * classes.count()
+    posts = saved(with_partners(posted(classes), matches, n_posts), "dup-posts")
+    posts = with_partners(posts.select("node", "token"), matches, n_posts)
     rank = F.row_number().over(W.partitionBy("node").orderBy("freq", "token"))
     prefix = posts.withColumn("r", rank).withColumn("c", F.count(F.lit(1)).over(W.partitionBy("node"))).where(F.col("r") <= F.col("c") - matches + 1)
     prefix = saved(prefix.select("node", "token"), "dup-prefix")
     hubs = prefix.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    coarse = components(prefix.join(hubs, "token").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    met = saved(join_by_count(prefix, hubs, "token", "n", n_posts).where("node <> hub").select("node", "hub").distinct(), "dup-met")
+    coarse = components(met.select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
     # clusters and their blocks
     sized = coarse.join(classes.select("node", "n"), "node")
     clusters = sized.groupBy("root").agg(F.sum("n").alias("cn"), F.count(F.lit(1)).alias("rows"))
     blocks = F.greatest(F.ceil(F.col("cn") / BLOCK_SHINGLES), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int")
-    members = saved(sized.join(clusters.select("root", blocks.alias("blocks")), "root").select("node", "root", "blocks", "n"), "dup-members")
+    clusters = clusters.select("root", "rows", blocks.alias("blocks"))
+    members = saved(join_by_count(sized, clusters, "root", "rows", n_posts).select("node", "root", "blocks", "n"), "dup-members")
     known = members.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("blocks"), F.lit(0)).alias("blocks")).first()
     side = members.select(F.col("node").alias("doc_id"), "root", "blocks")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null")
@@ -227,13 +265,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     links = saved(cells.groupBy("cell").applyInPandas(within, "a long, b long"), "dup-links")
-    labels = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+    same = same_id_links(all_docs, classes)
+    if known["blocks"] > 1:
+        links = links.unionByName(saved(hub_links(texts, met, members, width, percent, matches), "dup-hubs"))
+    if known["blocks"] > 1 or same is not None:
+        links = links if same is None else links.unionByName(same)
+        labels = components(links).where("node <> root").select("node", F.col("root").alias("label"))
+    else:
+        labels = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
     if known["blocks"] > 1:
-        # documents that their cluster's first one isn't linked with, against all blocks
-        big = texts.where("blocks > 1").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        # documents outside their cluster's largest component so far, against all blocks; large clusters are few
+        few = lambda df: F.broadcast(df) if known["rows"] // BLOCK_ROWS * 64 <= BROADCAST_BYTES else df
+        named = members.where("blocks > 1").join(labels, "node", "left").select("node", "root", F.coalesce("label", "node").alias("label"))
+        named = saved(named, "dup-named")
+        main = named.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+        big = texts.where("blocks > 1").join(named.select(F.col("node").alias("doc_id"), "label"), "doc_id").join(few(main), "root")
         big = saved(big, "dup-large")
-        loose = big.where("label <> root")
-        parts = loose.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
+        loose = big.where("label <> main")
+        parts = few(loose.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts")))
         kind = "root long, i int, j int, doc_id long, label long, text string, side boolean"
         ones = loose.join(parts, "root").select("root", scatter(F.col("parts"), 5).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "doc_id", "label", "text", F.lit(True).alias("side"))
         others = big.join(parts, "root").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), scatter(F.col("blocks"), 3).alias("j"), "doc_id", "label", "text", F.lit(False).alias("side"))
