@@ -7,18 +7,22 @@
 3. Splitting tree: the quotas of all sources are split between the two halves of the output
    shards by an exact multivariate-hypergeometric draw (source after source, each conditional on
    the ones before), then each half again, down to single shards. Totals hold exactly.
-4. Draw: as documents are in a seeded random order, so are their blocks; each epoch starts at a block
-   of its own. Shard after shard takes its quota of the blocks that follow, so that draws are disjoint
-   and few documents are cut. ``shard_key`` puts the rows of a shard into a shuffled order.
+4. Draw: each epoch puts the source's blocks into a permutation of its own (a seeded swap-or-not
+   shuffle, computed for each block by itself). Shard after shard takes the quota that the tree gave
+   it from the permuted blocks, so that draws are disjoint. What a document gives is the sum over the
+   shards that took a part of it. Each shard's rows are then put into a shuffled local order.
 
 Only DataFrame functions are used. What is held per source (a row with its quotas) is the only
 thing gathered: a tree node holds one array with an entry per source. Documents are never grouped
 by source; running sums go over (source, sub-bucket) and then over sub-bucket totals, so that a
-source with most rows spreads over many tasks.
+source with most rows spreads over many tasks. Rows that are equal in key, source and size and more than
+SUB_ROWS go by their running number (which repeats for frames read from files).
 
 Cases: a null source is a source of its own, last in order; null or empty texts have size 0 and
-are never taken; a source of size 0 has target 0; an empty table gives an empty result; equal rows
-are interchangeable; other columns travel along unchanged.
+are never taken; a very long text lies in many blocks and may give a part of its words; a source of
+size 0 has target 0; an empty table gives an empty result; equal rows are interchangeable, and ties in the
+seeded order go by size; other columns travel along unchanged, and an added column whose name is taken
+gets the next free name (``target_``).
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexiscope.llm.common import ASCII_SPACE, saved
+from lexiscope.llm.common import ASCII_SPACE, BROADCAST_BYTES, saved
 
 WORD = f"[^{ASCII_SPACE}]+"
 WORD_WITH_GAP = f"[{ASCII_SPACE}]*[^{ASCII_SPACE}]+"
@@ -38,6 +42,8 @@ WORD_WITH_GAP = f"[{ASCII_SPACE}]*[^{ASCII_SPACE}]+"
 BLOCK_WORDS, MIN_BLOCKS, MAX_BLOCKS = 2048, 1000, 100_000
 #: Rows per (source, sub-bucket) group, about.
 SUB_ROWS = 4096
+#: Rounds of the swap-or-not shuffle; shards' chunks in the local order.
+ROUNDS, CHUNKS = 20, 64
 ADDED = ("source_size", "target", "pieces", "taken")
 
 
@@ -134,7 +140,20 @@ def splitting_tree(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
     return leaves.select("skey", running.alias("cum"))
 
 
-def mixed(
+def permuted(x: Column, n: Column, *key: Column) -> Column:
+    """The place of x among 0 to n - 1 in a pseudorandom permutation that ``key`` chooses.
+
+    Swap-or-not: a round pairs x with (k - x) mod n, and both change places if the pair's bit is set.
+    """
+
+    def step(at: Column, r: Column) -> Column:
+        other = F.pmod(F.xxhash64(*key, r) - at, n)
+        return let(other, lambda o: F.when(F.pmod(F.xxhash64(*key, r, F.greatest(at, o)), F.lit(2)) == 1, o).otherwise(at))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), step)
+
+
+def planned(
     df: DataFrame,
     size: str = "size",
     source: str = "source",
@@ -145,19 +164,25 @@ def mixed(
     cap: float = 2.0,
     seed: int = 41,
 ) -> DataFrame:
-    """``df`` with source_size, target, pieces (epoch, block, shard, first, n: words of the text) and taken."""
-    clash = set(ADDED) & set(df.columns)
-    if clash:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-    columns = [F.col(f"r.c{i}").alias(c) for i, c in enumerate(df.columns)]
-    order = F.xxhash64(F.lit(seed), *[F.col(c) for c in key], F.col(size))
+    """(r, size, source_size, target, pieces, taken); r holds the columns of ``df`` as c0, c1 and so on.
+
+    ``pieces`` are what the shards take: epoch, block, shard, first word and number of words.
+    """
+    order = F.xxhash64(F.lit(seed), *[F.col(c) for c in key], F.col(size), source_key(F.col(source)))
     keyed = df.select(
         F.struct(*[df[c].alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("r"),
         source_key(F.col(source)).alias("skey"),
         F.col(size).cast("long").alias("size"),
         order.alias("h"),
+        F.monotonically_increasing_id().alias("own"),
     )
-    n_sub = max(1, -(-df.count() // SUB_ROWS))
+    by_hash = df.groupBy(order.alias("hot_h")).agg(F.count(F.lit(1)).alias("n"))
+    hot = saved(by_hash.where(F.col("n") > SUB_ROWS).select("hot_h"), "mix-hot")
+    n_rows = df.count()
+    hot = F.broadcast(hot) if n_rows // SUB_ROWS * 64 <= BROADCAST_BYTES else hot
+    n_sub = max(1, -(-n_rows // SUB_ROWS))
+    keyed = keyed.join(hot, F.col("h") == F.col("hot_h"), "left")
+    keyed = keyed.withColumn("h", F.when(F.col("hot_h").isNull(), F.col("h")).otherwise(F.xxhash64("h", "own"))).drop("hot_h", "own")
     keyed = keyed.withColumn("sub", F.pmod("h", F.lit(n_sub)).cast("int"))
 
     # what is known of each (source, sub-bucket), then of each source
@@ -173,7 +198,8 @@ def mixed(
         .withColumn("quota", F.col("epochs") * F.col("n_blocks") + F.round((F.col("target") - F.col("epochs") * s) / F.col("block")).cast("long"))
     )
     quotas = saved(quotas, "mix-quotas")
-    plan = saved(quotas.join(splitting_tree(quotas.select("skey", "quota"), n_shards, seed), "skey"), "mix-plan")
+    tree = splitting_tree(quotas.select("skey", "quota"), n_shards, seed)
+    plan = saved(quotas.drop("quota", "epochs").join(tree, "skey"), "mix-plan")
     before = W.partitionBy("skey").orderBy("sub").rowsBetween(W.unboundedPreceding, -1)
     offsets = subs.select("skey", "sub", F.coalesce(F.sum("sub_size").over(before), F.lit(0)).alias("sub_first"))
 
@@ -181,26 +207,48 @@ def mixed(
     inside = W.partitionBy("skey", "sub").orderBy("h", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = keyed.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["skey", "sub"]).join(plan, "skey")
     placed = placed.withColumn("at", F.col("at") + F.col("sub_first"))
+    every = F.element_at("cum", -1)
 
     def piece(epoch: int, b: Column) -> Column:
-        turn = F.xxhash64(F.lit(seed), F.lit(epoch), F.col("skey"))
-        drawn = epoch * F.col("n_blocks") + F.pmod(b + F.pmod(turn, F.col("n_blocks")), F.col("n_blocks"))
+        place = F.col("n_blocks") * epoch + permuted(b, F.col("n_blocks"), F.lit(seed), F.lit(epoch), F.col("skey"))
         first = F.greatest(F.lit(0), b * F.col("block") - F.col("at"))
         last = F.least(F.col("size"), (b + 1) * F.col("block") - F.col("at"))
-        shard = F.size(F.filter("cum", lambda c: c <= drawn)) - 1
-        return F.when(
-            drawn < F.col("quota"),
-            F.struct(F.lit(epoch).alias("epoch"), b.alias("block"), shard.alias("shard"), first.alias("first"), (last - first).alias("n")),
-        )
+        shard = let(place, lambda drawn: F.when(drawn < every, F.size(F.filter("cum", lambda c: c <= drawn)) - 1))
+        shard = F.when(F.col("n_blocks") * epoch < every, shard)
+        return F.struct(F.lit(epoch).alias("epoch"), b.alias("block"), shard.alias("shard"), first.alias("first"), (last - first).alias("n"))
 
     passes = range(int(cap) + 1)
     lo = F.floor(F.col("at") / F.col("block")).cast("long")
     hi = F.floor((F.col("at") + F.col("size") - 1) / F.col("block")).cast("long")
     pieces = F.flatten(F.transform(F.sequence(lo, hi), lambda b: F.array(*[piece(e, b) for e in passes])))
     kind = "array<struct<epoch:int,block:bigint,shard:int,first:bigint,n:bigint>>"
-    pieces = F.when(F.col("size") > 0, F.filter(pieces, lambda p: p.isNotNull()).cast(kind)).otherwise(F.array().cast(kind))
+    pieces = F.when(F.col("size") > 0, F.filter(pieces, lambda p: p["shard"].isNotNull()).cast(kind)).otherwise(F.array().cast(kind))
     total = F.aggregate("pieces", F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
-    return placed.withColumn("pieces", pieces).select(*columns, "source_size", "target", "pieces", total.alias("taken"))
+    return placed.select("r", "size", "source_size", "target", pieces.alias("pieces")).withColumn("taken", total)
+
+
+def free_names(columns: Sequence[str], wanted: Sequence[str]) -> list[str]:
+    """The wanted names, each with underscores appended until no column before has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def mixed(df: DataFrame, **options) -> DataFrame:
+    """``df`` with source_size, target, pieces and taken (words that all shards take); options as in ``planned``."""
+    added = [F.col(c).alias(n) for c, n in zip(ADDED, free_names(df.columns, ADDED), strict=True)]
+    return planned(df, **options).select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(df.columns)], *added)
+
+
+def shown_shares(pieces: Column) -> Column:
+    """Words by shard as ``shard:words``, in the shards' order, comma-joined."""
+    shards = F.array_sort(F.array_distinct(F.transform(pieces, lambda p: p["shard"])))
+    words = lambda s: F.aggregate(F.filter(pieces, lambda p: p["shard"] == s), F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
+    return F.array_join(F.transform(shards, lambda s: F.concat_ws(":", s.cast("string"), words(s).cast("string"))), ",")
 
 
 def joined_pieces(pieces: Column) -> Column:
@@ -216,28 +264,31 @@ def joined_pieces(pieces: Column) -> Column:
     return F.aggregate(ordered, F.array().cast("array<struct<epoch:int,first:bigint,n:bigint,shard:int>>"), step)
 
 
-def mixture_rows(planned: DataFrame, text: str = "text", size: str = "size", seed: int = 41) -> DataFrame:
-    """The mixture itself: a row per taken copy, with the words taken, ``shard`` and ``shard_key``.
+def mixture(df: DataFrame, text: str = "text", size: str = "size", seed: int = 41, **options) -> DataFrame:
+    """The mixture itself: the columns of ``df``, a row per taken copy, with the words taken and ``shard`` and ``shard_key``.
 
-    A pass that takes all of a document gives its whole text unchanged; else each run of drawn
-    blocks gives a row with its words and the white space before each of them.
+    A pass that takes all of a document gives its whole text unchanged, in the shard of its first words;
+    else each run of drawn blocks gives a row with its words and the white space before each of them.
+    The rows of a shard stand in the shuffled order of ``shard_key`` within each of its CHUNKS.
     """
     whole = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(2)), lambda e: F.filter("pieces", lambda p: p["epoch"] == e)),
-        lambda own: F.aggregate(own, F.lit(0).cast("long"), lambda acc, p: acc + p["n"]) == F.col(size),
+        F.transform(F.sequence(F.lit(0), F.lit(int(options.get("cap", 2.0)))), lambda e: F.filter("pieces", lambda p: p["epoch"] == e)),
+        lambda own: F.aggregate(own, F.lit(0).cast("long"), lambda acc, p: acc + p["n"]) == F.col("size"),
     )
     item = lambda p, n: F.struct(p["epoch"].alias("epoch"), p["shard"].alias("shard"), p["first"].alias("first"), n.alias("n"))
-    full = F.transform(F.filter(whole, lambda own: F.size(own) > 0), lambda own: item(own[0], F.col(size)))
+    full = F.transform(F.filter(whole, lambda own: F.size(own) > 0), lambda own: item(own[0], F.col("size")))
     full_epochs = F.transform(full, lambda p: p["epoch"])
     part = F.transform(joined_pieces(F.filter("pieces", lambda p: ~F.array_contains(full_epochs, p["epoch"]))), lambda p: item(p, p["n"]))
-    taken = planned.withColumn("piece", F.explode(F.concat(full, part)))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD_WITH_GAP), F.lit(0)), (F.col("piece.first") + 1).cast("int"), F.col("piece.n").cast("int")), "")
-    return (
-        taken.withColumn(text, F.when(F.col("piece.n") == F.col(size), F.col(text)).otherwise(cut))
-        .withColumn("shard", F.col("piece.shard"))
-        .withColumn("shard_key", F.xxhash64(F.lit(seed), F.col("piece.epoch"), F.col("piece.first"), F.col(text)))
-        .drop("piece", "pieces", "taken", "source_size", "target")
-    )
+    # outer: an inferred filter on the array would compute it twice
+    taken = planned(df, size=size, seed=seed, **options).select("r", "size", F.explode_outer(F.concat(full, part)).alias("piece")).where("piece is not null")
+    own = F.col(f"r.c{df.columns.index(text)}")
+    cut = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(WORD_WITH_GAP), F.lit(0)), (F.col("piece.first") + 1).cast("int"), F.col("piece.n").cast("int")), "")
+    new_text = F.when(F.col("piece.n") == F.col("size"), own).otherwise(cut)
+    rows = taken.select("r", new_text.alias("new_text"), F.col("piece.shard").alias("shard"), F.xxhash64(F.lit(seed), F.col("piece.epoch"), F.col("piece.first"), own).alias("shard_key"))
+    rows = rows.repartition("shard", F.pmod("shard_key", F.lit(CHUNKS))).sortWithinPartitions("shard", "shard_key")
+    shard, shard_key = free_names(df.columns, ("shard", "shard_key"))
+    kept = [F.col("new_text" if c == text else f"r.c{i}").alias(c) for i, c in enumerate(df.columns)]
+    return rows.select(*kept, F.col("shard").alias(shard), F.col("shard_key").alias(shard_key))
 
 
 def write_mixture(rows: DataFrame, path: str, n_shards: int) -> None:
