@@ -11,14 +11,16 @@ import numpy as np
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^>])*+)>"  # quotes count after "=" only
     r"|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 NAME = re.compile(r"[a-z]+")
 #: Elements by behaviour (fixed values).
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+BLOCK = frozenset("address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split())
+#: Controls that stand inside a line: their own text is a block, the line around them goes on.
+CONTROLS = frozenset("button select textarea datalist output".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template svg iframe object title math canvas audio video".split())
 #: Elements whose content isn't markup but runs to their own end tag; in svg and math it is markup.
@@ -85,16 +87,18 @@ def leaves(page: str | None) -> list[Leaf]:
     """Blocks of a page in order. Scripts, styles, comments and the title aren't blocks."""
     page = page or ""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    leaf, hidden, at, in_link = None, "", 0, 0
+    stack: list[tuple[str, tuple[str, ...], Leaf | None]] = []
+    leaf, hidden, depth, at, in_link = None, "", 0, 0, 0
     in_head: bool | None = None
     endless: set[str] = set()
 
     def close(names: frozenset | set, stop: frozenset = frozenset(("div", "ul", "ol", "table", "td", "body"))) -> None:
-        nonlocal in_link
+        nonlocal in_link, leaf
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 in_link -= sum(x[0] == "a" for x in stack[i:])
+                if stack[i][0] in CONTROLS:
+                    leaf = stack[i][2]
                 del stack[i:]
                 return
             if stack[i][0] in stop - names:
@@ -106,7 +110,7 @@ def leaves(page: str | None) -> list[Leaf]:
             if leaf is None:
                 if raw.isspace():
                     return
-                leaf = Leaf(tuple(names for _, names in stack))
+                leaf = Leaf(tuple(names for _, names, _ in stack))
                 out.append(leaf)
             leaf.parts.append(html.unescape(raw) if "&" in raw else raw)
             if in_link:
@@ -135,8 +139,9 @@ def leaves(page: str | None) -> list[Leaf]:
             if in_head and of_head:
                 hidden = ""
             else:
-                if closing and tag == hidden:
-                    hidden = ""
+                if tag == hidden and (closing or opens):
+                    depth += -1 if closing else 1
+                    hidden = hidden if depth else ""
                 elif opens and tag in RAW and hidden not in ("svg", "math"):
                     at = max(at, content_end(tag))
                 continue
@@ -146,16 +151,16 @@ def leaves(page: str | None) -> list[Leaf]:
             leaf = None
             continue
         if tag in HIDDEN:
-            leaf = None
             if opens and tag in RAW:
                 at = content_end(tag)
             elif opens:
-                hidden = tag
+                hidden, depth = tag, 1
             continue
-        if tag not in INLINE:
+        around = leaf
+        if tag in BLOCK or tag in CONTROLS:
             leaf = None
         if closing:
-            close({tag}, frozenset() if tag not in INLINE else frozenset(("p", "div", "li", "td", "article", "section")))
+            close({tag}, frozenset() if tag in BLOCK else frozenset(("p", "div", "li", "td", "article", "section")))
         elif tag not in VOID:
             if tag in ENDS_P:
                 close({"p"})
@@ -164,7 +169,7 @@ def leaves(page: str | None) -> list[Leaf]:
             words = [tag]
             if "=" in m[3]:
                 words += [n for a in ATTRIBUTE.finditer(m[3]) for n in NAME.findall((a[1] or a[2] or a[3] or "").lower())]
-            stack.append((tag, tuple(words)))
+            stack.append((tag, tuple(words), around if tag in CONTROLS else None))
             in_link += tag == "a"
             if tag in RAW and (end := content_end(tag)) >= 0:
                 add(page[at:end])

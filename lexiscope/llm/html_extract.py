@@ -8,11 +8,17 @@ block if it belongs to the article. The text is the chosen blocks in page order.
 Training: ``TRAIN_PAGES`` pages, chosen by hash, lend their blocks' texts. They are laid out anew in many
 page skeletons (wrappers, menus, side columns, notices, adverts, forms, comments, in varying markup),
 so that every block's label is known by construction; page copies with the pages' own markup, where
-an ``article`` or ``main`` element says what is what, are added. The bound is a parameter; labelling reads whole pages.
+an ``article`` or ``main`` element says what is what, are added. Long pages are trained on in pieces of
+``TRAIN_BLOCKS`` blocks. The bounds are parameters; labelling reads whole pages.
 
-Cases: null and empty pages have an empty text; unclosed, cut and misnested markup is read as far as it
-goes; character references are decoded once; repeated rows give equal results; without any page the
-labeller is trained on placeholder words; an empty table gives an empty result.
+White space is what Unicode calls so, no-break spaces included. Inline elements, images and scripts inside a line
+don't end a block; a button's or list's text is a block of its own and the line around it goes on.
+
+Cases: null and empty pages have an empty text; very long pages are read whole; unclosed, cut and misnested
+markup is read as far as it goes; character references are decoded once; a score of exactly one half is
+the article's; repeated rows give equal results and are learned from once; without any page the labeller
+is trained on placeholder words; an empty table gives an empty result; other columns, whatever their
+names, play no part.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lexiscope.llm.html_blocks import WIDTH, Features, Leaf, leaves
 
-#: Bound of the training pages, laid-out pages per epoch, epochs, hidden size, blocks of a training sequence.
+#: Bound of the training pages, laid-out pages, epochs, hidden size, blocks of a training sequence.
 TRAIN_PAGES, LAYOUTS, EPOCHS, HIDDEN, TRAIN_BLOCKS = 120, 600, 6, 16, 60
 #: Blocks that are labelled together, about.
 BATCH_BLOCKS = 8192
@@ -49,8 +55,8 @@ class BiLstm:
                 params["b" + d] = np.concatenate([np.ones(HIDDEN), np.zeros(3 * HIDDEN)])
         self.p = params
 
-    def states(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """(time, batch, HIDDEN) states of direction ``d`` and what the backward pass needs."""
+    def states(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+        """(time, batch, HIDDEN) states of direction ``d`` and, if asked to, what the backward pass needs."""
         steps, n, _ = x.shape
         h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
         out, tape = np.zeros((steps, n, HIDDEN)), []
@@ -63,19 +69,20 @@ class BiLstm:
             m = mask[t][:, None]
             new_c = f * c + i * g
             new_h = o * np.tanh(new_c)
-            tape.append((t, h, c, f, i, o, g, new_c))
+            if keep:
+                tape.append((t, h, c, f, i, o, g, new_c))
             h, c = m * new_h + (1 - m) * h, m * new_c + (1 - m) * c
             out[t] = h
         return out, tape
 
-    def scores(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
-        hf, tf = self.states(x, mask, "f")
-        hb, tb = self.states(x, mask, "b")
+    def scores(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+        hf, tf = self.states(x, mask, "f", keep)
+        hb, tb = self.states(x, mask, "b", keep)
         every = np.concatenate([hf, hb, x], axis=2)
         return sigmoid(every @ self.p["o"] + self.p["ob"]), (every, tf, tb)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
-        s, (every, tf, tb) = self.scores(x, mask)
+        s, (every, tf, tb) = self.scores(x, mask, True)
         e = (s - y) * mask / mask.sum()
         grad = {"o": np.tensordot(e, every, axes=([0, 1], [0, 1])), "ob": np.array([e.sum()])}
         for d, tape, part in (("f", tf, slice(0, HIDDEN)), ("b", tb, slice(HIDDEN, 2 * HIDDEN))):
@@ -214,25 +221,32 @@ def own_labels(page: list[Leaf]) -> np.ndarray | None:
     return y if y.any() else None
 
 
-def fit(pages: DataFrame, column: str = "html", key: str = "page_id", most: int = TRAIN_PAGES, seed: int = 17) -> dict[str, np.ndarray]:
-    """Parameters of the labeller, from at most about ``most`` pages."""
-    keyed = pages.where(F.col(column).isNotNull()).select(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(key).alias("k"))
-    chosen = keyed.orderBy("h", "k").limit(most).select("k").distinct()
-    rows = pages.join(F.broadcast(chosen), pages[key] == F.col("k"), "left_semi").select(F.col(column).alias("html")).collect()
-    known = [leaves(r["html"])[:TRAIN_BLOCKS] for r in sorted(rows, key=lambda r: r["html"])[: 2 * most]]
+def fit(pages: DataFrame, column: str = "html", key: str = "page_id", most: int = TRAIN_PAGES, seed: int = 17, layouts: int = LAYOUTS, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
+    """Parameters of the labeller, from at most ``most`` different pages."""
+    keyed = pages.where(F.col(column).isNotNull()).select(F.xxhash64(F.lit(seed), F.col(key), F.col(column)).alias("h"), F.col(column).alias("html"))
+    last = [r["h"] for r in keyed.select("h").distinct().orderBy("h").limit(most).collect()]
+    chosen = keyed.where(F.col("h") <= max(last, default=0)).groupBy("h").agg(F.first("html").alias("html")).orderBy("h").limit(most)
+    known = [leaves(r["html"]) for r in chosen.collect()] if last else []
     texts = [leaf.text for page in known for leaf in page] or ["some words of a page", "other words stand here"]
     rng, features = np.random.default_rng(seed), Features()
-    sequences = [(features.rows(page), y) for page in known if page and (y := own_labels(page)) is not None]
-    for _ in range(LAYOUTS):
+    sequences = []
+
+    def learn(page: list[Leaf], y: np.ndarray) -> None:
+        x = features.rows(page)
+        sequences.extend((x[at : at + TRAIN_BLOCKS], y[at : at + TRAIN_BLOCKS]) for at in range(0, len(page), TRAIN_BLOCKS))
+
+    for page in known:
+        if page and (y := own_labels(page)) is not None:
+            learn(page, y)
+    for _ in range(layouts):
         markup, main = laid_out(rng, texts)
-        page = leaves(markup)[:TRAIN_BLOCKS]
+        page = leaves(markup)
         y = np.array([float(leaf.text.split()[0] in main) for leaf in page])
         for leaf in page:
             leaf.parts = [leaf.text.partition(" ")[2] or leaf.text]
-        if page:
-            sequences.append((features.rows(page), y))
+        learn(page, y)
     net = BiLstm()
-    net.train(sequences)
+    net.train(sequences, epochs)
     return net.p
 
 
