@@ -1,21 +1,26 @@
 """Secret scans: base patterns, and a battery of randomness tests for everything else.
 
 Base spans come from three patterns (``assign``, ``access``, ``hex``). The battery takes every
-other run of secret-like characters, cut at "=" that isn't padding, infers its encoding (the
+other run of at least LEAST secret-like characters that isn't plain lower-case letters (which any
+word is), cut at "=" that isn't padding, infers its encoding (the
 smallest alphabet that holds it) and asks how well the run fits *uniform* draws from that alphabet, against writing as the null
 hypothesis. Three statistics are computed: chi-squared distance of the letter counts from
 uniformity, runs above and below the middle of the alphabet, and lag-one serial correlation. For
 each the null is a departure of at least a given effect size, so that the p-value is small only if
 the run is close to uniform *and* long enough to show it. A run counts by its largest p-value.
+Runs that hold other signs are also cut at "/", then at "-", "_" and "+" (URL paths, prefixed keys), and
+their parts are tested in the same way.
 
-Within a document the runs that were tested go through Benjamini-Hochberg with weights in
-proportion to their length (mean 1): the false-discovery rate is held while longer runs, where the
-tests have power, get more of it. What was not found as a whole, or fits no alphabet, is cut at "/"
-and its parts are tested in the same way, then at "-", "_" and "+" (URL paths, prefixed keys). Each
-of these rounds holds the rate by itself, so that parts take nothing from the test of the wholes.
+All tests of a corpus go through Benjamini-Hochberg together, with weights in proportion to their
+lengths (mean 1): the false-discovery rate is held over the corpus while longer runs, where the tests have
+power, get more of it. The threshold comes from one pass that counts weighted p-values in BINS narrow
+bins (the threshold is a bin's edge, so that the rate stays held); a second pass finds the spans.
+Of a run and its parts the outermost discovery counts.
 
 Cases: a null text is empty and has no spans; offsets are code points, end exclusive; whole texts
-are scanned; a part that overlaps a base span isn't added again; an empty table gives an empty result.
+are scanned, however long; a part that overlaps a base span isn't added again; spans that start together go
+in the order of the kinds; repeated rows are tested each and get equal results; an empty table gives an
+empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -23,11 +28,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Patterns of the base spans (fixed values), with what else each match must fulfil.
@@ -35,8 +40,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
-#: Runs that the battery looks at: this long at least, with a digit or both cases or a sign.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Runs that the battery looks at: this long at least, with a digit or both cases or a sign. Shorter ones
+#: can't reach a small p-value.
+LEAST = 16
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 MIXED = re.compile(r"[0-9+/_=-]|[a-z][A-Z]|[A-Z]{2}[a-z]")
 #: What a run is cut into, round by round (fixed values); signs at its end are padding.
 PARTS = (re.compile(r"[^=]+(?:=+\Z)?"), re.compile(r"[^/]+"), re.compile(r"[^_+-]+"))
@@ -57,6 +64,8 @@ _PLACE = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
 #: absolute values of the runs and serial-correlation coefficients.
 CHI_EFFECT, RUNS_EFFECT, SERIAL_EFFECT = 1.2, 0.55, 0.6
 FALSE_DISCOVERY = 0.05
+#: Bins of weighted p-values: STEPS to a power of ten.
+BINS, STEPS = 2400, 8
 
 
 def normal_cdf(z: float) -> float:
@@ -75,7 +84,7 @@ def battery(run: str) -> float | None:
     """p-value of "this is writing": largest of the three tests; None if no alphabet fits."""
     body = run.rstrip("=")
     kind = encoding_of(body)
-    if kind is None or len(body) < 16:
+    if kind is None or len(body) < LEAST:
         return None
     n, size = len(body), len(ALPHABETS[kind])
     v = np.fromiter((_PLACE[kind][c] for c in body), dtype=np.float64, count=n)
@@ -97,18 +106,21 @@ def battery(run: str) -> float | None:
     return max(p_chi, p_runs, p_serial)
 
 
-def discoveries(p: list[float], lengths: list[int], rate: float = FALSE_DISCOVERY) -> list[bool]:
-    """Benjamini-Hochberg with weights in proportion to length, mean 1."""
-    if not p:
-        return []
-    weight = np.asarray(lengths, dtype=float)
-    q = np.asarray(p) / (weight / weight.mean())
-    order = np.argsort(q, kind="stable")
-    under = np.flatnonzero(q[order] <= rate * np.arange(1, len(p) + 1) / len(p))
-    chosen = np.zeros(len(p), dtype=bool)
-    if len(under):
-        chosen[order[: under[-1] + 1]] = True
-    return chosen.tolist()
+def bin_of(weighted: float) -> int:
+    """Bin of a p-value by its run's length; higher bins are smaller values."""
+    return BINS - 1 if weighted <= 0 else min(BINS - 1, max(0, math.floor(-math.log10(weighted) * STEPS)))
+
+
+def limit_of(counts: Mapping[int, tuple[int, int]], rate: float = FALSE_DISCOVERY) -> int:
+    """Benjamini-Hochberg over bins (number, characters): the first bin whose values are all discoveries; BINS for none."""
+    tests, characters = (sum(c[i] for c in counts.values()) for i in (0, 1))
+    found, limit = 0, BINS
+    for k in sorted(counts, reverse=True):
+        found += counts[k][0]
+        # a bin's largest value times the mean length is the largest weighted p-value in it
+        if 10 ** (-k / STEPS) * characters / tests <= rate * found / tests:
+            limit = k
+    return limit
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -119,33 +131,60 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def random_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs and parts of runs beside the base spans that the battery takes for random."""
-    found = []
+def tested_runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, bin) of all runs and parts of runs beside the base spans that can be tested, wholes first."""
+    out = []
     left = [(m.start(), m.end()) for m in RUN.finditer(text)]
     for parts in PARTS:
-        tested, p, after = [], [], []
+        after = []
         for start, end in left:
             for m in parts.finditer(text[start:end]):
                 s, e = start + m.start(), start + m.end()
-                if e - s < 16:
+                if e - s < LEAST:
                     continue
                 beside = not any(x < e and s < y for x, _, y in base)
                 value = battery(m[0]) if beside and MIXED.search(m[0]) else None
-                if value is None:
+                if value is not None:
+                    out.append((s, e, bin_of(value / (e - s))))
+                if not m[0].isalnum():
                     after.append((s, e))
-                else:
-                    tested.append((s, e))
-                    p.append(value)
-        for (s, e), yes in zip(tested, discoveries(p, [e - s for s, e in tested]), strict=True):
-            if yes:
-                found.append((s, 3, e))
-            else:
-                after.append((s, e))
-        left = [(s, e) for s, e in after if not text[s:e].isalnum()]
+        left = after
+    return list(dict.fromkeys(out))
+
+
+def random_spans(text: str, base: list[tuple[int, int, int]], limit: int | None = None) -> list[tuple[int, int, int]]:
+    """Runs and parts of runs beside the base spans that the battery takes for random; without ``limit`` the text is the corpus."""
+    tests = tested_runs(text, base)
+    if limit is None:
+        limit = limit_of(counted(tests))
+    found: list[tuple[int, int, int]] = []
+    for s, e, k in tests:
+        if k >= limit and not any(x < e and s < y for x, _, y in found):
+            found.append((s, 3, e))
     return sorted(found)
 
 
+def counted(tests: Iterable[tuple[int, int, int]]) -> dict[int, tuple[int, int]]:
+    out: dict[int, tuple[int, int]] = {}
+    for s, e, k in tests:
+        n, c = out.get(k, (0, 0))
+        out[k] = n + 1, c + e - s
+    return out
+
+
+def discovery_limit(docs: DataFrame, text: str = "text", rate: float = FALSE_DISCOVERY) -> int:
+    """The bin from which on the tests of all texts are discoveries. Only counts by bin leave the tasks."""
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            tests = (x for t in b["text"] if isinstance(t, str) for x in tested_runs(t, base_spans(t)))
+            yield pd.DataFrame([(k, n, c) for k, (n, c) in counted(tests).items()], columns=["bin", "n", "characters"])
+
+    texts = docs.select(F.col(text).alias("text")).where("text is not null")
+    sums = texts.mapInPandas(own, "bin int, n long, characters long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("characters").alias("c"))
+    return limit_of({r["bin"]: (r["n"], r["c"]) for r in sums.collect()}, rate)
+
+
 def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -153,8 +192,8 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
 SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
 
-def scan(text: Column) -> Column:
-    """A struct of SCHEMA for every text: counts, digest of the base spans, and all spans."""
+def scan(text: Column, limit: int) -> Column:
+    """A struct of SCHEMA for every text: counts, digest of the base spans, and all spans; ``limit`` as of ``discovery_limit``."""
 
     @F.pandas_udf(SCHEMA)
     def own(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -163,7 +202,7 @@ def scan(text: Column) -> Column:
             for t in texts:
                 t = t if isinstance(t, str) else ""
                 base = base_spans(t)
-                more = random_spans(t, base)
+                more = random_spans(t, base, limit)
                 kinds = [k for _, k, _ in base]
                 digest = hashlib.sha256(shown(base).encode()).hexdigest()
                 rows.append((kinds.count(0), kinds.count(1), kinds.count(2), digest, shown(sorted(base + more)), len(more)))
