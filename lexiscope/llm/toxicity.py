@@ -1,12 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols: insult (I), threat verb (T), target (Y), negation (N), reported speech (R),
-quote (Q), comma and other. Three weighted transducers are composed over the symbols of a clause:
+quote (Q), comma and other. Three weighted transducers over the symbols of a clause are composed into one:
 negation (an insult or threat shortly after a negation turns into ``n``), reported speech and
-quotation (``r``), and targets on either side (insults turn into ``y``, threats into ``t``). What comes out
+quotation (``r``), and targets (insults turn into ``y``, threats into ``t``). A second one reads the clause
+backwards for targets that follow. An arc's weight falls with the distance between the two words. What comes out
 is a list of matched patterns by kind; each weighs its word's learned weight times the arcs' weights.
 A document's score is the logistic of a weighted sum over kinds, so that clauses, not isolated words,
-are scored. Clauses end at . ! ? ; : and line ends.
+are scored; what one kind adds levels off towards MOST. Clauses end at . ! ? ; : and line ends.
 
 Insults are learned from labels: words, and word beginnings (stems that take many endings). An entry's
 weight is the log ratio of its document frequencies in both classes; it is kept if a lower confidence
@@ -14,9 +15,10 @@ bound of that ratio is high enough. Documents that are near copies count once, b
 hash of their runs of three words. Both the stems and the weights of the kinds are fitted on a bounded sample
 (``MAX_TOXIC`` and ``MAX_CLEAN`` labelled rows, chosen by hash); scoring reads all whole texts.
 
-Cases: null and empty texts match nothing and get the score of a text without patterns; several labels
-of one id count by their mean; null labels don't count; without labels all scores are the prior's;
-repeated rows get equal scores; an empty table gives an empty result.
+Cases: null and empty texts match nothing and get the score of a text without patterns; very long texts
+are read whole; several labels of one id count by their mean (one half is toxic); null labels don't count;
+without labels all scores are the prior's; ties between stems go to all of them; repeated rows get equal
+scores; an empty table gives an empty result; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import bernoulli
+from lexiscope.llm.common import BROADCAST_BYTES, bernoulli
 
-#: Bounds of the labelled sample and of the learned lexicon.
-MAX_TOXIC, MAX_CLEAN, MAX_CANDIDATES, MAX_STEMS = 2000, 6000, 60_000, 2000
+#: Bounds of the labelled sample, on average (ids are drawn by hash).
+MAX_TOXIC, MAX_CLEAN = 2000, 6000
 #: Least lower bound of the log ratio, its width in standard errors, and lengths of word beginnings.
 LEAST_RATIO, ERRORS, STEM_LENGTHS = math.log(6), 1.64, range(4, 10)
 CACHE_WORDS = 100_000
@@ -53,8 +55,9 @@ KINDS = {"I": 1.0, "y": 1.2, "n": 0.4, "r": 0.4, "t": 0.8}
 PRIOR_BIAS, PRIOR_SD = -3.0, 1.5
 #: Weight of a threat that has a target, in the unit of the learned insult weights.
 THREAT_WEIGHT = 2.0
-#: What one kind can add up to in a document.
-MOST = 12.0
+#: Level that one kind's sum in a document approaches, and weight of an arc that is one word longer.
+MOST, FADE = 12.0, 0.95
+SYMBOLS = "ITYNRQ,.nryt"
 
 
 class Transducer:
@@ -75,14 +78,29 @@ class Transducer:
         return out
 
 
+def composed(one: Transducer, two: Transducer) -> Transducer:
+    """The transducer that does what ``two`` makes of ``one``'s output: states are pairs, weights multiply."""
+    number, todo, arcs, rest = {(0, 0): 0}, [(0, 0)], {}, {}
+    for a, b in todo:
+        for s in SYMBOLS:
+            a2, mid, w1 = one.arcs.get((a, s), (one.rest[a], s, 1.0))
+            b2, out, w2 = two.arcs.get((b, mid), (two.rest[b], mid, 1.0))
+            if (a2, b2) not in number:
+                number[a2, b2] = len(number)
+                todo.append((a2, b2))
+            arcs[number[a, b], s] = (number[a2, b2], out, w1 * w2)
+        rest[number[a, b]] = arcs[number[a, b], "."][0]
+    return Transducer(arcs, rest)
+
+
 def window(opens: str, turns: dict[str, tuple[str, float]], reach: int, stops: str = "") -> Transducer:
-    """Symbols in ``turns`` change if they stand within ``reach`` symbols after one of ``opens``."""
+    """Symbols in ``turns`` change if they stand within ``reach`` symbols after one of ``opens``; farther ones weigh less."""
     arcs, rest = {}, {0: 0}
     for state in range(reach + 1):
         rest[state] = max(0, state - 1)
         arcs |= {(state, s): (reach, s, 1.0) for s in opens} | {(state, s): (0, s, 1.0) for s in stops}
         if state:
-            arcs |= {(state, s): (state - 1, to, w) for s, (to, w) in turns.items()}
+            arcs |= {(state, s): (state - 1, to, w * FADE ** (reach - state)) for s, (to, w) in turns.items()}
     return Transducer(arcs, rest)
 
 
@@ -97,12 +115,12 @@ def reported() -> Transducer:
 NEGATION = window("N", {"I": ("n", 1.0), "T": (".", 0.0)}, 3, ",")
 REPORTED = reported()
 TARGETED = window("Y", {"I": ("y", 1.0), "T": ("t", 1.0)}, 4)
+FORWARD = composed(composed(NEGATION, REPORTED), TARGETED)
 
 
 def patterns(tape: list[tuple[str, float]]) -> Iterator[tuple[str, float]]:
-    """(kind, weight) of the patterns in a clause: negation, then report, then targets from both sides."""
-    tape = TARGETED.run(REPORTED.run(NEGATION.run(tape)))
-    for symbol, weight in reversed(TARGETED.run(reversed(tape))):
+    """(kind, weight) of the patterns in a clause: forwards, then backwards for targets that follow."""
+    for symbol, weight in reversed(TARGETED.run(reversed(FORWARD.run(tape)))):
         if symbol in KINDS:
             yield symbol, weight
 
@@ -126,7 +144,7 @@ class Grammar:
         return own
 
     def features(self, text: str | None) -> list[float]:
-        """Sums of pattern weights by kind, each up to MOST."""
+        """Sums of pattern weights by kind, each levelling off towards MOST."""
         sums = dict.fromkeys(KINDS, 0.0)
         get = self.symbols.get
         for clause in CLAUSE.split(text.lower()) if text else ():
@@ -134,7 +152,7 @@ class Grammar:
             if any(s in "IT" for s, _ in tape):
                 for kind, weight in patterns(tape):
                     sums[kind] += weight
-        return [min(MOST, v) for v in sums.values()]
+        return [MOST * math.tanh(v / MOST) for v in sums.values()]
 
     def score(self, text: str | None) -> float:
         z = self.coefficients["bias"] + sum(self.coefficients[k] * v for k, v in zip(KINDS, self.features(text), strict=True))
@@ -159,7 +177,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", ke
     counts = {r["y"]: r["n"] for r in by_id.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = F.when(F.col("y") == 1, min(1.0, MAX_TOXIC / max(1, counts.get(1, 0)))).otherwise(min(1.0, MAX_CLEAN / max(1, counts.get(0, 0))))
     picked = by_id.where(bernoulli(F.col("key"), rate, seed))
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(picked), "key").select("text", "y")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").join(picked if counts and min(MAX_TOXIC, counts.get(1, 0)) + min(MAX_CLEAN, counts.get(0, 0)) > BROADCAST_BYTES // 64 else F.broadcast(picked), "key").select("text", "y")
 
 
 def learn_stems(sample: DataFrame) -> dict[str, float]:
@@ -172,8 +190,16 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
 
     toxic, clean = sample.where("y = 1").select("text"), sample.where("y = 0").select("text")
     kind = "copies long, entry string"
-    counted = toxic.mapInPandas(toxic_entries, kind).groupBy("entry").agg(F.countDistinct("copies").alias("n")).where("n > 1")
-    pos = {r["entry"]: r["n"] for r in counted.orderBy(F.desc("n"), "entry").limit(MAX_CANDIDATES).collect()}
+
+    def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"copies": [copy_key(t) for t in b["text"]]})
+
+    n_pos, n_neg = (part.mapInPandas(copies, "copies long").distinct().count() for part in (toxic, clean))
+    # entries of fewer toxic documents can't be chosen even if no clean document has them
+    least = next((p for p in range(2, n_pos + 1) if surely(p, 0, n_pos, n_neg) >= LEAST_RATIO), n_pos + 1)
+    counted = toxic.mapInPandas(toxic_entries, kind).groupBy("entry").agg(F.countDistinct("copies").alias("n")).where(F.col("n") >= least)
+    pos = {r["entry"]: r["n"] for r in counted.collect()}
     candidates = frozenset(pos)
 
     def clean_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,12 +209,16 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
 
     neg = {r["entry"]: r["n"] for r in clean.mapInPandas(clean_entries, kind).groupBy("entry").agg(F.countDistinct("copies").alias("n")).collect()}
 
-    def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"copies": [copy_key(t) for t in b["text"]]})
+    return chosen_stems(pos, neg, n_pos, n_neg)
+
+
+def log_ratio(p: int, q: int, n_pos: int, n_neg: int) -> float:
+    return math.log((p + 0.5) / (n_pos + 1)) - math.log((q + 0.5) / (n_neg + 1))
+
 
-    total = lambda part: part.mapInPandas(copies, "copies long").distinct().count()
-    return chosen_stems(pos, neg, total(toxic), total(clean))
+def surely(p: int, q: int, n_pos: int, n_neg: int) -> float:
+    """Lower confidence bound of the log ratio."""
+    return log_ratio(p, q, n_pos, n_neg) - ERRORS * math.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
 
 
 def chosen_stems(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) -> dict[str, float]:
@@ -196,9 +226,8 @@ def chosen_stems(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: in
     good = {}
     for e, p in pos.items():
         q = neg.get(e, 0)
-        ratio = math.log((p + 0.5) / (n_pos + 1)) - math.log((q + 0.5) / (n_neg + 1))
-        if ratio - ERRORS * math.sqrt(1 / (p + 0.5) + 1 / (q + 0.5)) >= LEAST_RATIO:
-            good[e] = ratio
+        if surely(p, q, n_pos, n_neg) >= LEAST_RATIO:
+            good[e] = log_ratio(p, q, n_pos, n_neg)
     out: dict[str, float] = {}
     longer: dict[str, list[str]] = {}
     for e in good:
@@ -212,7 +241,7 @@ def chosen_stems(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: in
         general = any(good[s] >= ratio - 1 and pos[s] > pos[e] / 0.95 for n in STEM_LENGTHS if n < len(body) and (s := body[:n] + "*") in good)
         if not covered and not general:
             out[e] = ratio
-    return dict(sorted(out.items(), key=lambda x: (-pos[x[0]], x[0]))[:MAX_STEMS])
+    return dict(sorted(out.items(), key=lambda x: (-pos[x[0]], x[0])))
 
 
 def fit_coefficients(x: np.ndarray, y: np.ndarray) -> dict[str, float]:
