@@ -88,15 +88,22 @@ def test_top_k_skips_bad_vectors(spark):
 
 
 def test_transducers():
+    fade = toxicity.FADE
     tape = [("N", 0.0), (".", 0.0), ("I", 2.0)]
-    assert list(toxicity.patterns(tape)) == [("n", 2.0)]
-    assert list(toxicity.patterns([("Y", 0.0), (".", 0.0), ("I", 2.0)])) == [("y", 2.0)]
+    assert list(toxicity.patterns(tape)) == [("n", 2.0 * fade)]
+    assert list(toxicity.patterns([("Y", 0.0), (".", 0.0), ("I", 2.0)])) == [("y", 2.0 * fade)]
     assert list(toxicity.patterns([("I", 2.0), ("Y", 0.0)])) == [("y", 2.0)]
     assert list(toxicity.patterns([("R", 0.0), (".", 0.0), ("I", 2.0)])) == [("r", 2.0)]
     assert list(toxicity.patterns([("Q", 0.0), ("I", 2.0), ("Q", 0.0), ("I", 1.0)])) == [("r", 2.0), ("I", 1.0)]
-    assert list(toxicity.patterns([("T", 2.0), (".", 0.0), ("Y", 0.0)])) == [("t", 2.0)]
+    assert list(toxicity.patterns([("T", 2.0), (".", 0.0), ("Y", 0.0)])) == [("t", 2.0 * fade)]
     assert list(toxicity.patterns([("T", 2.0), (".", 0.0)])) == []
     assert list(toxicity.patterns([("N", 0.0), (",", 0.0), ("I", 2.0)])) == [("I", 2.0)]
+    rng = random.Random(2)
+    for _ in range(200):
+        tape = [(rng.choice(toxicity.SYMBOLS[:8]), rng.random()) for _ in range(rng.randrange(12))]
+        one_by_one = toxicity.TARGETED.run(toxicity.REPORTED.run(toxicity.NEGATION.run(tape)))
+        assert [s for s, _ in toxicity.FORWARD.run(tape)] == [s for s, _ in one_by_one]
+        assert [w for _, w in toxicity.FORWARD.run(tape)] == pytest.approx([w for _, w in one_by_one])
 
 
 def test_toxicity_learns_stems_and_scores(spark):
@@ -157,6 +164,16 @@ def test_html_after_raw_text(before):
     assert [x.text for x in leaves(page)] == ["One", "Two three", "Four"]
 
 
+def test_inline_elements_and_quotes():
+    texts = lambda page: [x.text for x in leaves(page)]
+    assert texts("<p>a <img src=x> b</p>") == ["a b"] and texts("<p>a <svg><g>t</g></svg> b</p>") == ["a b"]
+    assert texts("<p>a <script>f(1<2)</script> b</p>") == ["a b"] and texts("<p>a <my-tag>b</my-tag> c</p>") == ["a b c"]
+    assert texts("<p>5<x it's here</p><p>z's</p><p>c</p>") == ["5", "z's", "c"]
+    assert texts("<p>a <button>Go</button> b</p>") == ["a b", "Go"] and texts('<a title="x>y">t</a>') == ["t"]
+    assert texts("<svg><svg>a</svg>b</svg><p>c</p><object>d<object>e</object>f</object>g") == ["c", "g"]
+    assert texts("<p>a&nbsp; b</p>") == ["a b"]
+
+
 def test_html_textarea_and_head_text():
     assert [x.text for x in leaves("<form><textarea><!-- <p>x</textarea></form><p>One</p>")] == ["<!-- <p>x", "One"]
     assert [x.text for x in leaves("<textarea><p>One</p><textarea><p>Two</p>")] == ["One", "Two"]
@@ -299,13 +316,57 @@ def test_mixing(spark):
     assert all(s[0] == s[3] and abs(s[1] - s[2]) <= 0.02 * s[3] + 1 for s in by.values())
     assert by["z"][:3] == [0, 0, 0.0]
     assert sorted(map(str, got)) == sorted(map(str, mixing.mixed(docs.repartition(3)).select("doc_id", "source", "size", "source_size", "target", "taken", "at", "skey").collect()))
-    mixture = mixing.mixture_rows(out).select("doc_id", "text", "shard").collect()
+    mixture = mixing.mixture(docs).select("doc_id", "text", "shard").collect()
     assert sum(len(r["text"].split()) for r in mixture) == sum(r["taken"] for r in got)
     texts = {}
     for r in rows:
         texts.setdefault(r[0], []).append(r[1] or "")
     assert all(any(r["text"].strip() in t for t in texts[r["doc_id"]]) for r in mixture) and {r["shard"] for r in mixture} <= set(range(24))
     assert mixing.mixed(docs.limit(0)).count() == 0
+    clash = docs.withColumn("target", F.lit(1)).withColumn("piece", F.lit(2)).withColumn("r", F.lit(3)).withColumn("shard", F.lit(4))
+    assert mixing.mixed(clash).columns == [*clash.columns, "source_size", "target_", "pieces", "taken"]
+    assert mixing.mixture(clash).columns == [*clash.columns, "shard_", "shard_key"] and mixing.mixture(clash).count() == len(mixture)
+
+
+def test_mixing_takes_what_the_shards_draw(spark):
+    """The quotas of the tree, recomputed from all blocks: each shard takes as many blocks of a source as its quota says."""
+    rng = random.Random(9)
+    docs = frame(spark, [(i, words(rng, rng.randrange(1, 40)), None, "ab"[i % 3 == 0], 0) for i in range(200)]).withColumn("size", mixing.word_count(F.col("text")))
+    out = mixing.mixed(docs, n_shards=5).select("doc_id", "source", "size", "source_size", "target", "pieces", "taken").collect()
+    drawn, words_of = {}, {}
+    for r in out:
+        assert r["taken"] == sum(p["n"] for p in r["pieces"])
+        for p in r["pieces"]:
+            drawn.setdefault((r["source"], p["shard"]), set()).add((p["epoch"], p["block"]))
+            words_of[r["source"], p["epoch"], p["block"]] = words_of.get((r["source"], p["epoch"], p["block"]), 0) + p["n"]
+    blocks, quotas = {}, {}
+    for r in out:
+        block = max(1, min(mixing.BLOCK_WORDS, r["source_size"] // mixing.MIN_BLOCKS))
+        blocks[r["source"]] = -(-r["source_size"] // block)
+        epochs = int(r["target"] / r["source_size"] + 1e-9)
+        quotas[r["source"]] = epochs * blocks[r["source"]] + round((r["target"] - epochs * r["source_size"]) / block)
+    keys = frame(spark, [("s" + k, q) for k, q in quotas.items()], "skey string, quota long")
+    cum = {r["skey"][1:]: r["cum"] for r in mixing.splitting_tree(keys, 5, 41).collect()}
+    for source, own in cum.items():
+        for j in range(5):
+            assert len(drawn.get((source, j), ())) == own[j + 1] - own[j]
+        taken = [x for j in range(5) for x in drawn.get((source, j), ())]
+        assert len(taken) == len(set(taken)) == quotas[source]
+        assert {b for e, b in taken if e == 0} == set(range(blocks[source])) or quotas[source] < blocks[source]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000])
+def test_permuted_is_a_permutation(spark, n):
+    got = [r["p"] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3)).alias("p")).collect()]
+    assert sorted(got) == list(range(n)) and (n < 100 or sum(a == b for a, b in enumerate(got)) < 20)
+
+
+def test_mixing_spreads_equal_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(mixing, "SUB_ROWS", 50)
+    frame(spark, [(1, "a b c", None, "s", 0)] * 400 + [(i, "x y", None, "t", 0) for i in range(50)]).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d")).withColumn("size", mixing.word_count(F.col("text")))
+    got = mixing.mixed(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.first("source_size").alias("s")).collect()
+    assert all(abs(r["t"] - r["g"]) <= 0.02 * r["s"] + 1 for r in got)
 
 
 # decontamination
@@ -396,7 +457,26 @@ def test_battery_tells_random_from_writing():
     assert found > 150
     writing = ["internationalization-and-localization", "get_user_by_identifier_2", "AbstractSingletonProxyFactoryBean", "a" * 200 + "1", "1234567890123456"]
     assert not any(secrets.random_spans(w, []) for w in writing)
-    assert secrets.discoveries([], []) == [] and secrets.discoveries([0.001, 0.9], [40, 20]) == [True, False]
+    assert secrets.limit_of({}) == secrets.BINS
+
+
+def test_discovery_rate_is_held_over_the_corpus(spark):
+    """Equals Benjamini-Hochberg over all tests up to a bin's width; writing alone gives next to no discovery."""
+    rng = random.Random(17)
+    values = [10 ** -rng.uniform(0, 12) if i % 10 == 0 else rng.random() for i in range(3000)]
+    lengths = [rng.randrange(16, 80) for _ in values]
+    weighted = [p / n for p, n in zip(values, lengths, strict=True)]
+    limit = secrets.limit_of(secrets.counted((0, n, secrets.bin_of(w)) for n, w in zip(lengths, weighted, strict=True)))
+    mean = sum(lengths) / len(lengths)
+    ranked = sorted(w * mean for w in weighted)
+    exact = max((k + 1 for k, w in enumerate(ranked) if w <= secrets.FALSE_DISCOVERY * (k + 1) / len(ranked)), default=0)
+    ours = sum(secrets.bin_of(w) >= limit for w in weighted)
+    assert 0.85 * exact <= ours <= exact
+    slugs = ["-".join(rng.choice(["internal", "reference", "model", "system", "network"]) for _ in range(6)) + f"-{i}" for i in range(400)]
+    docs = frame(spark, [(i, f"see {w} there") for i, w in enumerate(slugs)], "doc_id long, text string")
+    limit = secrets.discovery_limit(docs)
+    assert docs.select(secrets.scan(F.col("text"), limit).alias("s")).agg(F.sum("s.n_random")).first()[0] <= 4
+    assert secrets.discovery_limit(docs.limit(0)) == secrets.BINS
 
 
 @pytest.mark.parametrize("form", ["AUTH={}", "client_id={}&x", "sig={}==", "https://host.example/v1/user-data/{}", "https://host.example/some_path/a-b/{}/edit", "a/long/path/of/words/that/is/writing/{}", "sk-live_key/{}", "some-service-name+with_words-{}"])
@@ -427,7 +507,7 @@ def test_secret_parts_beside_base_spans():
 
 def test_secret_scan_column(spark):
     rows = [(1, None), (2, ""), (3, "secret: abcdefgh"), (3, "secret: abcdefgh"), (4, "x " * 100_000 + "token=abcdef")]
-    out = frame(spark, rows, "doc_id long, text string").select("doc_id", "text", secrets.scan(F.col("text")).alias("s")).select("doc_id", "s.*", secrets.masked(F.col("text"), F.col("s.spans")).alias("masked")).collect()
+    out = frame(spark, rows, "doc_id long, text string").select("doc_id", "text", secrets.scan(F.col("text"), secrets.BINS).alias("s")).select("doc_id", "s.*", secrets.masked(F.col("text"), F.col("s.spans")).alias("masked")).collect()
     got = {r["doc_id"]: r for r in out}
     assert got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[1]["spans"] == "" and got[2]["n_assign"] == 0
     assert got[3]["spans"] == "assign:0:16" and got[3]["masked"] == "*" * 16 and got[4]["spans"] == "assign:200000:200012"
@@ -494,9 +574,11 @@ def near_docs(rng, groups, size):
     return docs
 
 
-@pytest.mark.parametrize("rows", [512, 10])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, rows):
+@pytest.mark.parametrize("rows, limit", [(512, None), (10, None), (10, 0)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, rows, limit):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", rows)
+    if limit is not None:
+        monkeypatch.setattr(neardup, "BROADCAST_BYTES", limit)
     rng = random.Random(9)
     texts = near_docs(rng, 4, 45) + [words(rng, 60, 10_000) for _ in range(40)] + ["a b c", "A  b\nc", "a b", "", None, "  ", "x y z w v"] + ["same text of five words"] * 6
     docs = list(enumerate(texts))
@@ -514,13 +596,29 @@ def test_near_duplicates_edges(spark):
     assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True)]
 
 
+def test_near_duplicates_in_a_chain(spark, monkeypatch):
+    """Neighbours are similar, no document is similar to the others at large: all are one component."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 16)
+    rng = random.Random(13)
+    stream = words(rng, 1700, 10**6).split()
+    docs = [(i, " ".join(stream[4 * i : 4 * i + 100])) for i in range(400)]
+    got = neardup.near_duplicates(frame(spark, docs, "doc_id long, text string"), 80).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 400
+
+
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    docs = [(3, "a b c d e f g h"), (5, "a b c d e f g h"), (5, "q r s t u v w x"), (7, "q r s t u v w x"), (9, "k l m n o p")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, docs, "doc_id long, text string"), 85).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 9)]
+
+
 def test_components(spark):
     rng = random.Random(10)
     chain = [(i, i + 1) for i in range(60)]
     rng.shuffle(chain)
-    edges = chain + [(100, i) for i in range(101, 130)] + [(200, 201), (201, 200), (300, 300)]
+    edges = chain + [(100, i) for i in range(101, 130)] + [(200, 201), (201, 200), (300, 300)] + [(5000, i) for i in range(4000, 4700)]
     got = {r["node"]: r["root"] for r in components.components(frame(spark, edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 130)} | {200: 200, 201: 200}
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 130)} | {200: 200, 201: 200} | {i: 4000 for i in [*range(4000, 4700), 5000]}
 
 
 def test_matches_for_is_safe():
