@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexiscope.llm.common import free_name, saved, table
 from lexiscope.llm.decontaminate import decontaminated
-from lexiscope.llm.mixing import mixed, mixture_rows, word_count
+from lexiscope.llm.mixing import mixture, word_count
 from lexiscope.llm.neardup import near_duplicates
 from lexiscope.llm.q_toxicity import learned
 from lexiscope.llm.sharding import shuffled_shards
@@ -32,10 +32,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the row with the smallest id; rows without id stay."""
+    """Of each component of near-duplicates the row with the smallest id; rows without id stay.
+
+    Of rows that share id and text one stays; rows of one id with other texts stay or go together.
+    """
+    gone_id = free_name(docs, "gone_id")
     found = near_duplicates(docs, NEAR_PERCENT)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct()
+    left = docs.join(gone, docs["doc_id"] == F.col(gone_id), "left_anti")
+    again = saved(left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select(F.col("doc_id").alias(gone_id)), "pipeline-again")
+    if again.isEmpty():
+        return left
+    same = left.join(again, left["doc_id"] == F.col(gone_id), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, left["doc_id"] == F.col(gone_id), "left_anti").unionByName(same)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +53,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the sources' targets take, as rows of documents."""
+    """The words that the sources' targets take, as rows of documents, shard by shard in shuffled order."""
     size = free_name(docs, "mix_size")
-    rows = mixture_rows(mixed(docs.withColumn(size, word_count(docs["text"])), size=size), size=size)
+    rows = mixture(docs.withColumn(size, word_count(docs["text"])), size=size)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in shuffled order over the shards, with ``shard`` and ``slot``."""
+    """All rows in shuffled order over the shards, with ``shard`` and ``slot`` (``shard_``, ``slot_`` where those exist)."""
     return shuffled_shards(docs, N_SHARDS)
 
 
