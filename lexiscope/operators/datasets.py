@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lexiscope.sources.scratch import saved
+
 
 def text_key(text: str | Column) -> Column:
     return F.lower(F.trim(text))
@@ -41,14 +43,16 @@ def patched(target: DataFrame, updates: DataFrame, key: str, columns: Sequence[s
 def numbered(rows: DataFrame, order: Sequence[str], start: int | Column = 0, name: str = "new_id") -> DataFrame:
     """W-03, S-23: gapless numbers from ``start`` + 1 in the given order, without one task for all rows.
 
-    Range partitions are counted first; a row's number is its place in its partition after the rows before.
+    The range partitions are written once with each row's place, so that counts and numbers come from the same
+    partitions; a row's number is its place in its partition after the rows of the partitions before.
     """
-    placed = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
-    placed = placed.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
+    parts = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    placed = saved(parts.withColumn("_m", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    offsets = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     first = start if isinstance(start, Column) else F.lit(start)
-    return placed.join(offsets, "_p").withColumn(name, (F.col("_before") + F.col("_r") + first).cast("long")).drop("_p", "_r", "_before")
+    return placed.join(offsets, part == F.col("_p")).withColumn(name, (F.col("_before") + place + 1 + first).cast("long")).drop("_p", "_m", "_before")
 
 
 def ranked(rows: DataFrame, by: Column, key: str, seed: int) -> DataFrame:
@@ -121,7 +125,7 @@ def severity_mix(rows: DataFrame, n: int, warn_share: float, order: Sequence[Col
     rank = F.row_number().over(W.partitionBy("severity").orderBy(*order))
     want = round(n * warn_share)
     tier = F.when((F.col("severity") == "warn") & (F.col("_r") <= want), 0).when(F.col("severity") != "warn", 1).otherwise(2)
-    return rows.withColumn("_r", rank).orderBy(tier, *order).limit(n).drop("_r")
+    return rows.withColumn("_r", rank).where(F.col("_r") <= n).orderBy(tier, *order).limit(n).drop("_r")
 
 
 def variants(lexicon: DataFrame, term: str = "biased") -> DataFrame:
@@ -133,9 +137,11 @@ def variants(lexicon: DataFrame, term: str = "biased") -> DataFrame:
     return lexicon.withColumn("variant", F.explode(F.array_distinct(forms)))
 
 
-def templates(terms: DataFrame, verbs: DataFrame, objects: DataFrame, pattern: str = "The {term} {verb} {object}.") -> DataFrame:
-    """J-10, M-14: every term with every verb and object of small lists, as sentences with corrections."""
-    grid = terms.crossJoin(verbs).crossJoin(objects)
+def templates(terms: DataFrame, verbs: Sequence[str], objects: Sequence[str], pattern: str = "The {term} {verb} {object}.", most: int = 10_000) -> DataFrame:
+    """J-10, M-14: every term with every verb and object of two short lists (``most`` pairs), as sentences with corrections."""
+    if len(verbs) * len(objects) > most:
+        raise ValueError(f"more than {most} pairs of verb and object")
+    grid = terms.withColumn("verb", F.explode(F.array(*[F.lit(v) for v in verbs]))).withColumn("object", F.explode(F.array(*[F.lit(o) for o in objects])))
     fill = lambda term: F.replace(F.replace(F.replace(F.lit(pattern), F.lit("{term}"), term), F.lit("{verb}"), F.col("verb")), F.lit("{object}"), F.col("object"))
     return grid.withColumn("text", fill(F.col("biased"))).withColumn("expected_correction", fill(F.col("neutral_primary")))
 
