@@ -29,7 +29,7 @@ def stripped_tokens(text: Column, marks: str = ".,!?;:") -> Column:
 
 def literal(term: Column) -> Column:
     """F-04: a pattern that matches ``term`` as it stands."""
-    return F.concat(F.lit("\\Q"), term, F.lit("\\E"))
+    return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
 def capitalized(text: Column) -> Column:

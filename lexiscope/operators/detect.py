@@ -53,7 +53,8 @@ def gendered_suffix(text: Column) -> Column:
 def blocking_context(text: Column, term: Column, avoid_when: Column, strict_case: bool = False) -> Column:
     """D-04 to D-10: the first condition that blocks a correction, or null.
 
-    ``term`` differs between rows, so these patterns are columns: use it on matched rules only. Conditions
+    ``term`` differs between rows, so these patterns are columns: use it on matched rules only, sorted by
+    rule, as Spark compiles a pattern again where it differs from the row's before. Conditions
     are those of ``avoid_when`` in its order, or the default three where none of it is known. All patterns
     ignore case, so that a capital stands for any letter; with ``strict_case`` those of names and organizations don't.
     """
@@ -62,8 +63,8 @@ def blocking_context(text: Column, term: Column, avoid_when: Column, strict_case
     conditions = F.when(F.size(listed) > 0, listed).otherwise(F.array(*[F.lit(c) for c in P.DEFAULT_CONDITIONS]))
     q = literal(term)
     filled = lambda p: reduce(lambda a, b: F.concat(a, q, b), [F.lit(x) for x in p.split("{term}")])
-    hits = {c: reduce(lambda a, b: a | b, [F.regexp_like(text, F.concat(F.lit(CASED if strict_case and c in ("proper_noun", "organization") else NOCASE), filled(p))) for p in ps]) for c, ps in P.CONTEXTS.items()}
-    hits["biographical"] = hits["biographical"] | F.regexp_like(text, filled(P.NAME_BEFORE)) | F.regexp_like(text, filled(P.NAME_AFTER))
+    hits = {c: reduce(lambda a, b: a | b, [F.regexp_instr(text, F.concat(F.lit(CASED if strict_case and c in ("proper_noun", "organization") else NOCASE), filled(p))) > 0 for p in ps]) for c, ps in P.CONTEXTS.items()}
+    hits["biographical"] = hits["biographical"] | (F.regexp_instr(text, filled(P.NAME_BEFORE)) > 0) | (F.regexp_instr(text, filled(P.NAME_AFTER)) > 0)
     checked = F.create_map(*[x for c, h in hits.items() for x in (F.lit(c), F.array_contains(conditions, F.lit(c)) & h)])
     first = F.get(F.filter(conditions, lambda c: F.try_element_at(checked, c)), F.lit(0))
     own_name = reduce(lambda a, b: a | b, [F.contains(F.lower(F.regexp_extract(text, p, 0)), F.lower(term)) for p in P.FAMILY_NAMES])
@@ -78,7 +79,7 @@ def gated_matches(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """D-04, D-17: matched rules with what blocks them; rules without ``avoid_when`` and ``constraints`` aren't gated."""
     columns = [*lexicon.columns, *[c for c in ("avoid_when", "constraints") if c not in lexicon.columns]]
     rules = lexicon.select("*", *[F.lit("").alias(c) for c in columns if c not in lexicon.columns])
-    found = matches(docs, rules).where("biased <> neutral_primary").join(docs.select("doc_id", "text"), "doc_id")
+    found = matches(docs, rules).where("biased <> neutral_primary").join(docs.select("doc_id", "text"), "doc_id").sortWithinPartitions("rule_no")
     gated = (F.coalesce(F.col("avoid_when"), F.lit("")) != "") | (F.coalesce(F.col("constraints"), F.lit("")) != "")
     return found.withColumn("blocked_by", F.when(gated, blocking_context(F.col("text"), F.col("biased"), F.col("avoid_when")))).drop("text")
 

@@ -18,13 +18,18 @@ def word_pattern(term: Column) -> Column:
 def matches(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """J-01: (doc_id, rule columns) for every rule whose term occurs in a text.
 
-    The theta join becomes an equi join: a text's distinct tokens meet the rules' first tokens, and only
-    terms of several words are verified on the text. Spark broadcasts the lexicon while it is small.
+    The theta join becomes an equi join: a text's distinct tokens and token pairs meet the rules' tokens or first
+    two tokens. Only what terms of several words have met goes back to its text to be verified; texts are
+    carried by no token. Spark broadcasts the lexicon while it is small.
     """
-    rules = lexicon.withColumn("first_token", F.element_at(tokens(F.col("biased")), 1)).withColumn("phrase", F.size(tokens(F.col("biased"))) > 1)
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("m_text"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("first_token"))
-    hit = words.join(rules, "first_token").where(~F.col("phrase") | F.regexp_like("m_text", word_pattern(F.col("biased"))))
-    return hit.select("doc_id", *lexicon.columns)
+    words = tokens(F.col("biased"))
+    rules = lexicon.withColumn("m_key", F.array_join(F.slice(words, 1, 2), " ")).withColumn("m_phrase", F.size(words) > 1)
+    of_text = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w"))
+    pairs = F.transform(F.slice("w", 2, 1 << 30), lambda x, i: F.concat_ws(" ", F.get("w", i), x))
+    met = of_text.select("doc_id", F.explode_outer(F.array_distinct(F.concat("w", pairs))).alias("m_key")).join(rules, "m_key")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("m_text"))
+    phrases = met.where("m_phrase").join(texts, "doc_id").where(F.regexp_instr("m_text", word_pattern(F.col("biased"))) > 0)
+    return met.where(~F.col("m_phrase")).select("doc_id", *lexicon.columns).unionByName(phrases.select("doc_id", *lexicon.columns))
 
 
 def detection(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
