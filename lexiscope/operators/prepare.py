@@ -1,4 +1,4 @@
-"""Further dataset work: annotation heuristics, augmentation, samples, mined lexicons, importers (M-02 to M-05, M-11 to M-14, M-16, M-17, M-19, A-35, A-43, A-46, A-51, V-07, V-09, F-16, F-17, P-14, P-19, P-23)."""
+"""Further dataset work: annotation heuristics, augmentation, samples, mined lexicons, importers (M-02, M-03, M-05, M-11, M-12, M-16, M-17, M-19, A-35, A-43, A-51, V-07, V-09, F-16, F-17)."""
 
 from __future__ import annotations
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lexiscope.functions import udtf
@@ -19,6 +16,7 @@ from lexiscope.operators import quality as Q
 from lexiscope.operators import validate as V
 from lexiscope.plans import roles as R
 from lexiscope.sources import files as S
+from lexiscope.sources.scratch import scratch
 from lexiscope.streaming import jobs as J
 
 QUERIES, ORACLES = {}, {}
@@ -34,25 +32,22 @@ docs = lambda s, d: R.table(s, d, "documents")
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 
-def scratch(spark) -> str:
-    """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiscope-")
-    return f"{base.rstrip('/')}/lexiscope/{uuid.uuid4().hex}"
-
-
 def round_trip(kind):
+    """Digests of all columns of the rows that come back from a file format."""
+
     def query(s, d):
         at = scratch(s)
-        rows = docs(s, d).select("doc_id", "lang", F.regexp_replace("text", r"\s+", " ").alias("text"))
+        rows = docs(s, d).select("doc_id", "lang", "source", "n_chars", F.translate("text", "\r\n", "  ").alias("text"))
         S.write_table(rows, at, kind=kind, by=["lang"])
-        back = s.read.format(kind).option("header", True).schema("doc_id long, text string, lang string").load(at)
-        return back.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+        back = s.read.format(kind).options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).schema("doc_id long, source string, n_chars long, text string, lang string").load(at)
+        digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "n_chars", "text", "lang")]))
+        return back.select("doc_id", digest.alias("digest"))
 
     return query
 
 
-_TRIP = "SELECT lang, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents GROUP BY lang"
-for kind in ("json", "parquet"):
+_TRIP = "SELECT doc_id, md5(concat_ws('|', coalesce(source, ''), coalesce(CAST(n_chars AS VARCHAR), ''), coalesce(replace(replace(text, chr(13), ' '), chr(10), ' '), ''), coalesce(lang, ''))) AS digest FROM documents"
+for kind in ("json", "parquet", "csv"):
     add(f"S24_round_trip_{kind}", round_trip(kind), _TRIP)
 
 
@@ -82,8 +77,9 @@ def conll(s, d):
     return at
 
 
-add("S11_bio_scan", lambda s, d: S.read_bio(s, conll(s, d)).groupBy("tag").agg(F.count(F.lit(1)).alias("n")))
-add("A43_person_terms", lambda s, d: P.person_terms(S.read_bio(s, conll(s, d))))
+_BIO = r"bio AS (SELECT doc_id, w, CASE WHEN regexp_matches(w, '^[A-Z]') THEN 'B-PER' ELSE 'O' END AS tag FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM documents))"
+add("S11_bio_scan", lambda s, d: S.read_bio(s, conll(s, d)).groupBy("tag").agg(F.count(F.lit(1)).alias("n")), f"WITH {_BIO} SELECT tag, count(*) AS n FROM bio GROUP BY tag")
+add("A43_person_terms", lambda s, d: P.person_terms(S.read_bio(s, conll(s, d))), f"WITH {_BIO} SELECT lower(w) AS term, count(*) AS n FROM bio WHERE tag = 'O' AND doc_id IN (SELECT doc_id FROM bio WHERE tag = 'B-PER') GROUP BY 1")
 add("S17_sentence_pairs", lambda s, d: S.benchmark_sentences(docs(s, d).select(F.col("text").alias("sent_more"), F.col("lang").alias("sent_less"), F.when(F.col("doc_id") % 2 == 0, "gender").otherwise("age").alias("bias_type")), "pairs").groupBy("has_bias").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("chars")),
     "SELECT true AS has_bias, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT false, count(*), CAST(sum(length(lang)) AS BIGINT) FROM documents WHERE doc_id % 2 = 0")
 batch = lambda s, d: S.unannotated(docs(s, d), "ann", ["doc_id"]).withColumn("batch_id", F.substring("text", 1, 1))
@@ -101,7 +97,9 @@ add("M05_merged_sentences", lambda s, d: P.merged_sentences(R.table(s, d, "bench
 f AS (SELECT * FROM sent WHERE list_has_any(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}_]+'), ['idiot', 'trash']) AND lower(trim(sentence, ' ')) NOT IN (SELECT lower(trim(text, ' ')) FROM benchmark) QUALIFY row_number() OVER (PARTITION BY lower(trim(sentence, ' ')) ORDER BY doc_id, pos) = 1)
 SELECT doc_id, pos, row_number() OVER (ORDER BY doc_id, pos) + 5000 AS new_id FROM f""")
 add("M11_augmentation", lambda s, d: P.augmented(docs(s, d).select("doc_id", "text"), {"the": "a", "idiot": "person"}).select("doc_id", F.md5("augmented").alias("digest"), (F.col("augmented") != F.col("text")).alias("changed")))
-add("M12_annotation_sample", lambda s, d: P.annotation_sample(docs(s, d), ["idiot", "trash", "he"], 60))
+add("M12_annotation_sample", lambda s, d: P.annotation_sample(docs(s, d), ["idiot", "trash", "he"], 60),
+    f"""WITH h AS (SELECT doc_id, unnest(list_filter(['idiot', 'trash', 'he'], lambda t: list_contains({TOK}, t))) AS term, md5(CAST(doc_id AS VARCHAR) || '-42') AS k FROM documents), q AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY term ORDER BY k) <= 20), f AS (SELECT doc_id, min(term) AS term FROM q GROUP BY 1)
+SELECT doc_id, term FROM (SELECT d.doc_id, f.term FROM documents d LEFT JOIN f USING (doc_id)) ORDER BY term IS NULL, md5(CAST(doc_id AS VARCHAR) || '-42') LIMIT 60""")
 add("M16_mined_lexicon", lambda s, d: P.mined_lexicon(docs(s, d), ["idiot", "trash"], {"idiot": "person", "trash": "waste"}, (2,)),
     f"""WITH w AS (SELECT {TOK} AS w FROM documents), g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p FROM w WHERE list_has_any(w, ['idiot', 'trash'])), c AS (SELECT p, count(*) AS n FROM g WHERE list_has_any(string_split(p, ' '), ['idiot', 'trash']) GROUP BY p HAVING count(*) >= 2)
 SELECT p AS biased, array_to_string(list_transform(string_split(p, ' '), lambda x: CASE x WHEN 'idiot' THEN 'person' WHEN 'trash' THEN 'waste' ELSE x END), ' ') AS neutral_primary, n FROM c""")
@@ -109,7 +107,10 @@ add("M17_new_rules", lambda s, d: P.new_rules(N.term_frequency(docs(s, d)).where
 add("M19_bias_patterns", lambda s, d: P.bias_patterns(docs(s, d), ["idiot", "clown", "the"], ["he", "elle"]).select("doc_id", F.array_join("roles", ",").alias("roles"), F.array_join("gendered", ",").alias("gendered")),
     f"SELECT doc_id, array_to_string(r, ',') AS roles, array_to_string(g, ',') AS gendered FROM (SELECT doc_id, list_filter(['idiot', 'clown', 'the'], lambda t: list_contains(w, t)) AS r, list_filter(['he', 'elle'], lambda t: list_contains(w, t)) AS g FROM (SELECT doc_id, {TOK} AS w FROM documents)) WHERE len(r) > 0 AND len(g) > 0")
 add("A35_source_distribution", lambda s, d: Q.dataset_profile(docs(s, d), ["source"]), "SELECT 'source' AS field, source AS value, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM documents GROUP BY source")
-add("A51_length_ratio", lambda s, d: P.rewrite_ratios(C.rewritten(docs(s, d), R.lexicon(s).where("severity <> 'warn'"))))
+_long = "text"
+for _t in R.REPLACE_TERMS:
+    _long = rf"regexp_replace({_long}, '\b{_t}\b', 'neutral {_t}', 'gi')"
+add("A51_length_ratio", lambda s, d: P.rewrite_ratios(C.rewritten(docs(s, d), R.lexicon(s).where("severity <> 'warn'"))), f"SELECT round(avg(r), 6) AS mean_ratio, round(avg(CAST(r BETWEEN 0.8 AND 1.2 AS INT)), 6) AS within FROM (SELECT length({_long}) / greatest(length(text), 1) AS r FROM documents)")
 add("T04_severity_mix", lambda s, d: D.severity_mix(N.term_frequency(docs(s, d)).withColumn("severity", F.when(F.length("term") % 3 == 0, "warn").otherwise("replace")), 60, 0.25, [F.desc("n"), F.col("term")]).groupBy("severity").agg(F.count(F.lit(1)).alias("k"), F.sum("n").cast("long").alias("n")),
     f"""WITH c AS (SELECT term, count(*) AS n, CASE WHEN length(term) % 3 = 0 THEN 'warn' ELSE 'replace' END AS severity FROM (SELECT unnest({TOK}) AS term FROM documents) GROUP BY term), r AS (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY n DESC, term) AS r FROM c),
 p AS (SELECT * FROM r ORDER BY CASE WHEN severity = 'warn' AND r <= 15 THEN 0 WHEN severity <> 'warn' THEN 1 ELSE 2 END, n DESC, term LIMIT 60) SELECT severity, count(*) AS k, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY severity""")
@@ -174,5 +175,7 @@ add("ST07_running_confusion", streamed(lambda e: J.running_confusion(e.select(F.
     "SELECT event_type AS lang, count(*) FILTER (WHERE value > 50 AND event_id % 2 = 0) AS tp, count(*) FILTER (WHERE NOT value > 50 AND event_id % 2 = 0) AS fp, count(*) FILTER (WHERE value > 50 AND event_id % 2 <> 0) AS fn, count(*) FILTER (WHERE NOT value > 50 AND event_id % 2 <> 0) AS tn FROM events GROUP BY 1")
 add("ST01_audit_records", streamed(lambda e: J.audit_records(e.select("event_id", F.concat(F.col("event_type"), F.lit(" by "), F.col("user_id").cast("string")).alias("text")), [("click", "press")]).select("event_id", "rewrite", "has_bias_detected"), "append"),
     "SELECT event_id, replace(event_type, 'click', 'press') || ' by ' || user_id AS rewrite, event_type = 'click' AS has_bias_detected FROM events")
-add("ST04_sessions", lambda s, d: streamed(lambda e: J.sessions(e.withColumnRenamed("user_id", "reviewer"), late=lateness(s, d)))(s, d))  # complete mode: open sessions as well
-add("ST05_fresh_texts", lambda s, d: streamed(lambda e: J.fresh_texts(e.select("ts", F.col("props").alias("text")), late=lateness(s, d)), "append")(s, d))
+add("ST04_sessions", lambda s, d: streamed(lambda e: J.sessions(e.withColumnRenamed("user_id", "reviewer"), late=lateness(s, d)))(s, d).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")),  # complete mode: open sessions as well
+    """WITH e AS (SELECT user_id AS reviewer, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY reviewer ORDER BY ts) AS g FROM e)
+SELECT reviewer, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(count(*) / ((floor(epoch(max(ts) + INTERVAL 30 MINUTE)) - floor(epoch(min(ts)))) / 60), 6) AS per_minute FROM g GROUP BY reviewer, g""")
+add("ST05_fresh_texts", lambda s, d: streamed(lambda e: J.fresh_texts(e.select("ts", F.col("props").alias("text")), late=lateness(s, d)), "append")(s, d).select(F.lower(F.trim("text")).alias("key")), "SELECT DISTINCT lower(trim(props, ' ')) AS key FROM events")

@@ -69,9 +69,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a review log: review_id, audit_id, reviewer, ts, action."""
+    """Events as a review log of all documents: review_id, audit_id, reviewer, ts, action."""
     action = F.when(F.col("event_type") == "click", "approve").when(F.col("event_type") == "purchase", "approve_with_edit").when(F.col("event_type") == "error", "reject").otherwise("other")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("review_id"), F.pmod("event_id", F.lit(1000)).alias("audit_id"), F.col("user_id").alias("reviewer"), "ts", action.alias("action"))
+    n = max(1, table(spark, sf_dir, "documents").count())
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("review_id"), F.pmod("event_id", F.lit(n)).alias("audit_id"), F.col("user_id").alias("reviewer"), "ts", action.alias("action"))
 
 
 # The same roles as SQL, for the oracles.
@@ -105,7 +106,7 @@ samples AS (
     quality = 0 AS ml_prediction
   FROM truth)"""
 REVIEWS = """reviews AS (
-  SELECT event_id AS review_id, event_id % 1000 AS audit_id, user_id AS reviewer, ts,
+  SELECT event_id AS review_id, event_id % greatest(1, (SELECT count(*) FROM documents)) AS audit_id, user_id AS reviewer, ts,
     CASE event_type WHEN 'click' THEN 'approve' WHEN 'purchase' THEN 'approve_with_edit' WHEN 'error' THEN 'reject' ELSE 'other' END AS action
   FROM events)"""
 SCORES = """round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,

@@ -59,7 +59,7 @@ add("A37_pii_statistics", lambda s, d: docs(s, d).select("lang", *[F.regexp_coun
 _red = "text"
 for _k, _p in T.PII.items():
     _red = f"regexp_replace({_red}, '{_p}', '[{_k.upper()}]', 'g')"
-add("F09_redaction", lambda s, d: docs(s, d).select("doc_id", F.md5(T.redacted(F.col("text"))).alias("digest"), (T.redacted(F.col("text")) != F.col("text")).alias("pii_removed")), f"SELECT doc_id, md5({_red}) AS digest, {_red} <> text AS pii_removed FROM documents")
+add("F09_redaction", lambda s, d: docs(s, d).select("doc_id", "text", T.redacted(F.col("text")).alias("r")).select("doc_id", F.md5("r").alias("digest"), (F.col("r") != F.col("text")).alias("pii_removed")), f"SELECT doc_id, md5({_red}) AS digest, {_red} <> text AS pii_removed FROM documents")
 add("F07_social_form", lambda s, d: docs(s, d).select("doc_id", F.md5(T.social_form(F.col("text"))).alias("digest")), rf"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{T.PII['email']}', '[EMAIL]', 'g'), 'https?://\S+', '[URL]', 'g'), '(?:\+254|\b0)[17]\d{{8}}\b', '[PHONE]', 'g'), '@[A-Za-z0-9_]+', '[USER]', 'g')) AS digest FROM documents")
 add("P01_clean_text", lambda s, d: docs(s, d).select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("digest")))
 
@@ -89,7 +89,9 @@ add("J06_patch_merge", lambda s, d: D.patched(docs(s, d).select("doc_id", "lang"
 add("J07_unseen_texts", lambda s, d: D.unseen(docs(s, d).where("source <> 'src0'"), docs(s, d).where("source = 'src0'")).select("doc_id"), "SELECT doc_id FROM documents WHERE source <> 'src0' AND lower(trim(text, ' ')) NOT IN (SELECT lower(trim(text, ' ')) FROM documents WHERE source = 'src0')")
 add("J08_fixed_ids", lambda s, d: docs(s, d).join(R.table(s, d, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang"), "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
 add("J09_review_audit_join", lambda s, d: R.reviews(s, d).join(docs(s, d).select(F.col("doc_id").alias("audit_id"), "lang"), "audit_id").groupBy("lang", "action").agg(F.count(F.lit(1)).alias("n")), f"WITH {R.REVIEWS} SELECT lang, action, count(*) AS n FROM reviews JOIN documents ON audit_id = doc_id GROUP BY ALL")
-add("J10_templates", lambda s, d: D.templates(R.lexicon(s).select("biased", "neutral_primary"), R.table(s, d, "region").select(F.col("r_name").alias("verb")), R.table(s, d, "nation").select(F.col("n_name").alias("object"))).select("text", "expected_correction"), f"WITH {R.LEXICON} SELECT 'The ' || biased || ' ' || r_name || ' ' || n_name || '.' AS text, 'The ' || neutral_primary || ' ' || r_name || ' ' || n_name || '.' AS expected_correction FROM lexicon, region, nation")
+names = lambda s, d, t, c: sorted(r[0] for r in R.table(s, d, t).select(c).limit(100).collect())
+add("J10_templates", lambda s, d: D.templates(N.term_frequency(docs(s, d)).where("n >= 20").select(F.col("term").alias("biased"), F.concat(F.lit("neutral "), "term").alias("neutral_primary")), names(s, d, "region", "r_name"), names(s, d, "nation", "n_name")).select("text", "expected_correction"),
+    f"WITH t AS (SELECT term FROM (SELECT unnest({TOK}) AS term FROM documents) GROUP BY term HAVING count(*) >= 20) SELECT 'The ' || term || ' ' || r_name || ' ' || n_name || '.' AS text, 'The neutral ' || term || ' ' || r_name || ' ' || n_name || '.' AS expected_correction FROM t, region, nation")
 add("M15_variants", lambda s, d: D.variants(docs(s, d).select(F.concat_ws(" ", "lang", "source").alias("biased")).distinct().unionByName(docs(s, d).select(F.col("source").alias("biased")).distinct())).select("biased", "variant"),
     "WITH t AS (SELECT DISTINCT lang || ' ' || source AS biased, upper(lang[1]) || lang[2:] || ' ' || upper(source[1]) || source[2:] AS title FROM documents), u AS (SELECT DISTINCT source AS biased FROM documents) SELECT biased, biased AS variant FROM t UNION SELECT biased, title FROM t UNION SELECT biased, biased FROM u UNION SELECT biased, upper(biased[1]) || biased[2:] FROM u UNION SELECT biased, 'the ' || biased FROM u")
 add("U01_union_sources", lambda s, d: docs(s, d).select(F.col("doc_id").alias("id"), "text", F.lit("documents").alias("origin")).unionByName(R.table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), allowMissingColumns=True).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")), "SELECT origin, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT text, 'documents' AS origin FROM documents UNION ALL SELECT text, NULL FROM benchmark) GROUP BY origin")
@@ -146,7 +148,8 @@ add("D11_counter_stereotype", lambda s, d: docs(s, d).select("doc_id", flat(X.co
 add("D12_derogation", lambda s, d: docs(s, d).select("doc_id", flat(X.derogation(one_line(), F.lit("en"))).alias("found")), f"SELECT doc_id, {_first(P.DEROGATION, ('en',))} AS found FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)")
 _nc = "CASE WHEN starts_with(n, 'm') AND (contains(n, 'limu') OR contains(n, 'kulima') OR contains(n, 'andishi') OR contains(n, 'fanya')) THEN '1/2' WHEN starts_with(n, 'w') THEN '1/2' WHEN starts_with(n, 'ma') THEN '5/6' WHEN starts_with(n, 'ki') OR starts_with(n, 'ch') OR starts_with(n, 'vi') OR starts_with(n, 'vy') THEN '7/8' WHEN starts_with(n, 'n') THEN '9/10' END"
 add("D18_noun_classes", lambda s, d: docs(s, d).select(F.explode(T.tokens(F.col("text"))).alias("n")).select(X.noun_class(F.col("n")).alias("cls"), "n").where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("uses"), F.count_distinct("n").alias("nouns")), f"SELECT cls, count(*) AS uses, count(DISTINCT n) AS nouns FROM (SELECT n, {_nc} AS cls FROM (SELECT unnest({TOK}) AS n FROM documents)) WHERE cls IS NOT NULL GROUP BY cls")
-add("D19_noun_profile", lambda s, d: docs(s, d).select("doc_id", X.noun_profile(F.col("text")).alias("p")).select("doc_id", "p.m_wa_count", "p.total"))
+add("D19_noun_profile", lambda s, d: docs(s, d).select("doc_id", X.noun_profile(F.col("text")).alias("p")).select("doc_id", F.col("p.m_wa_count").cast("long").alias("m_wa_count"), F.col("p.total").cast("long").alias("total")),
+    rf"SELECT doc_id, len(list_filter(c, lambda x: x = '1/2')) AS m_wa_count, len(c) AS total FROM (SELECT doc_id, list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(trim(text, ' '), '\s+'), lambda x: trim(x, '.,!?;:')), lambda x: length(x) >= 3), lambda w: {_nc.replace('(n,', '(lower(w),')}), lambda x: x IS NOT NULL) AS c FROM documents)")
 _kw = ", ".join(f"'{k}'" for k in P.KEYWORDS["en"])
 add("D22_keyword_detector", lambda s, d: docs(s, d).select("doc_id", X.keyword_detector(F.col("text"), F.col("lang")).alias("has_bias")), f"SELECT doc_id, lang = 'en' AND list_has_any({TOK}, [{_kw}]) AS has_bias FROM documents")
 add("D21_substring_detector", lambda s, d: docs(s, d).select("doc_id", F.array_join(X.substring_detector(F.col("text"), ["trash", "idiot", "moron"]), ",").alias("terms")), "SELECT doc_id, array_to_string(list_filter(['trash', 'idiot', 'moron'], lambda t: contains(lower(text), t)), ',') AS terms FROM documents")
@@ -180,9 +183,9 @@ SELECT doc_id, CAST(CASE WHEN v THEN w ELSE r END AS INTEGER) AS n_replace, CAST
 
 
 def effect(s, d, by=None):
-    rows = scored(s, d)
+    rows = C.preservation(C.rewritten(docs(s, d), plain(s).withColumn("neutral_primary", F.concat(F.lit("person"), "rule_no"))))
     before = detection(docs(s, d), plain(s)).select("doc_id", F.col("has_bias").alias("before"))
-    after = detection(rows.select("doc_id", F.col("rewrite").alias("text")), plain(s).where("rule_no < 7")).select("doc_id", F.col("has_bias").alias("after"))
+    after = detection(rows.select("doc_id", F.col("rewrite").alias("text")), plain(s)).select("doc_id", F.col("has_bias").alias("after"))
     joined = rows.join(before, "doc_id").join(after, "doc_id").join(R.truth(s, d).select("doc_id", "lang", "has_bias"), "doc_id")
     return C.effectiveness(joined, by)
 

@@ -34,6 +34,16 @@ def versioned_name(base: str, language: str, versions: Mapping[str, str]) -> lis
     return [f"{base}_{language}_{versions[language]}.csv", f"{base}_{language}.csv"] if language in versions else [f"{base}_{language}.csv"]
 
 
+def read_versioned(spark: SparkSession, folder: str, base: str, language: str, versions: Mapping[str, str]) -> DataFrame:
+    """S-03: the first of a language's files that there is."""
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs
+    names = [f"{folder}/{n}" for n in versioned_name(base, language, versions)]
+    found = [n for n in names if jvm.Path(n).getFileSystem(conf).exists(jvm.Path(n))]
+    if not found:
+        raise FileNotFoundError(f"none of {names}")
+    return read_typed_lexicon(spark, found[0])
+
+
 def enum_value(c, allowed: Sequence[str]):
     """A known value with _ and - alike, or null (also for the words that stand for nothing)."""
     folded = F.replace(F.lower(F.trim(c)), F.lit("_"), F.lit("-"))
@@ -95,11 +105,11 @@ def read_tree(spark: SparkSession, path: str, suffix: str = "*.csv") -> DataFram
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", suffix).csv(path, header=True).withColumn("source_file", F.col("_metadata.file_name"))
 
 
-def merged_sources(frames: Mapping[str, DataFrame], collected: str) -> DataFrame:
+def merged_sources(frames: Mapping[str, DataFrame], collected: str, urls: Mapping[str, str] | None = None) -> DataFrame:
     """S-14: many tables as one, with what each came from."""
     out = None
     for name, frame in frames.items():
-        own = frame.withColumn("source_file", F.lit(name)).withColumn("collection_date", F.lit(collected).cast("date"))
+        own = frame.withColumn("source_file", F.lit(name)).withColumn("source_url", F.lit((urls or {}).get(name))).withColumn("collection_date", F.lit(collected).cast("date"))
         out = own if out is None else out.unionByName(own, allowMissingColumns=True)
     return out
 
@@ -146,6 +156,13 @@ def batch_rows(batches: DataFrame) -> DataFrame:
     return batches.select("batch_id", "language", "annotator_id", F.posexplode("samples").alias("pos", "sample")).select("batch_id", "language", "annotator_id", "pos", "sample.*")
 
 
+def write_batches(rows: DataFrame, path: str, by: Sequence[str], order: str) -> None:
+    """S-21: a JSON line per batch with its samples in order; batches are as small as people can annotate."""
+    rest = [c for c in rows.columns if c not in by]
+    samples = F.array_sort(F.collect_list(F.struct(order, *[c for c in rest if c != order])))
+    rows.groupBy(*by).agg(samples.alias("samples")).write.json(path)
+
+
 def unannotated(texts: DataFrame, annotator: str, keep: Sequence[str] = ()) -> DataFrame:
     """S-22: texts as samples to be annotated, with the columns to ``keep``."""
     return texts.select(*keep, "text", F.lit(None).cast("boolean").alias("has_bias"), F.lit(annotator).alias("annotator_id"), F.lit("medium").alias("confidence"))
@@ -163,9 +180,43 @@ def write_table(rows: DataFrame, path: str, columns: Sequence[str] | None = None
     """S-24 to S-27, S-31, S-32: chosen columns as csv, json or parquet, in a folder per value of ``by``."""
     out = rows.select(*columns) if columns else rows
     writer = out.write.partitionBy(*by) if by else out.write
+    if kind == "csv":
+        writer = writer.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.option("header", True).format(kind).save(path)
 
 
+#: Columns of the full and the core ground truth, and of the list of disagreements (fixed values).
+TRUTH_COLUMNS = "text has_bias bias_category expected_correction annotator_id confidence annotation_timestamp notes demographic_group gender_referent protected_attribute fairness_score context_requires_gender severity language_variant ml_prediction ml_confidence human_model_agreement correction_accepted source_dataset source_url collection_date multi_annotator version".split()
+CORE_COLUMNS = "text has_bias bias_category expected_correction annotator_id confidence demographic_group gender_referent".split()
+DISAGREEMENT_COLUMNS = "text annotator_id has_bias bias_category expected_correction confidence human_model_agreement".split()
+
+
+def projected(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """S-25, S-31: the columns in order, null where the rows don't have one."""
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns])
+
+
+def lineage(rows: DataFrame, source: str, license_name: str) -> DataFrame:
+    """S-24: what was collected, as one row."""
+    return rows.agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("lang").alias("languages"), F.sum(F.length("text")).cast("long").alias("characters")).withColumn("source", F.lit(source)).withColumn("license", F.lit(license_name))
+
+
+def annotator_summary(rows: DataFrame, item: str = "doc_id", who: str = "annotator") -> DataFrame:
+    """S-32: items, items with two raters at least, and raters, as one row."""
+    items = rows.groupBy(item).agg(F.count_distinct(who).alias("raters"))
+    return items.agg(F.count(F.lit(1)).alias("tasks_total"), F.count_if(F.col("raters") >= 2).alias("tasks_with_2_annotations")).join(rows.agg(F.array_join(F.array_sort(F.collect_set(who)), ",").alias("annotators")))
+
+
+def text_report(rows: DataFrame) -> DataFrame:
+    """S-27: every cell as a line "column: value"."""
+    return rows.select(F.explode(F.array(*[F.concat_ws(": ", F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in rows.columns])).alias("value"))
+
+
+def rule_counts(lexicon: DataFrame) -> DataFrame:
+    """S-29: rules of every language."""
+    return lexicon.groupBy("language").agg(F.count(F.lit(1)).alias("rules"))
+
+
 def report_rows(metrics: DataFrame) -> DataFrame:
     """S-26: metrics as text with three digits, OVERALL first."""
     return metrics.select("lang", *[F.format_string("%.3f", F.col(c)).alias(c) for c in ("precision", "recall", "f1")], *[F.col(c).cast("string").alias(c) for c in ("tp", "fp", "fn", "tn")]).orderBy(F.col("lang") != "OVERALL", "lang")
