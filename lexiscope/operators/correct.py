@@ -86,25 +86,23 @@ def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def edit_distance(x: list, y: list) -> int:
-    """Levenshtein distance of word lists by furthest-reaching diagonals: fast where few words differ."""
-    n, m = len(x), len(y)
-
-    def slide(i: int, k: int) -> int:
-        while i < n and i + k < m and x[i] == y[i + k]:
-            i += 1
-        return i
-
-    reach, edits = {0: slide(0, 0)}, 0
-    while reach.get(m - n, -1) < n:
-        edits += 1
-        new = {}
-        for k in range(max(-edits, -n), min(edits, m) + 1):
-            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
-            i = min(i, n, m - k)
-            if i >= max(0, -k):
-                new[k] = slide(i, k)
-        reach = new
-    return edits
+    """Levenshtein distance of word lists, a bit per word of ``x``: vertical differences as two bit sets."""
+    if not x:
+        return len(y)
+    places: dict[str, int] = {}
+    for i, w in enumerate(x):
+        places[w] = places.get(w, 0) | (1 << i)
+    full, last, score = (1 << len(x)) - 1, 1 << (len(x) - 1), len(x)
+    up, down = full, 0
+    for w in y:
+        same = places.get(w, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        rise, fall = (down | ~(diagonal | up)) & full, up & diagonal
+        score += bool(rise & last) - bool(fall & last)
+        rise = (rise << 1) | 1
+        up = ((fall << 1) | ~(same | down | rise)) & full
+        down = rise & (same | down)
+    return score
 
 
 @F.pandas_udf(DoubleType())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +77,12 @@ def compare_detectors(rows: DataFrame, detectors: list[str], by: str, truth: str
     return scores.join(best, by).withColumn("is_best", F.col("model") == F.col("best_model")).drop("best_model")
 
 
+def run_detectors(docs: DataFrame, detectors: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """X-06: (doc_id, model, has_bias, score) of plug-in detectors: each takes the texts and gives doc_id, has_bias and score."""
+    parts = [own(docs).select("doc_id", F.lit(name).alias("model"), F.col("has_bias").cast("boolean").alias("has_bias"), F.col("score").cast("double").alias("score")) for name, own in detectors.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def improvement(base: Column, full: Column) -> Column:
     """A-05: gain over a baseline in hundredths; null if the baseline is 0."""
     return F.round(F.try_divide((full - base) * 100, base), 4)

@@ -319,6 +319,49 @@ def gates(s, d):
 add("D05_context_families", gates, "SELECT doc_id, ['quote', 'statistical', 'legal', 'artistic', NULL][doc_id % 5 + 1] AS blocked_by FROM documents")
 add("D17_skipped_terms", lambda s, d: gates(s, d).groupBy(F.coalesce("blocked_by", F.lit("applied")).alias("outcome")).agg(F.count(F.lit(1)).alias("n")), "SELECT ['quote', 'statistical', 'legal', 'artistic', 'applied'][doc_id % 5 + 1] AS outcome, count(*) AS n FROM documents GROUP BY 1")
 
+# gates by names, possessives, family words and children: one phrase a document
+def phrased(s, d, phrases, term, avoid_when):
+    """Gated matches of one term in texts that take their phrase by the document's id."""
+    phrase = F.element_at(F.array(*[F.lit(p) for p in phrases]), (F.pmod("doc_id", F.lit(len(phrases))) + 1).cast("int"))
+    lex = R.lexicon(s).where("rule_no = 1").withColumn("biased", F.lit(term)).withColumn("avoid_when", F.lit(avoid_when))
+    return X.gated_matches(docs(s, d).select("doc_id", phrase.alias("text")), lex).select("doc_id", "blocked_by")
+
+
+add("D07_name_gate", lambda s, d: phrased(s, d, ("then Jane Doe the idiot", "then jane doe the idiot", "idiot Kamau"), "idiot", "biographical"), "SELECT doc_id, ['biographical', NULL, 'biographical'][doc_id % 3 + 1] AS blocked_by FROM documents")
+add("D08_possessive_gate", lambda s, d: phrased(s, d, ("nyumba yake", "daktari yake", "yake"), "yake", "legal"), "SELECT doc_id, ['statistical', NULL, 'statistical'][doc_id % 3 + 1] AS blocked_by FROM documents")
+add("D09_family_names", lambda s, d: phrased(s, d, ("kisha Mama Sara alikuja", "kisha mama alikuja"), "mama", "legal"), "SELECT doc_id, ['proper_noun', NULL][doc_id % 2 + 1] AS blocked_by FROM documents")
+add("D10_quick_check", lambda s, d: phrased(s, d, ("the court heard idiot", "idiot came"), "idiot", "legal").select("doc_id", F.col("blocked_by").isNull().alias("apply"), F.coalesce("blocked_by", F.lit("none")).alias("reason")), "SELECT doc_id, doc_id % 2 = 1 AS apply, ['legal', 'none'][doc_id % 2 + 1] AS reason FROM documents")
+
+
+def children(s, d):
+    phrase = F.when(F.col("doc_id") % 2 == 0, "mtoto wake wa kike na mtoto wa kike").otherwise("mtoto wa kike alikuja")
+    lex = R.lexicon(s).where("rule_no = 1").withColumn("biased", F.lit("mtoto wa kike"))
+    return X.cascade(docs(s, d).select("doc_id", phrase.alias("text"), F.lit("sw").alias("lang")), lex).select("doc_id", "settled", F.col("n_replace").cast("long").alias("n_replace"))
+
+
+add("D15_child_terms", children, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'neutral' ELSE 'stereotype' END AS settled, doc_id % 2 AS n_replace FROM documents")
+plug = lambda terms: lambda df: df.select("doc_id", X.keyword_score(F.col("text"), terms).alias("score")).withColumn("has_bias", F.col("score") > 0.7)
+add("X06_plug_in_detectors", lambda s, d: M.run_detectors(docs(s, d), {"few": plug(["idiot", "trash"]), "more": plug(["idiot", "trash", "he", "the"])}).groupBy("model", "has_bias").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score")),
+    "WITH s AS (SELECT m.model, least(0.4 * len(list_filter(m.t, lambda x: contains(lower(text), x))), 1) AS s FROM documents, (VALUES ('few', ['idiot', 'trash']), ('more', ['idiot', 'trash', 'he', 'the'])) m(model, t)) SELECT model, s > 0.7 AS has_bias, count(*) AS n, round(avg(s), 6) AS mean_score FROM s GROUP BY ALL")
+
+
+def verses(s, d):
+    """One folder a language; its files are renamed to book_chapter.txt."""
+    at = scratch(s)
+    docs(s, d).select("lang", flat().alias("value")).write.partitionBy("lang").text(f"{at}/raw")
+    path = s._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(s._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{at}/books"))
+    for folder in [x.getPath() for x in fs.listStatus(path(f"{at}/raw")) if x.isDirectory()]:
+        for i, part in enumerate(x.getPath() for x in fs.listStatus(folder)):
+            if part.getName().startswith("part-"):
+                fs.rename(part, path(f"{at}/books/{folder.getName().removeprefix('lang=')}_{i + 1}.txt"))
+    back = S.read_verses(s, f"{at}/books/*.txt")
+    return back.groupBy("book").agg(F.count(F.lit(1)).alias("verses"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+add("S16_verses", verses, f"SELECT lang AS book, count(*) AS verses, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT lang, {_FLAT} AS t FROM documents) WHERE length(t) >= 10 GROUP BY lang")
+
 # validation
 add("V01_header_issues", lambda s, d: s.createDataFrame([(t, level, c) for t in ("documents", "labels") for level, c in V.header_issues(R.table(s, d, t).columns, ("doc_id", "text"), ("lang", "license"))], "file string, level string, column string"), "SELECT * FROM (VALUES ('documents', 'warning', 'license'), ('labels', 'error', 'text'), ('labels', 'warning', 'lang'), ('labels', 'warning', 'license')) t(file, level, \"column\")")
 add("V09_suggestions", lambda s, d: G.suggestions(docs(s, d).select("doc_id", F.concat_ws(" ", F.when(F.col("doc_id") % 3 == 0, "daktari").when(F.col("doc_id") % 3 == 1, "ciana"), "lang").alias("text"), F.lit(None).cast("string").alias("stereotype_category"), F.when(F.col("doc_id") % 2 == 0, "stereotype").otherwise("neutral").alias("bias_label"), F.when(F.col("source") == "src0", "religious_text").alias("domain"), F.lit("").alias("device"))).select("doc_id", "suggested_category", "suggested_device"),

@@ -200,3 +200,66 @@ def test_batches_are_not_collected(spark, tmp_path):
     made = catalog.queries()["S22_batches"](spark, str(tmp_path))
     assert "collect_list" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["batch_id"], r["n"], r["last"]) for r in made.collect()} == {("a", 2, 1), ("b", 1, 0), ("", 1, 0), (None, 1, 0)}
+
+
+def test_numbered_keeps_every_row(spark):
+    """Wide rows over many partitions that adaptive execution coalesces: each number once, in order."""
+    from lexiscope.operators.datasets import numbered
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        rows = spark.range(0, 40_000, 1, 16).select(((F.col("id") * 7919) % 40_000).alias("k"), F.repeat(F.lit("wide"), 190).alias("text"))
+        got = numbered(rows, ["k"], 10).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("new_id").alias("d"), F.count_if(F.col("new_id") != F.col("k") + 11).alias("wrong")).first()
+        assert (got["n"], got["d"], got["wrong"]) == (40_000, 40_000, 0)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_literal_holds_its_own_end_mark(spark):
+    from lexiscope.functions.text import literal
+
+    row = spark.range(1).select(F.regexp_like(F.lit("a\\Eb.c"), literal(F.lit("a\\Eb."))).alias("yes"), F.regexp_like(F.lit("axb"), literal(F.lit("a.b"))).alias("no")).first()
+    assert row["yes"] and not row["no"]
+
+
+def test_counter_stereotype_contexts_in_order():
+    from lexiscope.functions import patterns as P
+
+    own = P.CONTEXTS["counter_stereotype"]
+    assert "mhandisi" in own[0] and "haki" in own[5]
+
+
+def test_span_mode_takes_one_rule_a_span(spark):
+    from lexiscope.operators import records as E
+
+    lex = spark.createDataFrame([(0, "idiot", "person", "replace"), (1, "trash", "waste", "replace")], "rule_no int, biased string, neutral_primary string, severity string")
+    rows = spark.createDataFrame([(1, "Idiot and trash", ["trash idiot"]), (2, "trash", []), (3, "idiot", None)], "doc_id long, text string, spans array<string>")
+    got = {r["doc_id"]: (r["rewrite"], r["n_edits"]) for r in E.span_corrected(rows, lex).collect()}
+    assert got == {1: ("Person and trash", 1), 2: ("trash", 0), 3: ("idiot", 0)}
+
+
+def test_paired_wants_equal_keys(spark):
+    import pytest
+
+    from lexiscope.operators import records as E
+
+    a, b = spark.range(3).withColumn("x", F.lit(1)), spark.range(4).withColumn("y", F.lit(1))
+    with pytest.raises(ValueError):
+        E.paired(a, b, "id")
+
+
+def test_edit_distance_equals_the_table():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        x, y = ([rng.choice("abc") for _ in range(rng.randrange(12))] for _ in range(2))
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            before, row[0] = row[0], i
+            for j, b in enumerate(y, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (a != b))
+        assert C.edit_distance(x, y) == row[-1]
