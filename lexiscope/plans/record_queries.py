@@ -114,8 +114,8 @@ def tree(s, d):
 add("S13_file_tree", tree, "SELECT source, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids, true AS named FROM documents GROUP BY source")
 add("S14_merged_sources", lambda s, d: S.merged_sources({"documents": docs(s, d).select("text"), "benchmark": R.table(s, d, "benchmark").select("text"), "conversations": R.table(s, d, "conversations").select("text", "role")}, "2025-12-03", {"benchmark": "urn:benchmark"}).groupBy("source_file", "source_url").agg(F.count(F.lit(1)).alias("n"), F.count("role").alias("roles"), F.date_format(F.max("collection_date"), "yyyy-MM-dd").alias("collected")),
     "SELECT 'documents' AS source_file, CAST(NULL AS VARCHAR) AS source_url, count(*) AS n, 0 AS roles, '2025-12-03' AS collected FROM documents UNION ALL SELECT 'benchmark', 'urn:benchmark', count(*), 0, '2025-12-03' FROM benchmark UNION ALL SELECT 'conversations', NULL, count(*), count(role), '2025-12-03' FROM conversations")
-entry = F.map_from_arrays(F.array(F.lit("sentence"), F.lit("note"), F.lit("other")), F.array(F.when(F.col("doc_id") % 2 == 0, flat()), F.col("lang"), flat()))
-add("S18_candidate_sentences", lambda s, d: texts_of(S.candidate_sentences(docs(s, d).select(entry.alias("entry")))), f"SELECT count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT doc_id, {_FLAT} AS t FROM documents) WHERE doc_id % 2 = 0 OR (length(t) > 20 AND regexp_matches(t, '[.?!]$'))")
+entry = lambda: F.map_from_arrays(F.array(F.lit("sentence"), F.lit("note"), F.lit("other")), F.array(F.when(F.col("doc_id") % 2 == 0, flat()), F.col("lang"), flat()))
+add("S18_candidate_sentences", lambda s, d: texts_of(S.candidate_sentences(docs(s, d).select(entry().alias("entry")))), f"SELECT count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT doc_id, {_FLAT} AS t FROM documents) WHERE doc_id % 2 = 0 OR (length(t) > 20 AND regexp_matches(t, '[.?!]$'))")
 add("S19_first_usable", lambda s, d: S.first_usable(docs(s, d).orderBy("doc_id").select("source", flat().alias("text")), ["source", "text"], 40).select(F.md5("text").alias("digest")), f"SELECT md5(t) AS digest FROM (SELECT doc_id, {_FLAT} AS t FROM documents) WHERE length(t) >= 20 ORDER BY doc_id LIMIT 40")
 
 
@@ -224,7 +224,6 @@ add("A24_review_bundle", lambda s, d: E.review_bundle(R.judged(s, d), R.ratings(
 c AS (SELECT count(*) AS n, avg(CAST(has_bias = predicted AS INT)) AS po, avg(CAST(has_bias AS INT)) AS pa, avg(CAST(predicted AS INT)) AS pb FROM judged), k AS (SELECT round(CASE WHEN pa * pb + (1 - pa) * (1 - pb) >= 1 THEN 0 ELSE greatest(0, (po - pa * pb - (1 - pa) * (1 - pb)) / (1 - pa * pb - (1 - pa) * (1 - pb))) END, 6) AS kappa FROM c),
 i AS (SELECT doc_id, count(*) FILTER (WHERE label) AS n1, count(*) FILTER (WHERE NOT label) AS n0 FROM ratings GROUP BY doc_id), t AS (SELECT sum(n1 * n0) / sum((n1 + n0) * (n1 + n0 - 1) / 2) AS d_o, sum(n1) / sum(n1 + n0) AS p FROM i), a AS (SELECT round(greatest(0, least(1, 1 - d_o / (2 * p * (1 - p)))), 6) AS alpha FROM t)
 SELECT samples, hmar, bias_detected, no_bias, kappa, alpha, 3 AS annotators, hmar >= 0.8 AS hmar_ok, kappa >= 0.7 AS kappa_ok, alpha >= 0.8 AS alpha_ok FROM m, k, a""")
-scores = lambda s, d: Q.quality_score(R.samples(s, d), "annotator_id", ["bias_category"], ["ts", "doc_id"])
 add("A31_multi_batch_report", lambda s, d: E.multi_batch_report(Q.confidence_profile(R.samples(s, d), "annotator_id").join(Q.bias_balance(R.samples(s, d), "annotator_id").withColumnRenamed("balanced", "bias_ok"), "annotator_id").select("annotator_id", F.col("balanced").alias("confidence_ok"), "bias_ok", F.lit(True).alias("schema_ok"), F.lit(True).alias("consistent_ok"), F.lit(False).alias("fatigue")).withColumn("score", 60 + F.when(F.col("confidence_ok"), 20).otherwise(0) + F.when(F.col("bias_ok"), 20).otherwise(0))),
     f"""WITH {R.SAMPLES}, b AS (SELECT annotator_id, count(*) FILTER (WHERE confidence IN ('high', 'very_high')) / count(*) BETWEEN 0.4 AND 0.7 AS c, avg(CAST(has_bias AS INT)) BETWEEN 0.3 AND 0.7 AS b FROM samples GROUP BY 1), r AS (SELECT count(*) AS batches, round(avg(60 + CASE WHEN c THEN 20 ELSE 0 END + CASE WHEN b THEN 20 ELSE 0 END), 4) AS mean_score, count(*) FILTER (WHERE NOT c) AS failed_confidence, count(*) FILTER (WHERE NOT b) AS failed_bias FROM b)
 SELECT batches, mean_score, failed_confidence, failed_bias, 0 AS failed_schema, 0 AS failed_consistent, 0 AS failed_fatigue, CASE WHEN mean_score >= 80 THEN 'Excellent' WHEN mean_score >= 60 THEN 'Good' WHEN mean_score >= 40 THEN 'Fair' ELSE 'Poor' END AS assessment, mean_score >= 60 AS passes FROM r""")
@@ -280,17 +279,12 @@ add("C09_model_candidates", lambda s, d: C.with_candidates(L.detection(docs(s, d
     f"WITH {R.LEXICON}, {R.HITS}, n AS (SELECT doc_id, count(*) AS n FROM hits WHERE severity <> 'warn' GROUP BY 1) SELECT doc_id, CASE WHEN n IS NULL AND doc_id % 3 = 0 AND lang IS NOT NULL THEN md5('better ' || lang) ELSE md5(text) END AS digest, n IS NULL AND doc_id % 3 = 0 AND lang IS NOT NULL AS from_model FROM documents LEFT JOIN n USING (doc_id)")
 add("C11_batch_requests", lambda s, d: docs(s, d).groupBy(F.floor(F.col("doc_id") / 150).alias("request")).agg(F.count(F.lit(1)).alias("items")).withColumn("accepted", F.col("items").between(1, 100)), "SELECT CAST(floor(doc_id / 150) AS BIGINT) AS request, count(*) AS items, count(*) BETWEEN 1 AND 100 AS accepted FROM documents GROUP BY 1")
 edits_of = lambda s, d: L.detection(docs(s, d), plain(s)).select("doc_id", F.transform("replace_edits", lambda e: F.struct(e["from"].alias("from"), e["to"].alias("to"))).alias("edits")).join(docs(s, d).select("doc_id", F.lower("text").alias("text")), "doc_id")
-_once = "text"
-for _t in R.REPLACE_TERMS:
-    _once = rf"CASE WHEN list_contains({TOK.replace('lower(text)', 'o')}, '{_t}') THEN regexp_replace({_once}, '{_t}', 'person{_numbers[_t]}') ELSE {_once} END"
 add("D23_word_baseline", lambda s, d: docs(s, d).select("doc_id", (F.size(X.substring_detector(F.col("text"), [*R.REPLACE_TERMS, "he "])) > 0).alias("has_bias")), "SELECT doc_id, " + " OR ".join(f"contains(lower(text), '{t}')" for t in (*R.REPLACE_TERMS, "he ")) + " AS has_bias FROM documents")
 add("D26_first_occurrence", lambda s, d: edits_of(s, d).select("doc_id", F.md5(F.coalesce(X.applied_once(F.col("text"), F.slice("edits", 1, 1)), F.col("text"))).alias("digest")),
     f"WITH {R.LEXICON}, {R.HITS}, f AS (SELECT doc_id, arg_min(biased, rule_no) AS b, min(rule_no) AS r FROM hits WHERE severity <> 'warn' GROUP BY 1) SELECT doc_id, md5(CASE WHEN b IS NULL THEN lower(text) ELSE substring(lower(text), 1, strpos(lower(text), b) - 1) || 'person' || r || substring(lower(text), strpos(lower(text), b) + length(b)) END) AS digest FROM documents LEFT JOIN f USING (doc_id)")
 add("D06_avoid_conditions", lambda s, d: docs(s, d).select("doc_id", F.array_join(F.filter(F.transform(F.split(F.concat_ws("|", "lang", F.lit(" Quote "), F.lit("legal")), r"\|"), lambda c: F.lower(F.trim(c))), lambda c: F.array_contains(F.array(*[F.lit(k) for k in P.CONTEXTS]), c)), ",").alias("conditions")), "SELECT doc_id, 'quote,legal' AS conditions FROM documents")
 
 # detectors of the second language, over the same texts
-one_line = lambda: F.regexp_replace("text", "\n", " ")
-swahili = lambda p: F.concat(one_line(), F.lit(f" {p}"))
 _SW = (("counter", "mwanamke huyu ni mhandisi", "ni tu mwanamke"), ("derog", "huyu ni tu msichana", "baba yangu"), ("rejected", "si kweli kuwa huyu ni tu msichana", "x"), ("suffix", "daktari wa kike alifika", "y"))
 
 
