@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,26 +14,127 @@ from lexiscope.functions.text import literal, tokens
 
 RULE_COLUMNS = ("rule_no", "biased", "neutral_primary", "severity", "stereotype_category")
 
+#: Terms up to which a lexicon becomes literals, and bytes up to which it becomes a trie on every worker.
+SMALL_TERMS, LEXICON_BYTES = 64, 64 << 20
+#: Bytes of a term in a trie beside its text, generously.
+TERM_BYTES = 400
+#: The words of ``tokens`` in Python, and words and what stands between them in turn.
+WORD, WORD_OR_NOT = re.compile(r"\w+"), re.compile(r"\w+|\W+")
+
 
 def word_pattern(term: Column) -> Column:
     """Matches the term as whole words, ignoring case, in Unicode."""
     return F.concat(F.lit(r"(?iuU)\b"), literal(term), F.lit(r"\b"))
 
 
-def matches(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """J-01: (doc_id, rule columns) for every rule whose term occurs in a text.
+def matches(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text: str = "text", small: int = SMALL_TERMS, lexicon_bytes: int = LEXICON_BYTES) -> DataFrame:
+    """J-01: (doc_id, rule columns) for every rule whose term occurs in a text as whole words, ignoring case.
 
-    The theta join becomes an equi join: a text's distinct tokens and token pairs meet the rules' tokens or first
-    two tokens. Only what terms of several words have met goes back to its text to be verified; texts are
-    carried by no token. Spark broadcasts the lexicon while it is small.
+    The theta join never compares texts with rules one by one. A lexicon of few terms becomes literals: texts keep
+    what of their tokens it holds before anything is exploded, phrases are patterns compiled once. A larger one, up to
+    ``lexicon_bytes``, becomes a trie of words that Arrow functions walk along each text. Beyond that tokens and token pairs
+    of the texts meet the rules' first two by an equi join. The lexicon is read more than once: save it if it is costly.
     """
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("m_text"))
+    few = [r["biased"] for r in lexicon.select("biased").limit(small + 1).collect()]
+    if len(few) <= small:
+        return literal_matches(source, lexicon, sorted({t for t in few if t}))
+    size = lexicon.agg(F.sum(F.octet_length("biased") + TERM_BYTES).alias("b")).first()["b"]
+    if size <= lexicon_bytes:
+        return trie_matches(source, lexicon)
+    return joined_matches(source, lexicon)
+
+
+def literal_matches(source: DataFrame, lexicon: DataFrame, terms: list[str]) -> DataFrame:
+    """Rules of a few terms, known here, in texts (doc_id, m_text)."""
+    words = tokens(F.col("biased"))
+    rules = lexicon.withColumn("m_key", F.when(F.size(words) == 1, F.get(words, F.lit(0))).when(F.size(words) > 1, F.concat(F.lit(" "), "biased")))
+    found = [[w for w in WORD.findall(t.lower())] for t in terms]
+    single = sorted({w[0] for w in found if len(w) == 1})
+    phrases = [t for t, w in zip(terms, found, strict=True) if len(w) > 1]
+    hits = [F.array_intersect(tokens(F.col("m_text")), F.array(*[F.lit(w) for w in single]))] if single else []
+    if phrases:
+        quoted = lambda t: r"(?iuU)\b\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E\b"
+        hits.append(F.filter(F.array(*[F.when(F.col("m_text").rlike(quoted(t)), F.lit(f" {t}")) for t in phrases]), lambda t: t.isNotNull()))
+    if not hits:
+        return source.where("false").join(rules, F.lit(True)).select("doc_id", *lexicon.columns)
+    # outer: Spark would else infer a filter on the array and compute it twice
+    met = source.select("doc_id", F.explode_outer(F.concat(*hits) if len(hits) > 1 else hits[0]).alias("m_key"))
+    return met.join(rules, "m_key").select("doc_id", *lexicon.columns)
+
+
+def trie_of(terms: list[str]) -> dict:
+    """Nested words and what stands between them, in turn; a term's last node holds it under None."""
+    root: dict = {}
+    for term in terms:
+        words = list(WORD.finditer(term.lower()))
+        node = root
+        for k, m in enumerate(words):
+            if k:
+                node = node.setdefault(m.string[words[k - 1].end() : m.start()], {})
+            node = node.setdefault(m[0], {})
+        if words:
+            node.setdefault(None, []).append(term)
+    return root
+
+
+def walked(text: str, root: dict) -> set[str]:
+    """Terms of the trie in a lower-cased text."""
+    parts = WORD_OR_NOT.findall(text)
+    found: set[str] = set()
+    for i, part in enumerate(parts):
+        node = root.get(part)
+        j = i + 1
+        while node is not None:
+            if None in node:
+                if j == i + 1 or (i == 0 or not is_mark(parts[i - 1][-1])) and (j == len(parts) or not is_mark(parts[j][0])):
+                    found.update(node[None])
+            if j == len(parts):
+                break
+            node = node.get(parts[j])
+            j += 1
+    return found
+
+
+def is_mark(character: str) -> bool:
+    """Characters beside a phrase that patterns take as part of its word, though tokens don't."""
+    return unicodedata.category(character)[0] == "M" or character in "\u200c\u200d"
+
+
+def trie_matches(source: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Rules in texts (doc_id, m_text) by a trie of all terms, which the workers get once."""
+    # a term whose ends aren't words is verified in the text again
+    bare = F.col("biased").rlike(r"^[\p{L}\p{N}_].*[\p{L}\p{N}_]$") | (F.size(tokens(F.col("biased"))) == 1)
+    terms = [r["biased"] for r in lexicon.where(F.col("biased").isNotNull()).select("biased").distinct().collect()]
+    known = source.sparkSession.sparkContext.broadcast(terms)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = trie_of(known.value)
+        for batch in batches:
+            places, found = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                terms = walked(text, root) if text else ()
+                places.extend([k] * len(terms))
+                found.extend(terms)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array(found, pa.string())], names=["doc_id", "m_term"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    met = source.select("doc_id", F.lower("m_text").alias("m_text")).mapInArrow(own, f"doc_id {kind}, m_term string")
+    met = met.join(lexicon, F.col("m_term") == F.col("biased")).select("doc_id", *lexicon.columns)
+    if lexicon.where(~bare).limit(1).count() == 0:
+        return met
+    odd = met.where(~bare).join(source, "doc_id").where(F.regexp_instr("m_text", word_pattern(F.col("biased"))) > 0)
+    return met.where(bare).unionByName(odd.select("doc_id", *lexicon.columns))
+
+
+def joined_matches(source: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Rules in texts (doc_id, m_text) by an equi join of tokens and token pairs; only what a phrase has met goes back to its text."""
     words = tokens(F.col("biased"))
     rules = lexicon.withColumn("m_key", F.array_join(F.slice(words, 1, 2), " ")).withColumn("m_phrase", F.size(words) > 1)
-    of_text = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w"))
+    of_text = source.select("doc_id", tokens(F.col("m_text")).alias("w"))
     pairs = F.transform(F.slice("w", 2, 1 << 30), lambda x, i: F.concat_ws(" ", F.get("w", i), x))
     met = of_text.select("doc_id", F.explode_outer(F.array_distinct(F.concat("w", pairs))).alias("m_key")).join(rules, "m_key")
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("m_text"))
-    phrases = met.where("m_phrase").join(texts, "doc_id").where(F.regexp_instr("m_text", word_pattern(F.col("biased"))) > 0)
+    phrases = met.where("m_phrase").join(source, "doc_id").where(F.regexp_instr("m_text", word_pattern(F.col("biased"))) > 0)
     return met.where(~F.col("m_phrase")).select("doc_id", *lexicon.columns).unionByName(phrases.select("doc_id", *lexicon.columns))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lexiscope.plans import metrics_queries, more_queries, record_queries, text_queries
+from lexiscope.plans import corpus_queries, metrics_queries, more_queries, record_queries, text_queries
 
-_MODULES = (metrics_queries, text_queries, more_queries, record_queries)
+_MODULES = (metrics_queries, text_queries, more_queries, record_queries, corpus_queries)
 
 
 def queries() -> dict[str, Callable]:

@@ -97,6 +97,15 @@ def test_equi_join_equals_theta_join(spark):
     assert set(map(tuple, L.matches(docs, lex).select("doc_id", "rule_no").collect())) == set(map(tuple, theta.collect()))
 
 
+def test_all_forms_of_the_lexicon_join_agree(spark):
+    terms = ["a", "b c", "é", "d-e", "a b c", "c b", "B C", "", None, "++", "x++ y!", "  b", "a\u0301 b", "b, c", "of", "of of of", "ß s"]
+    lex = spark.createDataFrame([(i, t, "x", "replace", "c") for i, t in enumerate(terms)], "rule_no int, biased string, neutral_primary string, severity string, stereotype_category string")
+    texts = ["a b c", "b  c", "B C", "éa É", "d-e", "d e", "ab c", "x++ y!z", "x++ y! z", "b, c", "of of", "of of of of", "a\u0301 b", "b c\u0301", "", None, "++", "\nb c\n", "ẞ S ß s", "c b c b"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    forms = [sorted(map(tuple, L.matches(docs, lex, small=n, lexicon_bytes=b).select("doc_id", "rule_no").collect())) for n, b in ((64, 0), (0, 1 << 20), (0, 0))]
+    assert forms[0] == forms[1] == forms[2] and len(forms[0]) > 20
+
+
 @pytest.mark.parametrize(
     ("text", "term", "avoid", "want"),
     [
