@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,16 +11,40 @@ from pyspark.sql import functions as F
 from lexiscope.functions import patterns as P
 from lexiscope.functions.text import literal, stripped_tokens, tokens
 from lexiscope.operators.lexicon import matches
+from lexiscope.sources.scratch import saved
 
 NOCASE, CASED = "(?iuU)", "(?uU)"
+#: Characters on either side of a term that context patterns look at, and some more.
+REACH = 256
 CONFIDENCE = {"counter-stereotype": 0.85, "derogation": 0.9, "suffix": 0.95, "stereotype": 0.85, "neutral": 0.7}
 
 
+def quick(pattern: str) -> str:
+    """The pattern behind a look at the next letter, where it starts with words: cheaper, at most places, than whether a word begins."""
+    if not pattern.startswith(r"\b"):
+        return pattern
+    rest, depth, starts = pattern[2:], 0, []
+    if not rest.startswith("("):
+        return rf"(?=[{rest[0]}]){pattern}" if rest[0].isalpha() else pattern
+    for before, c in zip(rest, rest[1:], strict=False):
+        depth += (before == "(") - (before == ")")
+        if depth == 0:
+            break
+        if depth == 1 and before in "(|":
+            starts.append(c)
+    return f"(?=[{''.join(sorted(set(starts)))}]){pattern}" if all(c.isalpha() for c in starts) else pattern
+
+
+def apart(text: Column, made: Callable[[Column], Column]) -> Column:
+    """``made(text)`` evaluated in a lambda, so that many patterns don't outgrow the size of a generated method."""
+    return F.get(F.transform(F.array(text), made), F.lit(0))
+
+
 def first_pattern(text: Column, lang: Column, table: Sequence[tuple]) -> Column:
     """D-11, D-12: struct(category, gender) of the first pattern of the text's language that occurs; literal patterns are compiled once."""
     out = None
     for language, pattern, category, gender in table:
-        hit = (lang == language) & text.rlike(NOCASE + pattern)
+        hit = (lang == language) & text.rlike(NOCASE + quick(pattern))
         found = F.struct(F.lit(category).alias("category"), F.lit(gender).alias("gender"))
         out = F.when(hit, found) if out is None else out.when(hit, found)
     return out
@@ -32,7 +56,7 @@ def counter_stereotype(text: Column, lang: Column) -> Column:
 
 def derogation(text: Column, lang: Column) -> Column:
     """D-12 with D-13: nothing where the phrase is named in order to reject it."""
-    rejected = (lang == "sw") & text.rlike(NOCASE + P.DEROGATION_REJECTED)
+    rejected = (lang == "sw") & text.rlike(NOCASE + quick(P.DEROGATION_REJECTED))
     return F.when(~rejected, first_pattern(text, lang, P.DEROGATION))
 
 
@@ -42,29 +66,50 @@ def gendered_suffix(text: Column) -> Column:
     for suffix, pattern, gender in reversed(P.SUFFIXES):
         noun = F.regexp_extract(text, NOCASE + pattern, 1)
         word = F.lower(noun)
-        occupation = reduce(lambda a, b: a | b, [F.startswith(word, F.lit(p)) for p in P.OCCUPATION_BEGINNINGS])
-        fits = (word != "") & ~word.rlike("^[0-9]+$") & ~word.isin(*P.NO_OCCUPATIONS) & occupation
+        occupation = word.rlike("^(?:" + "|".join(P.OCCUPATION_BEGINNINGS) + ")")
+        occurs = text.rlike(NOCASE + r"\s" + r"\s+".join(suffix.split()) + r"\b")
+        fits = occurs & (word != "") & ~word.rlike("^[0-9]+$") & ~word.isin(*P.NO_OCCUPATIONS) & occupation
         corrected = F.regexp_replace(F.trim(F.regexp_replace(text, NOCASE + pattern, "$1")), "  +", " ")
         found = F.struct(F.regexp_extract(text, NOCASE + pattern, 0).alias("from"), noun.alias("to"), F.lit(suffix).alias("suffix"), F.lit(gender).alias("gender"), corrected.alias("corrected"))
         out = F.when(fits, found).otherwise(out)
-    return F.when(~text.rlike(NOCASE + P.PROGRESS), out)
+    return F.when(~text.rlike(NOCASE + quick(P.PROGRESS)), out)
+
+
+def listed_conditions(avoid_when: Column) -> Column:
+    """D-06: the known conditions of a cell, in its order."""
+    known = F.array(*[F.lit(c) for c in P.CONTEXTS])
+    return F.filter(F.transform(F.split(F.coalesce(avoid_when, F.lit("")), r"\|"), lambda c: F.lower(F.trim(c))), lambda c: F.array_contains(known, c))
+
+
+def around(text: Column, term: Column) -> Column:
+    """The text within REACH characters of the term's occurrences; what lies between is cut out.
+
+    No context pattern of a term spans more than REACH (a run of white space or a name beyond 64 characters aside),
+    and none can match across a cut or from its edge to a term, so that those with a term match here as in the text.
+    """
+    pattern = F.concat(F.lit(NOCASE), literal(term))
+    cut = lambda p: F.when(F.length(p) <= 2 * REACH, p).otherwise(F.concat(F.substring(p, 1, REACH), F.lit("\n\x00\n"), F.substring(p, -REACH, REACH)))
+    kept = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda p, hit: F.concat(cut(p), F.coalesce(hit, F.lit(""))))
+    return F.array_join(kept, "")
 
 
-def blocking_context(text: Column, term: Column, avoid_when: Column, strict_case: bool = False) -> Column:
+def blocking_context(text: Column, term: Column, avoid_when: Column, strict_case: bool = False, near: Column | None = None) -> Column:
     """D-04 to D-10: the first condition that blocks a correction, or null.
 
     ``term`` differs between rows, so these patterns are columns: use it on matched rules only, sorted by
-    rule, as Spark compiles a pattern again where it differs from the row's before. Conditions
+    rule, as Spark compiles a pattern again where it differs from the row's before. Patterns with a term
+    read ``near`` (``around`` the term; the text where not given). Conditions
     are those of ``avoid_when`` in its order, or the default three where none of it is known. All patterns
     ignore case, so that a capital stands for any letter; with ``strict_case`` those of names and organizations don't.
     """
-    known = F.array(*[F.lit(c) for c in P.CONTEXTS])
-    listed = F.filter(F.transform(F.split(F.coalesce(avoid_when, F.lit("")), r"\|"), lambda c: F.lower(F.trim(c))), lambda c: F.array_contains(known, c))
+    listed = listed_conditions(avoid_when)
     conditions = F.when(F.size(listed) > 0, listed).otherwise(F.array(*[F.lit(c) for c in P.DEFAULT_CONDITIONS]))
     q = literal(term)
     filled = lambda p: reduce(lambda a, b: F.concat(a, q, b), [F.lit(x) for x in p.split("{term}")])
-    hits = {c: reduce(lambda a, b: a | b, [F.regexp_instr(text, F.concat(F.lit(CASED if strict_case and c in ("proper_noun", "organization") else NOCASE), filled(p))) > 0 for p in ps]) for c, ps in P.CONTEXTS.items()}
-    hits["biographical"] = hits["biographical"] | (F.regexp_instr(text, filled(P.NAME_BEFORE)) > 0) | (F.regexp_instr(text, filled(P.NAME_AFTER)) > 0)
+    near = text if near is None else near
+    place = lambda p: near if "{term}" in p else text
+    hits = {c: reduce(lambda a, b: a | b, [F.regexp_instr(place(p), F.concat(F.lit(CASED if strict_case and c in ("proper_noun", "organization") else NOCASE), filled(quick(p)))) > 0 for p in ps]) for c, ps in P.CONTEXTS.items()}
+    hits["biographical"] = hits["biographical"] | (F.regexp_instr(near, filled(P.NAME_BEFORE)) > 0) | (F.regexp_instr(near, filled(P.NAME_AFTER)) > 0)
     checked = F.create_map(*[x for c, h in hits.items() for x in (F.lit(c), F.array_contains(conditions, F.lit(c)) & h)])
     first = F.get(F.filter(conditions, lambda c: F.try_element_at(checked, c)), F.lit(0))
     own_name = reduce(lambda a, b: a | b, [F.contains(F.lower(F.regexp_extract(text, p, 0)), F.lower(term)) for p in P.FAMILY_NAMES])
@@ -81,7 +126,9 @@ def gated_matches(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     rules = lexicon.select("*", *[F.lit("").alias(c) for c in columns if c not in lexicon.columns])
     found = matches(docs, rules).where("biased <> neutral_primary").join(docs.select("doc_id", "text"), "doc_id").sortWithinPartitions("rule_no")
     gated = (F.coalesce(F.col("avoid_when"), F.lit("")) != "") | (F.coalesce(F.col("constraints"), F.lit("")) != "")
-    return found.withColumn("blocked_by", F.when(gated, blocking_context(F.col("text"), F.col("biased"), F.col("avoid_when")))).drop("text")
+    found = found.withColumn("near", F.when(gated, around(F.col("text"), F.col("biased"))))
+    blocked = apart(F.struct("text", "near"), lambda x: blocking_context(x["text"], F.col("biased"), F.col("avoid_when"), near=x["near"]))
+    return found.withColumn("blocked_by", F.when(gated, blocked)).drop("text", "near")
 
 
 def cascade(docs: DataFrame, lexicon: DataFrame, scores: DataFrame | None = None, threshold: float = 0.75) -> DataFrame:
@@ -90,9 +137,12 @@ def cascade(docs: DataFrame, lexicon: DataFrame, scores: DataFrame | None = None
     The lexicon join sees only texts that the patterns haven't settled.
     """
     text, lang = F.col("text"), F.col("lang")
-    first = docs.withColumn("counter", counter_stereotype(text, lang)).withColumn("derog", F.when(F.col("counter").isNull(), derogation(text, lang)))
-    first = first.withColumn("suffix", F.when(F.col("counter").isNull() & F.col("derog").isNull() & (lang == "sw"), gendered_suffix(text)))
-    open_ = first.where("counter is null and derog is null and suffix is null").select("doc_id", "text")
+    first = docs.withColumn("counter", apart(text, lambda t: counter_stereotype(t, lang))).withColumn("derog", F.when(F.col("counter").isNull(), apart(text, lambda t: derogation(t, lang))))
+    first = first.withColumn("suffix", F.when(F.col("counter").isNull() & F.col("derog").isNull() & (lang == "sw"), apart(text, gendered_suffix)))
+    # saved: all patterns run once over a text, and texts that they settle go no further
+    is_open = F.col("counter").isNull() & F.col("derog").isNull() & F.col("suffix").isNull()
+    first = saved(first.select("doc_id", F.when(is_open, text).alias("open_text"), "counter", "derog", "suffix"))
+    open_ = first.where("open_text is not null").select("doc_id", F.col("open_text").alias("text"))
     found = gated_matches(open_, lexicon)
     live, replace = F.col("blocked_by").isNull(), F.col("severity") != "warn"
     child = F.col("biased").rlike(NOCASE + P.CHILD_TERM)

@@ -282,58 +282,7 @@ edits_of = lambda s, d: L.detection(docs(s, d), plain(s)).select("doc_id", F.tra
 add("D23_word_baseline", lambda s, d: docs(s, d).select("doc_id", (F.size(X.substring_detector(F.col("text"), [*R.REPLACE_TERMS, "he "])) > 0).alias("has_bias")), "SELECT doc_id, " + " OR ".join(f"contains(lower(text), '{t}')" for t in (*R.REPLACE_TERMS, "he ")) + " AS has_bias FROM documents")
 add("D26_first_occurrence", lambda s, d: edits_of(s, d).select("doc_id", F.md5(F.coalesce(X.applied_once(F.col("text"), F.slice("edits", 1, 1)), F.col("text"))).alias("digest")),
     f"WITH {R.LEXICON}, {R.HITS}, f AS (SELECT doc_id, arg_min(biased, rule_no) AS b, min(rule_no) AS r FROM hits WHERE severity <> 'warn' GROUP BY 1) SELECT doc_id, md5(CASE WHEN b IS NULL THEN lower(text) ELSE substring(lower(text), 1, strpos(lower(text), b) - 1) || 'person' || r || substring(lower(text), strpos(lower(text), b) + length(b)) END) AS digest FROM documents LEFT JOIN f USING (doc_id)")
-add("D06_avoid_conditions", lambda s, d: docs(s, d).select("doc_id", F.array_join(F.filter(F.transform(F.split(F.concat_ws("|", "lang", F.lit(" Quote "), F.lit("legal")), r"\|"), lambda c: F.lower(F.trim(c))), lambda c: F.array_contains(F.array(*[F.lit(k) for k in P.CONTEXTS]), c)), ",").alias("conditions")), "SELECT doc_id, 'quote,legal' AS conditions FROM documents")
 
-# detectors of the second language, over the same texts
-_SW = (("counter", "mwanamke huyu ni mhandisi", "ni tu mwanamke"), ("derog", "huyu ni tu msichana", "baba yangu"), ("rejected", "si kweli kuwa huyu ni tu msichana", "x"), ("suffix", "daktari wa kike alifika", "y"))
-
-
-def swahili_cascade(s, d):
-    phrase = F.element_at(F.array(*[F.lit(p) for _, p, _ in _SW]), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
-    rows = docs(s, d).select("doc_id", F.concat_ws(" ", F.translate(F.col("source"), "0123456789", ""), phrase).alias("text"), F.lit("sw").alias("lang"))
-    return X.cascade(rows, R.lexicon(s)).select("doc_id", "settled", "category", "gender", "confidence")
-
-
-add("D11_swahili_cascade", swahili_cascade,
-    "SELECT doc_id, ['counter-stereotype', 'derogation', 'neutral', 'suffix'][doc_id % 4 + 1] AS settled, ['profession', 'capability', NULL, 'profession'][doc_id % 4 + 1] AS category, ['female', 'female', NULL, 'female'][doc_id % 4 + 1] AS gender, [0.85, 0.9, 0.7, 0.95][doc_id % 4 + 1] AS confidence FROM documents")
-model = lambda s, d: R.table(s, d, "labels").groupBy("doc_id").agg(F.max(0.5 + F.col("toxic") * 0.4).alias("score"))
-bare = lambda s, d: docs(s, d).select("doc_id", F.lit("a plain line").alias("text"), F.lit("en").alias("lang"))
-add("D20_model_fallback", lambda s, d: X.cascade(bare(s, d), R.lexicon(s), model(s, d)).select("doc_id", "settled", "n_warn", F.round("confidence", 6).alias("confidence")), "SELECT doc_id, 'neutral' AS settled, CASE WHEN t = 1 THEN 1 ELSE 0 END AS n_warn, CASE WHEN t = 1 THEN 0.9 ELSE 0.7 END AS confidence FROM documents LEFT JOIN (SELECT doc_id, max(toxic) AS t FROM labels GROUP BY 1) USING (doc_id)")
-
-# gates: each condition's phrase around a term, with the documents' ids and sources
-_GATES = (("quote", '"the idiot" she said', "quote"), ("statistical", "45% idiot", "statistical"), ("legal", "the court heard idiot", "legal"), ("artistic", "a film about idiot", "artistic"), ("possessive", "idiot came", None))
-
-
-def gates(s, d):
-    phrase = F.element_at(F.array(*[F.lit(p) for _, p, _ in _GATES]), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
-    lex = R.lexicon(s).where("biased = 'idiot'").withColumn("avoid_when", F.lit("quote|statistical|legal|artistic"))
-    return X.gated_matches(docs(s, d).select("doc_id", phrase.alias("text")), lex).select("doc_id", "blocked_by")
-
-
-add("D05_context_families", gates, "SELECT doc_id, ['quote', 'statistical', 'legal', 'artistic', NULL][doc_id % 5 + 1] AS blocked_by FROM documents")
-add("D17_skipped_terms", lambda s, d: gates(s, d).groupBy(F.coalesce("blocked_by", F.lit("applied")).alias("outcome")).agg(F.count(F.lit(1)).alias("n")), "SELECT ['quote', 'statistical', 'legal', 'artistic', 'applied'][doc_id % 5 + 1] AS outcome, count(*) AS n FROM documents GROUP BY 1")
-
-# gates by names, possessives, family words and children: one phrase a document
-def phrased(s, d, phrases, term, avoid_when):
-    """Gated matches of one term in texts that take their phrase by the document's id."""
-    phrase = F.element_at(F.array(*[F.lit(p) for p in phrases]), (F.pmod("doc_id", F.lit(len(phrases))) + 1).cast("int"))
-    lex = R.lexicon(s).where("rule_no = 1").withColumn("biased", F.lit(term)).withColumn("avoid_when", F.lit(avoid_when))
-    return X.gated_matches(docs(s, d).select("doc_id", phrase.alias("text")), lex).select("doc_id", "blocked_by")
-
-
-add("D07_name_gate", lambda s, d: phrased(s, d, ("then Jane Doe the idiot", "then jane doe the idiot", "idiot Kamau"), "idiot", "biographical"), "SELECT doc_id, ['biographical', NULL, 'biographical'][doc_id % 3 + 1] AS blocked_by FROM documents")
-add("D08_possessive_gate", lambda s, d: phrased(s, d, ("nyumba yake", "daktari yake", "yake"), "yake", "legal"), "SELECT doc_id, ['statistical', NULL, 'statistical'][doc_id % 3 + 1] AS blocked_by FROM documents")
-add("D09_family_names", lambda s, d: phrased(s, d, ("kisha Mama Sara alikuja", "kisha mama alikuja"), "mama", "legal"), "SELECT doc_id, ['proper_noun', NULL][doc_id % 2 + 1] AS blocked_by FROM documents")
-add("D10_quick_check", lambda s, d: phrased(s, d, ("the court heard idiot", "idiot came"), "idiot", "legal").select("doc_id", F.col("blocked_by").isNull().alias("apply"), F.coalesce("blocked_by", F.lit("none")).alias("reason")), "SELECT doc_id, doc_id % 2 = 1 AS apply, ['legal', 'none'][doc_id % 2 + 1] AS reason FROM documents")
-
-
-def children(s, d):
-    phrase = F.when(F.col("doc_id") % 2 == 0, "mtoto wake wa kike na mtoto wa kike").otherwise("mtoto wa kike alikuja")
-    lex = R.lexicon(s).where("rule_no = 1").withColumn("biased", F.lit("mtoto wa kike"))
-    return X.cascade(docs(s, d).select("doc_id", phrase.alias("text"), F.lit("sw").alias("lang")), lex).select("doc_id", "settled", F.col("n_replace").cast("long").alias("n_replace"))
-
-
-add("D15_child_terms", children, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'neutral' ELSE 'stereotype' END AS settled, doc_id % 2 AS n_replace FROM documents")
 plug = lambda terms: lambda df: df.select("doc_id", X.keyword_score(F.col("text"), terms).alias("score")).withColumn("has_bias", F.col("score") > 0.7)
 add("X06_plug_in_detectors", lambda s, d: M.run_detectors(docs(s, d), {"few": plug(["idiot", "trash"]), "more": plug(["idiot", "trash", "he", "the"])}).groupBy("model", "has_bias").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score")),
     "WITH s AS (SELECT m.model, least(0.4 * len(list_filter(m.t, lambda x: contains(lower(text), x))), 1) AS s FROM documents, (VALUES ('few', ['idiot', 'trash']), ('more', ['idiot', 'trash', 'he', 'the'])) m(model, t)) SELECT model, s > 0.7 AS has_bias, count(*) AS n, round(avg(s), 6) AS mean_score FROM s GROUP BY ALL")

@@ -155,9 +155,6 @@ add("D22_keyword_detector", lambda s, d: docs(s, d).select("doc_id", X.keyword_d
 add("D21_substring_detector", lambda s, d: docs(s, d).select("doc_id", F.array_join(X.substring_detector(F.col("text"), ["trash", "idiot", "moron"]), ",").alias("terms")), "SELECT doc_id, array_to_string(list_filter(['trash', 'idiot', 'moron'], lambda t: contains(lower(text), t)), ',') AS terms FROM documents")
 add("D24_keyword_score", lambda s, d: docs(s, d).select("doc_id", F.round(X.keyword_score(F.col("text"), ["trash", "idiot", "moron"]), 6).alias("score")), "SELECT doc_id, round(least(0.4 * len(list_filter(['trash', 'idiot', 'moron'], lambda t: contains(lower(text), t))), 1), 6) AS score FROM documents")
 add("D25_hybrid", lambda s, d: R.judged(s, d).select("doc_id", X.hybrid(F.col("predicted"), F.col("quality") == 0).alias("h")).select("doc_id", "h.*"), f"WITH {R.JUDGED} SELECT doc_id, predicted OR quality = 0 AS has_bias, round(0.7 * CAST(predicted AS INT) + 0.3 * CASE WHEN quality = 0 THEN 0.8 ELSE 0.2 END, 6) AS confidence, predicted = (quality = 0) AS agreement FROM judged")
-gated = lambda s: R.lexicon(s).withColumn("avoid_when", F.when(F.col("rule_no") % 2 == 0, "quote|statistical|legal").otherwise("biographical"))
-add("D04_context_gate", lambda s, d: X.gated_matches(docs(s, d), gated(s)).select("doc_id", "rule_no", "blocked_by"))
-add("D16_cascade", lambda s, d: X.cascade(docs(s, d), gated(s), R.table(s, d, "labels").select("doc_id", (0.5 + F.col("toxic") * 0.4).alias("score"))))
 add("D27_category_suggestion", lambda s, d: X.category_suggestion(docs(s, d), s.sql("SELECT * FROM VALUES ('idiot', 'capability', 3.0), ('trash', 'leadership', 5.0), ('he', 'family_role', 1.0), ('moron', 'capability', 4.0) AS t(word, category, weight)")),
     f"""WITH k(word, category, weight) AS (VALUES ('idiot', 'capability', 3.0), ('trash', 'leadership', 5.0), ('he', 'family_role', 1.0), ('moron', 'capability', 4.0)), h AS (SELECT doc_id, unnest(list_distinct({TOK})) AS word FROM documents), s AS (SELECT doc_id, category, sum(weight) AS w FROM h JOIN k USING (word) GROUP BY ALL),
 b AS (SELECT doc_id, category, w FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, category DESC) = 1) SELECT doc_id, coalesce(category, 'profession') AS category, round(CAST(coalesce(least(w / 10.0, 0.95), 0.3) AS DOUBLE), 6) AS confidence, coalesce(least(w / 10.0, 0.95), 0.3) >= 0.9 AS auto_approved FROM documents LEFT JOIN b USING (doc_id)""")

@@ -124,6 +124,20 @@ def test_context_gate(spark, text, term, avoid, want):
     assert one(spark, X.blocking_context(F.col("t"), F.col("m"), F.col("a")), t=text, m=term, a=avoid) == want
 
 
+def test_gate_reads_the_same_around_a_term_as_in_a_text(spark):
+    import random
+
+    rng = random.Random(5)
+    some = ['"', "said", "was", "1987", "45%", "Jane Doe", "court", "film", "TAWOMA", "Dr.", "ACME", "the", "idiot", "Idiots", "\n", "aforesaid", "x" * 40, "é"]
+    texts = [(i, " ".join(rng.choices(some[:-2], k=rng.randint(3, 14)) + rng.choices(["lorem", "ipsum", *some[-2:]], k=rng.randint(0, 300)) + rng.choices(some, k=rng.randint(0, 9)))) for i in range(300)]
+    df = spark.createDataFrame(texts, "i int, t string").withColumn("near", X.around(F.col("t"), F.lit("idiot")))
+    conditions = [*X.P.CONTEXTS]
+    gates = [[X.blocking_context(F.col("t"), F.lit("idiot"), F.lit(c), near=n) for c in conditions] for n in (F.col("t"), F.col("near"))]
+    for mine, own in zip(*gates, strict=True):
+        assert df.where(~mine.eqNullSafe(own)).count() == 0
+    assert df.where("length(near) < length(t)").count() > 100
+
+
 def test_context_gate_with_case(spark):
     strict = X.blocking_context(F.col("t"), F.col("m"), F.lit(""), strict_case=True)
     assert one(spark, strict, t="the chairman spoke", m="chairman") is None
