@@ -8,7 +8,7 @@ whose bound is below the k-th best score so far are dropped and the survivors ar
 task returns is the k best per query; a window over those picks the final k.
 
 Sums are exact: they are taken in float64 while the largest possible sum of a block pair is below
-2^53, and in Python integers beyond. Ties go to the smaller id: a candidate is dropped only if its bound
+2^53, and in Python integers beyond; scores beyond 64 bits become the largest of their sign. Ties go to the smaller id: a candidate is dropped only if its bound
 is *below* the threshold, never at it. Candidates are read by descending norm, so that the threshold is
 high from the first slab on.
 
@@ -33,6 +33,8 @@ from pyspark.sql import Window as W
 QUERY_ROWS, CANDIDATE_ROWS = 512, 16_384
 #: Candidates per vertical slab within a task, and dimensions per accumulation step.
 SLAB, STEP = 2048, 16
+#: Scores and components beyond 64 bits become the largest of their sign.
+LARGEST = (1 << 63) - 1
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -71,6 +73,7 @@ def best_of_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray
                 if not len(alive):
                     break
             if len(alive):
+                sums = sums if exact else np.minimum(np.maximum(sums, -LARGEST - 1), LARGEST)
                 score, own = np.concatenate([top_score, sums]), np.concatenate([top_id, ids[alive]])
                 first = np.lexsort((own, -score))[:k]
                 top_score, top_id = score[first], own[first]
