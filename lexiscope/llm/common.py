@@ -69,6 +69,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores appended until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

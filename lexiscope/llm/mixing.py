@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexiscope.llm.common import ASCII_SPACE, BROADCAST_BYTES, saved
+from lexiscope.llm.common import ASCII_SPACE, BROADCAST_BYTES, column, saved
 
 WORD = f"[^{ASCII_SPACE}]+"
 WORD_WITH_GAP = f"[{ASCII_SPACE}]*[^{ASCII_SPACE}]+"
@@ -170,7 +170,7 @@ def planned(
     """
     order = F.xxhash64(F.lit(seed), *[F.col(c) for c in key], F.col(size), source_key(F.col(source)))
     keyed = df.select(
-        F.struct(*[df[c].alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("r"),
+        F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("r"),
         source_key(F.col(source)).alias("skey"),
         F.col(size).cast("long").alias("size"),
         order.alias("h"),
@@ -251,40 +251,23 @@ def shown_shares(pieces: Column) -> Column:
     return F.array_join(F.transform(shards, lambda s: F.concat_ws(":", s.cast("string"), words(s).cast("string"))), ",")
 
 
-def joined_pieces(pieces: Column) -> Column:
-    """Pieces that follow each other in one epoch and shard, as one."""
-
-    def step(acc: Column, p: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.struct(last["epoch"].alias("epoch"), last["first"].alias("first"), (last["n"] + p["n"]).alias("n"), last["shard"].alias("shard"))
-        follows = (F.size(acc) > 0) & (last["epoch"] == p["epoch"]) & (last["shard"] == p["shard"]) & (last["first"] + last["n"] == p["first"])
-        return F.when(follows, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(p)))
-
-    ordered = F.array_sort(F.transform(pieces, lambda p: F.struct(p["epoch"], p["first"], p["n"], p["shard"])))
-    return F.aggregate(ordered, F.array().cast("array<struct<epoch:int,first:bigint,n:bigint,shard:int>>"), step)
-
-
 def mixture(df: DataFrame, text: str = "text", size: str = "size", seed: int = 41, **options) -> DataFrame:
-    """The mixture itself: the columns of ``df``, a row per taken copy, with the words taken and ``shard`` and ``shard_key``.
+    """The mixture itself: the columns of ``df``, a row per pass that takes of a document, with ``shard`` and ``shard_key``.
 
-    A pass that takes all of a document gives its whole text unchanged, in the shard of its first words;
-    else each run of drawn blocks gives a row with its words and the white space before each of them.
+    A pass that takes all of a document gives its whole text unchanged. Where the drawn blocks end within a
+    document, its row holds as many words as they drew, from its start on, with the white space before each of
+    them: at most one row a document and pass, and no text with gaps. The row goes to the shard of its first drawn block.
     The rows of a shard stand in the shuffled order of ``shard_key`` within each of its CHUNKS.
     """
-    whole = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(int(options.get("cap", 2.0)))), lambda e: F.filter("pieces", lambda p: p["epoch"] == e)),
-        lambda own: F.aggregate(own, F.lit(0).cast("long"), lambda acc, p: acc + p["n"]) == F.col("size"),
-    )
-    item = lambda p, n: F.struct(p["epoch"].alias("epoch"), p["shard"].alias("shard"), p["first"].alias("first"), n.alias("n"))
-    full = F.transform(F.filter(whole, lambda own: F.size(own) > 0), lambda own: item(own[0], F.col("size")))
-    full_epochs = F.transform(full, lambda p: p["epoch"])
-    part = F.transform(joined_pieces(F.filter("pieces", lambda p: ~F.array_contains(full_epochs, p["epoch"]))), lambda p: item(p, p["n"]))
+    passes = F.transform(F.sequence(F.lit(0), F.lit(int(options.get("cap", 2.0)))), lambda e: F.filter("pieces", lambda p: p["epoch"] == e))
+    words = lambda own: F.aggregate(own, F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
+    one = F.transform(F.filter(passes, lambda own: F.size(own) > 0), lambda own: F.struct(own[0]["epoch"].alias("epoch"), own[0]["shard"].alias("shard"), words(own).alias("n")))
     # outer: an inferred filter on the array would compute it twice
-    taken = planned(df, size=size, seed=seed, **options).select("r", "size", F.explode_outer(F.concat(full, part)).alias("piece")).where("piece is not null")
+    taken = planned(df, size=size, seed=seed, **options).select("r", "size", F.explode_outer(one).alias("piece")).where("piece is not null")
     own = F.col(f"r.c{df.columns.index(text)}")
-    cut = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(WORD_WITH_GAP), F.lit(0)), (F.col("piece.first") + 1).cast("int"), F.col("piece.n").cast("int")), "")
+    cut = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(WORD_WITH_GAP), F.lit(0)), F.lit(1), F.col("piece.n").cast("int")), "")
     new_text = F.when(F.col("piece.n") == F.col("size"), own).otherwise(cut)
-    rows = taken.select("r", new_text.alias("new_text"), F.col("piece.shard").alias("shard"), F.xxhash64(F.lit(seed), F.col("piece.epoch"), F.col("piece.first"), own).alias("shard_key"))
+    rows = taken.select("r", new_text.alias("new_text"), F.col("piece.shard").alias("shard"), F.xxhash64(F.lit(seed), F.col("piece.epoch"), own).alias("shard_key"))
     rows = rows.repartition("shard", F.pmod("shard_key", F.lit(CHUNKS))).sortWithinPartitions("shard", "shard_key")
     shard, shard_key = free_names(df.columns, ("shard", "shard_key"))
     kept = [F.col("new_text" if c == text else f"r.c{i}").alias(c) for i, c in enumerate(df.columns)]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexiscope.llm.common import BROADCAST_BYTES, free_name, saved
+from lexiscope.llm.common import BROADCAST_BYTES, column, free_name, saved
 
 #: Bytes of records per bucket. One bucket is held in memory by one task.
 BUCKET_BYTES = 16 << 20
@@ -43,8 +43,8 @@ def record_bytes(text: Column) -> Column:
 
 def held_bytes(df: DataFrame) -> Column:
     """Bytes of a whole row in memory, about: contents of strings, binaries and nested values, and 8 for each column."""
-    flat = [F.octet_length(df[c]) for c, t in df.dtypes if t in ("string", "binary")]
-    nested = [F.octet_length(F.to_json(F.struct(df[c]))) for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]
+    flat = [F.octet_length(column(c)) for c, t in df.dtypes if t in ("string", "binary")]
+    nested = [F.octet_length(F.to_json(F.struct(column(c)))) for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]
     return sum((F.coalesce(x, F.lit(0)).cast("long") for x in flat + nested), F.lit(8 * len(df.columns)).cast("long"))
 
 
@@ -61,7 +61,7 @@ def shuffled_shards(
     """All rows and columns of ``df`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0)."""
     shard = free_name(df, shard)
     slot = free_name(df.withColumn(shard, F.lit(0)), slot)
-    payload = F.struct(*[df[c].alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row")
+    payload = F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row")
     key_hash = F.xxhash64(F.lit(seed), *[F.col(c) for c in key], F.xxhash64(F.col(text)))
 
     # how much there is, and which equal records fill more than a quarter of a bucket: four a bucket at most
