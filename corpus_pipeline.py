@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import free_name, saved, table
+from lexiscope.llm.common import column, free_name, saved, table
 from lexiscope.llm.decontaminate import decontaminated
 from lexiscope.llm.mixing import mixture, word_count
 from lexiscope.llm.neardup import near_duplicates
@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the sources' targets take, as rows of documents, shard by shard in shuffled order."""
     size = free_name(docs, "mix_size")
     rows = mixture(docs.withColumn(size, word_count(docs["text"])), size=size)
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*[column(c) for c in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
