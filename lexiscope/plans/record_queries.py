@@ -70,17 +70,18 @@ def versioned(s, d):
 
 
 add("S03_versioned_file", versioned, "SELECT lang AS language, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang")
-truth_file = lambda s, d: written(s, R.truth(s, d).select(F.concat(F.lit('"'), flat(), F.lit('"')).alias("text"), F.when(F.col("has_bias"), "TRUE").otherwise("false").alias("has_bias"), F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "Occupation").otherwise("unheard-of").alias("bias_category"), F.when(F.col("doc_id") % 2 == 0, "Counter_Stereotype").otherwise("N/A").alias("bias_label"), F.col("doc_id").cast("string").alias("bias_severity")), "csv", **CSV)
-add("S04_truth_scan", lambda s, d: S.read_truth(s, truth_file(s, d), ["occupation"], {"bias_label": ["counter-stereotype", "neutral"]}).groupBy("has_bias", "bias_category", "bias_label").agg(F.count(F.lit(1)).alias("n"), F.sum("bias_severity").cast("long").alias("severity")),
-    f"WITH {R.TRUTH} SELECT has_bias, CASE doc_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'occupation' ELSE 'stereotype' END AS bias_category, CASE WHEN doc_id % 2 = 0 THEN 'counter-stereotype' END AS bias_label, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS severity FROM truth GROUP BY ALL")
+truth_file = lambda s, d: written(s, R.truth(s, d).select(F.concat(F.lit('"'), "text", F.lit('"')).alias("text"), F.when(F.col("has_bias"), "TRUE").otherwise("false").alias("has_bias"), F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "Occupation").otherwise("unheard-of").alias("bias_category"), F.when(F.col("doc_id") % 2 == 0, "Counter_Stereotype").otherwise("N/A").alias("bias_label"), F.col("doc_id").cast("string").alias("bias_severity")), "csv", **CSV)
+add("S04_truth_scan", lambda s, d: S.read_truth(s, truth_file(s, d), ["occupation"], {"bias_label": ["counter-stereotype", "neutral"]}).groupBy("has_bias", "bias_category", "bias_label").agg(F.count(F.lit(1)).alias("n"), F.sum("bias_severity").cast("long").alias("severity"), F.sum(F.length("text")).cast("long").alias("chars")),
+    f"WITH {R.TRUTH} SELECT has_bias, CASE doc_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'occupation' ELSE 'stereotype' END AS bias_category, CASE WHEN doc_id % 2 = 0 THEN 'counter-stereotype' END AS bias_label, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS severity, CAST(sum(length(trim(text, chr(34)))) AS BIGINT) AS chars FROM truth GROUP BY ALL")
 add("S06_log_scan", lambda s, d: S.read_log(s, written(s, docs(s, d).select(F.when(F.col("doc_id") % 10 == 0, "{broken").otherwise(F.to_json(F.struct("doc_id", "lang", F.col("n_chars").alias("timestamp")))).alias("value")), "text"), "doc_id long, lang string, timestamp long").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("newest")),
     "SELECT lang, count(*) AS n, max(n_chars) AS newest FROM documents WHERE doc_id % 10 <> 0 GROUP BY lang")
 texts_of = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
 _TEXTS = f"SELECT count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT {_FLAT} AS t FROM documents) WHERE t <> ''"
-either = lambda s, d: docs(s, d).select(F.when(F.col("doc_id") % 2 == 0, flat()).alias("sentence"), F.when(F.col("doc_id") % 2 == 1, flat()).alias("content"))
-add("S07_json_texts", lambda s, d: texts_of(S.read_texts(s, written(s, either(s, d), "json"), "jsonl")), _TEXTS)
-add("S08_csv_texts", lambda s, d: texts_of(S.read_texts(s, written(s, either(s, d), "csv", **CSV), "csv")), _TEXTS)
-add("S15_news_texts", lambda s, d: texts_of(S.read_texts(s, written(s, either(s, d), "json"), "jsonl").unionByName(S.read_texts(s, written(s, docs(s, d).select(flat().alias("value")), "text"), "plain"))), f"SELECT 2 * n AS n, CAST(2 * chars AS BIGINT) AS chars FROM ({_TEXTS})")
+_WHOLE = "SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE trim(text, ' ') <> ''"
+either = lambda s, d: docs(s, d).select(F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("sentence"), F.when(F.col("doc_id") % 2 == 1, F.col("text")).alias("content"))
+add("S07_json_texts", lambda s, d: texts_of(S.read_texts(s, written(s, either(s, d), "json"), "jsonl")), _WHOLE)
+add("S08_csv_texts", lambda s, d: texts_of(S.read_texts(s, written(s, either(s, d), "csv", **CSV), "csv")), _WHOLE)
+add("S15_news_texts", lambda s, d: texts_of(S.read_texts(s, written(s, either(s, d), "json"), "jsonl").unionByName(S.read_texts(s, written(s, docs(s, d).select(flat().alias("value")), "text"), "plain"))), f"SELECT w.n + t.n AS n, w.chars + t.chars AS chars FROM ({_WHOLE}) w, ({_TEXTS}) t")
 
 
 def conll_texts(s, d):
@@ -114,8 +115,23 @@ def tree(s, d):
 add("S13_file_tree", tree, "SELECT source, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids, true AS named FROM documents GROUP BY source")
 add("S14_merged_sources", lambda s, d: S.merged_sources({"documents": docs(s, d).select("text"), "benchmark": R.table(s, d, "benchmark").select("text"), "conversations": R.table(s, d, "conversations").select("text", "role")}, "2025-12-03", {"benchmark": "urn:benchmark"}).groupBy("source_file", "source_url").agg(F.count(F.lit(1)).alias("n"), F.count("role").alias("roles"), F.date_format(F.max("collection_date"), "yyyy-MM-dd").alias("collected")),
     "SELECT 'documents' AS source_file, CAST(NULL AS VARCHAR) AS source_url, count(*) AS n, 0 AS roles, '2025-12-03' AS collected FROM documents UNION ALL SELECT 'benchmark', 'urn:benchmark', count(*), 0, '2025-12-03' FROM benchmark UNION ALL SELECT 'conversations', NULL, count(*), count(role), '2025-12-03' FROM conversations")
-entry = lambda: F.map_from_arrays(F.array(F.lit("sentence"), F.lit("note"), F.lit("other")), F.array(F.when(F.col("doc_id") % 2 == 0, flat()), F.col("lang"), flat()))
-add("S18_candidate_sentences", lambda s, d: texts_of(S.candidate_sentences(docs(s, d).select(entry().alias("entry")))), f"SELECT count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT doc_id, {_FLAT} AS t FROM documents) WHERE doc_id % 2 = 0 OR (length(t) > 20 AND regexp_matches(t, '[.?!]$'))")
+
+
+def entries(s, d):
+    """One JSON entry a document, of four shapes, in one file."""
+    own = F.col("text")
+    one = F.to_json(F.struct(own.alias("sentence"), F.col("lang").alias("note"), F.lit(3).alias("text")))
+    many = F.concat(F.lit('{"sentences": ['), F.to_json(F.struct(own.alias("x"))), F.lit(", 7, null, "), F.regexp_replace(F.to_json(F.struct(own.alias("x"))), r'^\{"x":|\}$', ""), F.lit("]}"))
+    other = F.to_json(F.struct(F.concat(own, F.lit(". ")).alias("a"), F.col("source").alias("b"), own.alias("c"), F.col("doc_id").alias("d")))
+    at = written(s, docs(s, d).select(F.get(F.array(one, many, other, F.lit('{"broken": ')), (F.col("doc_id") % 4).cast("int")).alias("value")), "text")
+    return s.read.text(at).withColumnRenamed("value", "entry")
+
+
+add("S18_candidate_sentences", lambda s, d: S.candidate_sentences(entries(s, d)).select(F.md5("text").alias("digest")),
+    """WITH e AS (SELECT CASE doc_id % 4 WHEN 0 THEN json_object('sentence', text, 'note', lang, 'text', 3) WHEN 1 THEN json_object('sentences', json_array(json_object('x', text), 7, NULL, text)) WHEN 2 THEN json_object('a', text || '. ', 'b', source, 'c', text, 'd', doc_id) END AS j FROM documents WHERE text IS NOT NULL),
+n AS (SELECT j, list_filter(list_concat([j -> '$.sentence', j -> '$.text', j -> '$.template', j -> '$.sent'], coalesce(CAST(j -> '$.sentences' AS JSON[]), [])), lambda x: json_type(x) = 'VARCHAR') AS named FROM e WHERE j IS NOT NULL),
+a AS (SELECT CASE WHEN len(named) > 0 THEN named ELSE list_filter(list_transform(json_keys(j), lambda k: j -> k), lambda x: json_type(x) = 'VARCHAR' AND length(x ->> '$') > 20 AND regexp_matches(trim(x ->> '$'), '[.?!]$')) END AS found FROM n)
+SELECT md5(x ->> '$') AS digest FROM (SELECT unnest(found) AS x FROM a)""")
 add("S19_first_usable", lambda s, d: S.first_usable(docs(s, d).orderBy("doc_id").select("source", flat().alias("text")), ["source", "text"], 40).select(F.md5("text").alias("digest")), f"SELECT md5(t) AS digest FROM (SELECT doc_id, {_FLAT} AS t FROM documents) WHERE length(t) >= 20 ORDER BY doc_id LIMIT 40")
 
 
@@ -144,15 +160,15 @@ add("S21_batch_files", batches, "SELECT role, count(*) AS n, CAST(sum(turn) AS B
 
 def truth_sink(s, d):
     at = scratch(s)
-    rows = R.samples(s, d).withColumn("text", flat()).withColumn("has_bias", F.col("has_bias").cast("string")).withColumn("ml_prediction", F.col("ml_prediction").cast("string"))
+    rows = R.samples(s, d).withColumn("has_bias", F.col("has_bias").cast("string")).withColumn("ml_prediction", F.col("ml_prediction").cast("string"))
     S.write_table(S.projected(rows, S.TRUTH_COLUMNS), f"{at}/full")
     S.write_table(S.projected(rows, S.CORE_COLUMNS), f"{at}/core")
-    full, core = (s.read.options(header=True, escape='"').csv(f"{at}/{x}") for x in ("full", "core"))
-    count = lambda df, name: df.agg(F.lit(name).alias("file"), F.lit(len(df.columns)).alias("columns"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("has_bias") == "true").alias("biased"), F.count("bias_category").alias("categories"))
+    full, core = (S.read_csv(s, f"{at}/{x}") for x in ("full", "core"))
+    count = lambda df, name: df.agg(F.lit(name).alias("file"), F.lit(len(df.columns)).alias("columns"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("has_bias") == "true").alias("biased"), F.count("bias_category").alias("categories"), F.sum(F.length("text")).cast("long").alias("chars"))
     return count(full, "full").unionByName(count(core, "core"))
 
 
-add("S25_truth_sink", truth_sink, f"WITH {R.SAMPLES}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE has_bias) AS biased, count(bias_category) AS categories FROM samples) SELECT 'full' AS file, 24 AS columns, * FROM c UNION ALL SELECT 'core', 8, * FROM c")
+add("S25_truth_sink", truth_sink, f"WITH {R.SAMPLES}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE has_bias) AS biased, count(bias_category) AS categories, CAST(sum(length(text)) AS BIGINT) AS chars FROM samples) SELECT 'full' AS file, 24 AS columns, * FROM c UNION ALL SELECT 'core', 8, * FROM c")
 report = lambda s, d: M.metrics_by(R.judged(s, d), [["lang"], []])
 
 
@@ -186,13 +202,13 @@ add("S29_rule_counts", lambda s, d: S.rule_counts(S.read_lexicon(s, full_lexicon
 
 def disagreement_sink(s, d):
     at = scratch(s)
-    rows = R.samples(s, d).where("ml_prediction <> has_bias").withColumn("text", flat()).withColumn("has_bias", F.col("has_bias").cast("string"))
+    rows = R.samples(s, d).where("ml_prediction <> has_bias").withColumn("has_bias", F.col("has_bias").cast("string"))
     S.write_table(S.projected(rows, S.DISAGREEMENT_COLUMNS), at)
-    back = s.read.options(header=True, escape='"').csv(at)
-    return back.groupBy("annotator_id", "confidence").agg(F.count(F.lit(1)).alias("n"), F.lit(len(back.columns)).alias("columns"))
+    back = S.read_csv(s, at)
+    return back.groupBy("annotator_id", "confidence").agg(F.count(F.lit(1)).alias("n"), F.lit(len(back.columns)).alias("columns"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-add("S31_disagreement_sink", disagreement_sink, f"WITH {R.SAMPLES} SELECT annotator_id, confidence, count(*) AS n, 7 AS columns FROM samples WHERE ml_prediction <> has_bias GROUP BY ALL")
+add("S31_disagreement_sink", disagreement_sink, f"WITH {R.SAMPLES} SELECT annotator_id, confidence, count(*) AS n, 7 AS columns, CAST(sum(length(text)) AS BIGINT) AS chars FROM samples WHERE ml_prediction <> has_bias GROUP BY ALL")
 
 
 def annotator_files(s, d):

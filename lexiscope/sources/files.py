@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -14,6 +14,54 @@ TEXT_COLUMNS = ("text", "sentence", "translation", "utterance", "content")
 NULLS = ("", "NEEDS_ANNOTATION", "N/A", "NONE")
 
 
+def read_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> DataFrame:
+    """(file, block, n, value) of every line, besides columns that folders name: block and n put a file's lines in order.
+
+    Spark splits large files; a block is what one task read of a file.
+    """
+    rows = spark.read.text(path, lineSep=line_sep) if line_sep else spark.read.text(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+
+
+def running(lines: DataFrame, step: Column, name: str) -> DataFrame:
+    """``lines`` with the sum of ``step`` over the lines before each in its file.
+
+    Blocks add up by themselves; only their totals, a row a block, are added up by file.
+    """
+    own = W.partitionBy("file", "block").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    totals = lines.groupBy("file", "block").agg(F.sum(step).alias("_total")).select("file", "block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    summed = lines.withColumn(name, F.coalesce(F.sum(step).over(own), F.lit(0))).join(totals, ["file", "block"])
+    return summed.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_before")
+
+
+def read_csv(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+    """Files with a header, all columns as strings; cells may hold line ends, and large files are split all the same.
+
+    A record begins where an even number of quotes stands before a line in its file, as quotes within cells are doubled.
+    """
+    lines = read_lines(spark, path, "\n")
+    folders = [c for c in lines.columns if c not in ("value", "file", "block", "n")]
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    begun = running(lines, quotes, "_quotes").withColumn("_begins", (F.col("_quotes") % 2 == 0).cast("int"))
+    placed = running(begun, F.col("_begins"), "_begun").withColumn("record", F.col("_begun") + F.col("_begins"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "n", "value"))), lambda x: x["value"])
+    records = placed.groupBy("file", "record", *folders).agg(F.regexp_replace(F.array_join(parts, "\n"), r"\r\z", "").alias("value"))
+    header = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True).drop(*folders).columns
+    schema = ", ".join("`" + c.replace("`", "``") + "` string" for c in header)
+    cells = F.from_csv("value", F.lit(schema), {"quote": '"', "escape": '"', "mode": mode, "lineSep": "\n"})
+    return records.where("record > 1 and value <> ''").select(cells.alias("_cells"), *folders).select("_cells.*", *folders)
+
+
+def read_sentences(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sentence, lines) of tagged files: any blank line ends a sentence, whatever the line ends are."""
+    lines = read_lines(spark, path)
+    blank = F.col("value").rlike(r"^\s*$")
+    placed = running(lines, blank.cast("int"), "sentence").where(~blank)
+    values = F.transform(F.array_sort(F.collect_list(F.struct("block", "n", "value"))), lambda x: F.trim(F.regexp_replace(x["value"], r"^\s+|\s+$", "")))
+    return placed.groupBy("file", "sentence").agg(values.alias("lines"))
+
+
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """S-01: all columns as strings, nulls as empty strings, with the rule's number in file order."""
     schema = ", ".join(f"`{c}` string" for c in LEXICON)
@@ -53,7 +101,7 @@ def enum_value(c, allowed: Sequence[str]):
 
 def read_truth(spark: SparkSession, path: str, categories: Sequence[str], enums: Mapping[str, Sequence[str]] | None = None, mode: str = "FAILFAST") -> DataFrame:
     """S-04, S-05: ground truth, legacy or extended (it has target_gender or bias_label); enums checked, numbers tried."""
-    rows = spark.read.csv(path, header=True, quote='"', escape='"', mode=mode)
+    rows = read_csv(spark, path, mode)
     category = F.lower(F.trim(F.coalesce("bias_category", F.lit(""))))
     out = {"text": F.btrim("text", F.lit('"')), "has_bias": F.lower(F.trim("has_bias")) == "true", "bias_category": F.when(category == "", "none").when(category.isin(*categories), category).otherwise("stereotype")}
     if {"target_gender", "bias_label"} & set(rows.columns):
@@ -74,19 +122,19 @@ def read_texts(spark: SparkSession, path: str, kind: str) -> DataFrame:
     if kind == "plain":
         return spark.read.text(path).select(F.trim("value").alias("text")).where("text <> ''")
     if kind == "conll":
-        sentence = F.array_join(F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.get(F.split(x, r"\s+"), F.lit(0))), " ")
-        return spark.read.text(path, lineSep="\n\n").select(sentence.alias("text")).where("text <> ''")
-    rows = spark.read.json(path, multiLine=kind == "json") if kind in ("json", "jsonl") else spark.read.csv(path, header=True, quote='"', escape='"')
+        first = F.transform("lines", lambda x: F.get(F.split(x, r"\s+"), F.lit(0)))
+        return read_sentences(spark, path).select(F.array_join(first, " ").alias("text"))
+    rows = spark.read.json(path, multiLine=kind == "json") if kind in ("json", "jsonl") else read_csv(spark, path, "PERMISSIVE")
     own = [c for c in TEXT_COLUMNS if c in rows.columns] or rows.columns[:1]
     return rows.select(F.coalesce(*[F.col(c) for c in own]).alias("text")).where("trim(text) <> ''")
 
 
 def read_bio(spark: SparkSession, path: str) -> DataFrame:
     """S-11: (sentence, pos, token, tag) of lines with exactly two fields; a blank line ends a sentence. ``person``: it has a PER tag."""
-    rows = spark.read.text(path, lineSep="\n\n").select(F.monotonically_increasing_id().alias("sentence"), F.split("value", "\n").alias("lines"))
-    person = F.exists("lines", lambda x: F.trim(x).rlike(r"^\S+\s+\S*PER\z"))
-    blocks = rows.select("sentence", person.alias("person"), F.posexplode("lines").alias("pos", "line"))
-    parts = F.split(F.trim("line"), r"\s+")
+    person = F.exists("lines", lambda x: x.rlike(r"^\S+\s+\S*PER\z"))
+    rows = read_sentences(spark, path).select(F.concat_ws(":", "file", "sentence").alias("sentence"), person.alias("person"), "lines")
+    blocks = rows.select("sentence", "person", F.posexplode("lines").alias("pos", "line"))
+    parts = F.split("line", r"\s+")
     return blocks.where(F.size(parts) == 2).select("sentence", "pos", F.get(parts, F.lit(0)).alias("token"), F.get(parts, F.lit(1)).alias("tag"), "person")
 
 
@@ -131,11 +179,19 @@ def benchmark_sentences(rows: DataFrame, kind: str) -> DataFrame:
     return rows.where("bias_type = 'gender'").select(F.explode(pair).alias("p")).select("p.*")
 
 
-def candidate_sentences(rows: DataFrame, keys: Sequence[str] = ("sentence", "text"), least: int = 20) -> DataFrame:
-    """S-18: from entries (map of strings) the named keys, or any longer value that ends like a sentence."""
-    named = F.filter(F.array(*[F.try_element_at("entry", F.lit(k)) for k in keys]), lambda x: x.isNotNull())
-    other = F.filter(F.map_values("entry"), lambda x: (F.length(x) > least) & x.rlike(r"[.?!]$"))
-    return rows.select(F.explode(F.when(F.size(named) > 0, named).otherwise(other)).alias("text"))
+def candidate_sentences(rows: DataFrame, entry: str = "entry", keys: Sequence[str] = ("sentence", "text", "template", "sent"), listed: str = "sentences", least: int = 20) -> DataFrame:
+    """S-18: candidate texts of JSON entries of any shape: the named keys and the list, or any longer value that ends like a sentence.
+
+    Only strings count. Entries that don't parse, or aren't objects, give none.
+    """
+    parsed = F.try_parse_json(F.col(entry))
+    strings = lambda xs: F.transform(F.filter(xs, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    cells = rows.select(F.try_variant_get(parsed, "$", "map<string,variant>").alias("cells"))
+    named = F.filter(F.array(*[F.try_element_at("cells", F.lit(k)) for k in keys]), lambda x: x.isNotNull())
+    several = F.coalesce(F.try_variant_get(F.try_element_at("cells", F.lit(listed)), "$", "array<variant>"), F.array().cast("array<variant>"))
+    found = cells.where("cells is not null").select(strings(F.concat(named, several)).alias("named"), strings(F.map_values("cells")).alias("all"))
+    other = F.filter("all", lambda x: (F.length(x) > least) & F.trim(x).rlike(r"[.?!]$"))
+    return found.select(F.explode(F.when(F.size("named") > 0, F.col("named")).otherwise(other)).alias("text"))
 
 
 def first_usable(rows: DataFrame, columns: Sequence[str], n: int, least: int = 20) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiscope.operators import prepare as P
@@ -128,3 +129,37 @@ def test_streams_over_many_files(spark, tmp_path):
     assert same("ST04_sessions", J.sessions(batch.withColumnRenamed("user_id", "reviewer")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")))
     assert same("ST07_running_confusion", J.running_confusion(batch.select(F.col("event_type").alias("lang"), (F.col("value") > 50).alias("has_bias"), (F.col("event_id") % 2 == 0).alias("predicted"))))
     assert sorted(r["key"] for r in got["ST05_fresh_texts"].collect()) == sorted(f"text {i}" for i in range(90))
+
+
+@pytest.mark.parametrize("split", [64, 1 << 27])
+def test_csv_cells_with_line_ends(spark, tmp_path, split):
+    """Also where a file is split within records, with CR LF, with a header in every file."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        cells = [(str(i), "text " * (i % 7) + ('two\n"lines", ' * (i % 5)), "x\n\n\ny" if i % 3 else None) for i in range(60)]
+        spark.createDataFrame(cells, "a string, `b.c` string, d string").repartition(3).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(str(tmp_path / "t"))
+        back = S.read_csv(spark, str(tmp_path / "t"))
+        assert back.columns == ["a", "b.c", "d"]
+        assert sorted(tuple(r) for r in back.collect()) == sorted((a, b or None, d) for a, b, d in cells)
+        (tmp_path / "crlf.csv").write_bytes(b'text,has_bias\r\n"one\r\ntwo",TRUE\r\nthree,false\r\n')
+        assert [r["text"].split() for r in S.read_texts(spark, str(tmp_path / "crlf.csv"), "csv").orderBy("text").collect()] == [["one", "two"], ["three"]]
+        (tmp_path / "truth.csv").write_text('text,has_bias,bias_category\n"a ""b"",\nc",TRUE,Occupation\n')
+        assert [(r["text"], r["has_bias"]) for r in S.read_truth(spark, str(tmp_path / "truth.csv"), ["occupation"]).collect()] == [('a "b",\nc', True)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("split", [16, 1 << 27])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_any_blank_line_ends_a_sentence(spark, tmp_path, split, end):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        lines = ["", "Jane B-PER", "ran O", " \t", "He O", "sat  O", "", "", "x y z", "Bo I-PER"]
+        for name in ("a", "b"):
+            (tmp_path / name).write_bytes((end.join(lines) + (end if name == "a" else "")).encode())
+        assert sorted(r["text"] for r in S.read_texts(spark, str(tmp_path), "conll").collect()) == sorted(["Jane ran", "He sat", "x Bo"] * 2)
+        rows = S.read_bio(spark, str(tmp_path)).collect()
+        assert sorted((r["pos"], r["token"], r["tag"], r["person"]) for r in rows) == sorted([(0, "Jane", "B-PER", True), (1, "ran", "O", True), (0, "He", "O", False), (1, "sat", "O", False), (1, "Bo", "I-PER", True)] * 2)
+        assert len({r["sentence"] for r in rows}) == 6
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
