@@ -154,9 +154,10 @@ def rescored(block: pa.RecordBatch, terms: list, counts: list | None, coordinate
     m = 100 - 25 + (25 * n * n_docs) // n_all
     impact = weight[term] * ((1_000_000_000 * tf) // (1000 * tf + 12 * np.repeat(m, sizes)))
     # fold: the highest impact of each coordinate
-    sketch = np.zeros(len(ids) * COORDINATES)
-    np.maximum.at(sketch, np.repeat(np.arange(len(ids)) * COORDINATES, sizes) + coordinate[term], impact.astype(np.float64))
-    bounds = sketch.reshape(len(ids), COORDINATES) @ lookups
+    width = len(lookups)
+    sketch = np.zeros(len(ids) * width)
+    np.maximum.at(sketch, np.repeat(np.arange(len(ids)) * width, sizes) + coordinate[term], impact.astype(np.float64))
+    bounds = sketch.reshape(len(ids), width) @ lookups
     stop = np.cumsum(sizes)
     hopeful = np.flatnonzero((bounds >= least).any(axis=0))
     for q in hopeful:

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiscope.llm import components, decontaminate, html_extract, langid, mixing, neardup, secrets, sharding, tokens, topk, toxicity
+from lexiscope.llm import alignment, components, decontaminate, fingerprints, html_extract, langid, lexical, mixing, neardup, secrets, sharding, tokens, topk, toxicity
+from lexiscope.llm.common import saved
 from lexiscope.llm.html_blocks import leaves
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -663,3 +664,140 @@ def test_matches_for_is_safe():
     for s in (0.8, 0.85, 0.95):
         t = neardup.matches_for(s)
         assert sum(comb(64, k) * s**k * (1 - s) ** (64 - k) for k in range(t)) < neardup.MISS
+
+
+# lexical search
+
+
+def brute_search(docs, items, k):
+    import math
+    from collections import Counter
+
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    own = [(i, terms(t)) for i, t in docs]
+    own = [(i, Counter(x), len(x)) for i, x in own if x]
+    n_docs, n_all = len(own), sum(n for _, _, n in own)
+    df = Counter(t for _, c, _ in own for t in c)
+    out = []
+    for item, text in dict.fromkeys(items):
+        scores = []
+        for i, c, n in own:
+            m = 75 + 25 * n * n_docs // n_all
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m)) for t in terms(text) if t in c)
+            scores += [(-score, i)] if score > 0 else []
+        out += [(item, r, i, -x) for r, (x, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("coordinates", [1, 7, 512])
+def test_lexical_search_equals_brute_force(spark, monkeypatch, coordinates):
+    """With few coordinates nearly all terms share one, so that bounds are loose; ties, odd rows and small blocks."""
+    monkeypatch.setattr(lexical, "COORDINATES", coordinates)
+    monkeypatch.setattr(lexical, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(lexical, "VOCABULARY_BYTES", 30_000)
+    rng = random.Random(3)
+    docs = [(i, words(rng, rng.randrange(0, 40), 150)) for i in range(600)]
+    docs += [(1000 + i, docs[5][1]) for i in range(30)] + [(2000, None), (2001, ""), (2002, "! ?"), (2003, "É 中文 w1 " * 3000), (2004, "W1 w1")]
+    items = [(i, words(rng, rng.randrange(1, 9), 150)) for i in range(25)] + [(50, docs[5][1]), (51, None), (52, "nothing of it"), (53, "w1 w1 É 中文"), (53, "w1 w1 É 中文")]
+    d = frame(spark, docs, "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("n", F.lit(2)).repartition(5)
+    q = frame(spark, items, "item_id long, text string").withColumn("rank", F.lit(1))
+    assert sorted(map(tuple, lexical.search(d, q, 4).collect())) == brute_search(docs, items, 4)
+    assert lexical.search(d.where("false"), q).count() == 0 and lexical.search(d, q.where("false")).count() == 0
+
+
+# fingerprints
+
+
+def test_next_documents_over_buckets(spark):
+    """One bucket or many, repeated rows, ids with several texts, null ids, a single row, no row."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(300), words(rng, rng.randrange(1, 30))) for _ in range(500)] + [(7, "same text " * 9)] * 2300 + [(None, "no id"), (None, None), (301, None), (301, None), (302, "é中😀" * 40)]
+    docs = frame(spark, rows, "doc_id long, text string").withColumn("hash", F.lit(1)).withColumn("bucket", F.lit(2)).repartition(4)
+    one, many = (sorted(map(tuple, fingerprints.fingerprinted(docs, bucket_bytes=b).collect()), key=str) for b in (1 << 30, 900))
+    assert one == many and len(one) == len(rows)
+    assert sorted(str((r[0], r[1])) for r in one) == sorted(str((i, len(t or ""))) for i, t in rows)
+    by_row = {}
+    for r in one:
+        by_row.setdefault((r[0], r[3]), set()).add(r)
+    assert all(len(x) == 1 for x in by_row.values())
+    alone = fingerprints.fingerprinted(docs.where("doc_id = 302")).first()
+    assert alone["near_next"] == 1.0 and alone["edited_sha256"] == hashlib.sha256(("é中😀" * 20 + "é中😀" * 20).encode()).hexdigest()
+    assert fingerprints.fingerprinted(docs.where("false")).count() == 0
+
+
+def test_edits_are_located(spark):
+    before = "# one\nfirst line here\n\nsecond part\nwith two lines\n\nthird"
+    after = before.replace("two lines", "three lines") + "\nmore"
+    pairs = frame(spark, [(1, before, after), (2, before, before), (3, None, "x"), (4, "", None), (5, "a\n" * 3000, "a\n" * 2999 + "b")], "k long, a string, b string")
+    got = {}
+    for r in fingerprints.located_edits(pairs, "k", "a", "b").collect():
+        got.setdefault(r["k"], []).append((after if r["k"] == 1 else "a\n" * 2999 + "b" if r["k"] == 5 else "x")[r["start"] : r["end"]])
+    assert {k: sorted(v) for k, v in got.items()} == {1: ["more", "third\n", "with three lines\n\n"], 3: ["x"], 5: ["b"]}
+    trees = pairs.select("k", (fingerprints.root(fingerprints.tree(F.coalesce("a", F.lit("")))) == fingerprints.root(fingerprints.tree(F.coalesce("b", F.lit(""))))).alias("same"))
+    assert {r["k"]: r["same"] for r in trees.collect()} == {1: False, 2: True, 3: False, 4: True, 5: False}
+
+
+def test_trees_keep_every_character(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(["\n", "\n\n", " ", "a", "word ", "# ", "é", "中", "😀", ". ", "\r\n", "x" * 120], k=rng.randrange(60))) for _ in range(200)]
+    df = frame(spark, list(enumerate(texts)), "k long, t string").withColumn("s", fingerprints.tree(F.col("t")))
+    total = F.aggregate(F.flatten(F.transform("s", lambda s: F.transform(s["paragraphs"], lambda p: p["length"]))), F.lit(0), lambda n, x: n + x)
+    assert df.where((total != F.length("t")) | (fingerprints.characters(fingerprints.all_pieces(F.col("s"))) != F.length("t"))).count() == 0
+
+
+# alignment
+
+
+def test_scores_by_join_equal_those_by_broadcast(spark):
+    public = pytest.importorskip("public_tokenizers")
+    a, b = public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model")
+    rng = random.Random(4)
+    rows = [(i, words(rng, 20)) for i in range(60)] + [(100, None), (101, ""), (102, "a\u2581b"), (103, " " * 900 + "é中😀 <|endoftext|> </s>\n\t\x00" + "a" * 900)] + [(104, "same thing")] * 700
+    aligned = saved(alignment.alignments(frame(spark, rows, "doc_id long, text string").withColumn("pairs", F.lit(1)), a, b), "t")
+    counts = alignment.pair_counts(aligned, alignment.pair_base(b))
+    both = [sorted(map(tuple, alignment.link_scores(aligned, counts, limit).collect()), key=str) for limit in (1 << 20, 0)]
+    assert both[0] == both[1] and len(both[0]) == len(rows)
+    assert all(r[1:5] == (0, 0, 0, 0) and r[5] is None for r in both[0] if r[0] in (100, 101, 102))
+    assert alignment.link_scores(aligned.where("false"), counts).count() == 0
+
+
+def test_rank_library_equals_the_vocabulary_library():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    own, side = Tokenizer.from_file(public.path("byte_bpe_50k.json")), alignment.Side(public.path("byte_bpe_50k.json"))
+    own.encode_special_tokens = True
+    rng = random.Random(2)
+    some = ["<|endoftext|>", "'s", "'RE", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "é", "é", "中文", "😀", "½", "12345", "word", "Wörter", "_-", "...", "\x00", "\u200d", "\u0085"]
+    texts = ["".join(rng.choices(some, k=rng.randrange(1, 30))) for _ in range(3000)]
+    assert side.encode(texts) == [e.ids for e in own.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
+# vectors beyond 64 bits, and names of columns
+
+
+def test_scores_beyond_64_bits(spark):
+    rows = [(0, [1e18, 1e18]), (1, [1e18, 1.0]), (2, [-1e18, 0.0]), (3, [1.0, 1.0]), (4, [1e300, 0.0])]
+    v = frame(spark, rows, "id long, e array<double>").select("id", topk.scaled(F.col("e")).alias("v"))
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(v.where("id = 0"), v, 4).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (3, 2**63 - 1), (4, 2**63 - 1), (2, -(2**63))]
+
+
+def test_any_column_names(spark):
+    docs = frame(spark, [(i, f"w{i} x y", "s") for i in range(40)], "doc_id long, text string, source string").withColumn("a.b", F.col("doc_id")).withColumn("c`d", F.array(F.lit("z")))
+    sharded = sharding.shuffled_shards(docs, 3)
+    assert sharded.columns == [*docs.columns, "shard", "slot"] and sharded.where("`a.b` = doc_id").count() == 40
+    mixture = mixing.mixture(docs.withColumn("size", F.lit(3)))
+    assert mixture.columns[:5] == docs.columns and mixture.where("`a.b` = doc_id").count() >= 40
+
+
+def test_a_mixture_row_is_a_beginning(spark):
+    """At most one row a document and pass, each a text's first words; most are whole."""
+    rng = random.Random(6)
+    docs = frame(spark, [(i, words(rng, rng.randrange(1, 400)), f"s{i % 3}") for i in range(400)], "doc_id long, text string, source string").withColumn("size", mixing.word_count(F.col("text")))
+    taken = mixing.mixture(docs).select("doc_id", F.col("text").alias("part")).join(docs.select("doc_id", "text"), "doc_id").collect()
+    assert all(r["text"].startswith(r["part"]) for r in taken) and sum(r["text"] == r["part"] for r in taken) > 0.5 * len(taken)
+    most = {}
+    for r in taken:
+        most[r["doc_id"]] = most.get(r["doc_id"], 0) + 1
+    assert max(most.values()) <= 3

@@ -57,7 +57,7 @@ def documents(spark, at):
     return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect()]
 
 
-@pytest.mark.parametrize("name", ["op2_exact_topk", "op7_decontamination"])
+@pytest.mark.parametrize("name", ["op2_exact_topk", "op7_decontamination", "op11_lexical_search"])
 def test_query_equals_sql(spark, tables, name):
     got = registry.QUERIES[name](spark, tables).toPandas()
     assert listed(got) == listed(duck_rows(tables, registry.ORACLES[name])[list(got.columns)])
@@ -185,3 +185,80 @@ def test_token_query(spark, tables):
         t = texts[r["doc_id"]] or ""
         assert r["n_bytes"] == len(t.encode()) and r["over_limit"] == (r["n_tokens"] > 1024)
         assert r["n_tokens"] == len(library.encode(t, add_special_tokens=False))
+
+
+def edited(texts):
+    """doc_id, text and edited text by the contract, for rows that are one document where id and text are equal."""
+    order = sorted(set(texts), key=lambda r: -r[0])
+    after = {r: order[(k + 1) % len(order)][1] for k, r in enumerate(order)}
+    return [(i, t, t[: len(t) - len(t) // 2] + after[i, t][: len(t) // 2], after[i, t]) for i, t in texts]
+
+
+def test_fingerprint_query(spark, tables):
+    texts = [(i, t or "") for i, t in documents(spark, tables)]
+    got = rows_of(spark, tables, "op12_document_fingerprints")
+    want = sorted((i, len(t), hashlib.sha256(e.encode()).hexdigest()) for i, t, e, _ in edited(texts))
+    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+    own, by_text = dict(texts), {}
+    for r in got:
+        by_text.setdefault(own[r["doc_id"]], set()).add(r["fingerprint"])
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        assert r["edit_start"] <= r["n_chars"] and r["fingerprint"][:64] == r["fingerprint"].split(":")[0]
+    assert all(len(x) == 1 for x in by_text.values()) and len(set.union(*by_text.values())) == len(by_text)
+    long = [r for r in got if r["n_chars"] >= 300 and r["doc_id"] < 900000]
+    assert sum(0.3 < r["near_edited"] < 0.75 for r in long) > 0.9 * len(long) and sum(r["near_edited"] > r["near_next"] for r in long) > 0.95 * len(long)
+
+
+def brute_alignment(texts):
+    """Per text: the contract's counts but those over the corpus, groups as text, and how often each id pair is linked."""
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    a.encode_special_tokens = True
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in shown)}
+    bytes_a = lambda i: bytes(byte[c] for c in a.id_to_token(i))
+    bytes_b = lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("\u2581", " ").encode()
+    out = []
+    for t in texts:
+        ids = (a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)) if t else ([], [])
+        parts = [bytes_a(i) for i in ids[0]], [bytes_b(i) for i in ids[1]]
+        if not t or any(b"".join(p) != f" {t}".encode() for p in parts):
+            out.append((0, 0, 0, 0, "", {}))
+            continue
+        groups, k, at = [([], [])], [0, 0], [0, 0]
+        while k[0] < len(ids[0]) or k[1] < len(ids[1]):
+            if at[0] == at[1] and groups[-1][0]:
+                groups.append(([], []))
+            side = 0 if at[0] <= at[1] and k[0] < len(ids[0]) else 1
+            groups[-1][side].append(ids[side][k[side]])
+            at[side] += len(parts[side][k[side]])
+            k[side] += 1
+        links = {}
+        for x, y in groups:
+            for p in x:
+                for q in y:
+                    links[p, q] = links.get((p, q), 0) + 1
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        out.append((len(ids[0]), len(ids[1]), len(groups), sum(links.values()), text, links))
+    return out
+
+
+def test_alignment_query(spark, tables):
+    pytest.importorskip("public_tokenizers")
+    texts = documents(spark, tables)
+    own = brute_alignment([t for _, t in texts])
+    count, most = {}, {}
+    for x in own:
+        for p in x[5]:
+            count[p] = count.get(p, 0) + 1
+    for p, n in count.items():
+        most[p[0]] = max(most.get(p[0], 0), n)
+    want = []
+    for (i, _), (n_a, n_b, n_groups, n_links, text, links) in zip(texts, own, strict=True):
+        best, total = sum(m for p, m in links.items() if count[p] == most[p[0]]), sum(m * count[p] for p, m in links.items())
+        want.append((i, n_a, n_b, n_groups, n_links, best, total, hashlib.sha256(text.encode()).hexdigest() if text else ""))
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert sorted(tuple(r[c] for c in names) for r in rows_of(spark, tables, "op13_token_alignment")) == sorted(want)
