@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexiscope.functions.text import ratio
+from lexiscope.operators.datasets import numbered
+from lexiscope.sources.scratch import saved
 
 RANKS = {"very_low": 1, "low": 2, "medium": 3, "high": 4, "very_high": 5}
 
+#: Rows of a part of an order, and groups up to which their sums are broadcast.
+PART_ROWS, MOST_GROUPS = 200_000, 500_000
+
 
 def confidence_profile(rows: DataFrame, by: str) -> DataFrame:
     """A-26: counts by confidence; balanced if high and very high make 40 to 70 in a hundred."""
@@ -40,21 +45,34 @@ def missing_fields(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFra
     return rows.select(key, names.alias("missing")).where(F.size("missing") > 0)
 
 
-def consistency(rows: DataFrame, by: str, order: Sequence[str], size: int = 10, most: float = 0.20) -> DataFrame:
-    """W-01: spread of the bias rate over all full windows; fewer than two windows' rows pass."""
-    frame = W.partitionBy(by).orderBy(*order).rowsBetween(0, size - 1)
+def consistency(rows: DataFrame, by: str, order: Sequence[str], size: int = 10, most: float = 0.20, part_rows: int = PART_ROWS) -> DataFrame:
+    """W-01: spread of the bias rate over all full windows; fewer than two windows' rows pass.
+
+    All rows are numbered in order and dealt into parts of ``part_rows``, each with the first rows of the part after it, so
+    that no task holds all rows of one that has very many; the parts' moments add up.
+    """
+    part_rows = max(part_rows, size - 1)
+    placed = numbered(rows.select(by, *order, "has_bias"), [by, *order], start=-1, name="_rank")
+    part, ahead = F.floor(F.col("_rank") / part_rows), F.col("_rank") % part_rows < size - 1
+    parts = F.when(ahead & (part > 0), F.array(part, part - 1)).otherwise(F.array(part))
+    dealt = placed.withColumn("_own", part).withColumn("_part", F.explode(parts))
+    frame = W.partitionBy(by, "_part").orderBy("_rank").rowsBetween(0, size - 1)
     x = F.col("has_bias").cast("double")
-    rates = rows.withColumn("rate", F.avg(x).over(frame)).withColumn("held", F.count(F.lit(1)).over(frame))
+    rates = dealt.withColumn("rate", F.avg(x).over(frame)).withColumn("held", F.count(F.lit(1)).over(frame)).where(F.col("_own") == F.col("_part"))
     full = F.when(F.col("held") == size, F.col("rate"))
     out = rates.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count(full).alias("windows"), F.round(F.avg(full), 6).alias("mean_rate"), F.round(F.stddev_pop(full), 6).alias("sd"))
     return out.withColumn("consistent", (F.col("n") < 2 * size) | (F.col("sd") < most))
 
 
 def fatigue(rows: DataFrame, by: str, ts: str = "ts", key: str = "doc_id", least: int = 20, most: float = 0.30) -> DataFrame:
-    """W-02: rows per minute in both halves by time; fatigue if the second is over 30 in a hundred slower."""
-    order = W.partitionBy(by).orderBy(ts, key)
-    n = F.count(F.lit(1)).over(W.partitionBy(by))
-    halves = rows.where(F.col(ts).isNotNull()).withColumn("n", n).withColumn("half", F.when(F.row_number().over(order) <= F.floor(n / 2), 1).otherwise(2)).where(F.col("n") >= least)
+    """W-02: rows per minute in both halves by time; fatigue if the second is over 30 in a hundred slower.
+
+    A row's half follows from its number in order and its group's first number and count, which are combined before the shuffle.
+    """
+    placed = numbered(rows.where(F.col(ts).isNotNull()).select(by, ts, key), [by, ts, key], name="_rank")
+    groups = saved(placed.groupBy(F.col(by).alias("_by")).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
+    groups = F.broadcast(groups) if groups.count() <= MOST_GROUPS else groups
+    halves = placed.join(groups, F.col(by).eqNullSafe(F.col("_by"))).withColumn("half", F.when(F.col("_rank") - F.col("_first") < F.floor(F.col("n") / 2), 1).otherwise(2))
     seconds = lambda h: (F.max(F.when(F.col("half") == h, F.unix_timestamp(ts))) - F.min(F.when(F.col("half") == h, F.unix_timestamp(ts)))).cast("double")
     rate = lambda h: F.when(F.count_if(F.col("half") == h) >= 2, F.try_divide(F.count_if(F.col("half") == h) * 60.0, F.nullif(seconds(h), F.lit(0.0))))
     out = halves.groupBy(by).agg(rate(1).alias("r1"), rate(2).alias("r2"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,13 +25,13 @@ def read_lines(spark: SparkSession, path: str, line_sep: str | None = None) -> D
     return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
 
 
-def running(lines: DataFrame, step: Column, name: str) -> DataFrame:
-    """``lines`` with the sum of ``step`` over the lines before each in its file.
+def running(lines: DataFrame, step: Column, name: str, across: bool = False) -> DataFrame:
+    """``lines`` with the sum of ``step`` over the lines before each in its file, or ``across`` all files by name.
 
-    Blocks add up by themselves; only their totals, a row a block, are added up by file.
+    Blocks add up by themselves; only their totals, a row a block, are added up in order.
     """
     own = W.partitionBy("file", "block").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = (W.orderBy("file", "block") if across else W.partitionBy("file").orderBy("block")).rowsBetween(W.unboundedPreceding, -1)
     totals = lines.groupBy("file", "block").agg(F.sum(step).alias("_total")).select("file", "block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
     summed = lines.withColumn(name, F.coalesce(F.sum(step).over(own), F.lit(0))).join(totals, ["file", "block"])
     return summed.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_before")
@@ -66,7 +68,8 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """S-01: all columns as strings, nulls as empty strings, with the rule's number in file order."""
     schema = ", ".join(f"`{c}` string" for c in LEXICON)
     rows = spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', enforceSchema=False).na.fill("")
-    return rows.withColumn("rule_no", F.row_number().over(W.orderBy(F.monotonically_increasing_id())) - 1)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    return running(placed, F.lit(1), "rule_no", across=True).drop("file", "block", "n")
 
 
 def read_typed_lexicon(spark: SparkSession, path: str) -> DataFrame:
@@ -140,8 +143,20 @@ def read_bio(spark: SparkSession, path: str) -> DataFrame:
 
 def sniffed_formats(spark: SparkSession, path: str, lines: int = 50) -> DataFrame:
     """S-12: json, csv, conll or plain for every file, from its first lines."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
-    head = rows.withColumn("r", F.row_number().over(W.partitionBy("file").orderBy("at", "n"))).where(F.col("r") <= lines)
+    first = read_lines(spark, path).where("block = 0").select("file", "n", "value")
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first lines of each file that a task reads from its beginning on."""
+        seen: Counter = Counter()
+        for batch in batches:
+            kept = []
+            for k, file in enumerate(batch.column(0).to_pylist()):
+                seen[file] += 1
+                if seen[file] <= lines:
+                    kept.append(k)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    head = first.mapInArrow(heads, first.schema).withColumn("r", F.row_number().over(W.partitionBy("file").orderBy("n")))
     v = F.trim("value")
     counted = head.groupBy("file").agg(F.count_if(v.rlike(r"^[\[{]")).alias("j"), F.count_if(v.rlike(r"^\S+[ \t]+\S+$")).alias("c"), F.count_if(v != "").alias("n"), F.max(F.when(F.col("r") == 1, v.contains(","))).alias("header"))
     kind = F.when(F.col("j") > 0, "json").when(F.col("header"), "csv").when((F.col("c") >= 0.8 * F.col("n")) & (F.col("n") > 0), "conll").otherwise("plain")

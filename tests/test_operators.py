@@ -82,6 +82,22 @@ def test_replacement_in_one_pass(spark, text, term, to, warn, want):
     assert one(spark, C.replaced(F.col("t"), F.col("a"), F.col("b"), warn), t=text, a=term, b=to) == want
 
 
+def test_windows_over_parts_of_one_annotator(spark):
+    """Parts of any size give what one window over all rows gives, also where parts are shorter than a window."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, "hot" if i % 10 else f"a{i % 3}", rng.randrange(1000), rng.random() < 0.3) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id int, annotator_id string, t int, has_bias boolean").withColumn("ts", F.timestamp_seconds("t"))
+    own = {n: sorted(map(tuple, Q.consistency(df, "annotator_id", ["ts", "doc_id"], part_rows=n).collect())) for n in (4, 9, 64, 1 << 20)}
+    assert all(x == own[4] for x in own.values())
+    for name, n, windows, mean, sd, _ in own[4]:
+        bits = [float(b) for _, a, t, b in sorted(rows, key=lambda r: (r[2], r[0])) if a == name]
+        rates = [sum(bits[k : k + 10]) / 10 for k in range(len(bits) - 9)]
+        assert (n, windows) == (len(bits), len(rates)) and mean == pytest.approx(sum(rates) / len(rates), abs=1e-6)
+        assert sd == pytest.approx((sum((x - sum(rates) / len(rates)) ** 2 for x in rates) / len(rates)) ** 0.5, abs=1e-6)
+
+
 def test_golden_sentences(spark):
     lex = spark.createDataFrame([(0, "chairman", "chair", "replace", "profession"), (1, "same", "same", "replace", "profession"), (2, "old boy", "alumnus", "warn", "profession")], "rule_no int, biased string, neutral_primary string, severity string, stereotype_category string")
     docs = spark.createDataFrame([(1, "The chairman will lead the meeting."), (2, "The engineer arrived on time."), (3, "An OLD BOY of the same school"), (4, "an old, boy"), (5, None)], "doc_id int, text string")
