@@ -16,6 +16,21 @@ def header_issues(columns: Sequence[str], required: Sequence[str] = REQUIRED_HEA
     return [("error", c) for c in required if c not in columns] + [("warning", c) for c in recommended if c not in columns]
 
 
+def header_reports(headers: DataFrame, required: Sequence[str] = REQUIRED_HEADER, recommended: Sequence[str] = RECOMMENDED_HEADER) -> DataFrame:
+    """V-01 over many files (``header``: array of names): a row for every absent column of every file, with what else is known of the file."""
+    def absent(level: str, own: Sequence[str]) -> Column:
+        return F.transform(F.array_except(F.array(*[F.lit(c) for c in own]), "header"), lambda c: F.struct(F.lit(level).alias("level"), c.alias("column")))
+
+    return headers.select(*[c for c in headers.columns if c != "header"], F.inline(F.concat(absent("error", required), absent("warning", recommended))))
+
+
+def absent_columns(rows: DataFrame, key: str, required: Sequence[str], value: str = "value") -> DataFrame:
+    """U-05: required minus present columns of rows of JSON, for every row that lacks some."""
+    present = F.coalesce(F.json_object_keys(value), F.array().cast("array<string>"))
+    absent = F.array_except(F.array(*[F.lit(c) for c in required]), present)
+    return rows.select(F.get_json_object(value, f"$.{key}").alias(key), absent.alias("absent")).where(F.size("absent") > 0)
+
+
 def issue(kind: str, level: str | Column, when: Column) -> Column:
     return F.when(when, F.struct(F.lit(kind).alias("issue"), (F.lit(level) if isinstance(level, str) else level).alias("level")))
 

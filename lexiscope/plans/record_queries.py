@@ -16,6 +16,7 @@ from lexiscope.operators import prepare as G
 from lexiscope.operators import quality as Q
 from lexiscope.operators import records as E
 from lexiscope.operators import validate as V
+from lexiscope.plans import metrics_queries
 from lexiscope.plans import roles as R
 from lexiscope.sources import files as S
 from lexiscope.sources.scratch import scratch
@@ -240,9 +241,10 @@ add("A24_review_bundle", lambda s, d: E.review_bundle(R.judged(s, d), R.ratings(
 c AS (SELECT count(*) AS n, avg(CAST(has_bias = predicted AS INT)) AS po, avg(CAST(has_bias AS INT)) AS pa, avg(CAST(predicted AS INT)) AS pb FROM judged), k AS (SELECT round(CASE WHEN pa * pb + (1 - pa) * (1 - pb) >= 1 THEN 0 ELSE greatest(0, (po - pa * pb - (1 - pa) * (1 - pb)) / (1 - pa * pb - (1 - pa) * (1 - pb))) END, 6) AS kappa FROM c),
 i AS (SELECT doc_id, count(*) FILTER (WHERE label) AS n1, count(*) FILTER (WHERE NOT label) AS n0 FROM ratings GROUP BY doc_id), t AS (SELECT sum(n1 * n0) / sum((n1 + n0) * (n1 + n0 - 1) / 2) AS d_o, sum(n1) / sum(n1 + n0) AS p FROM i), a AS (SELECT round(greatest(0, least(1, 1 - d_o / (2 * p * (1 - p)))), 6) AS alpha FROM t)
 SELECT samples, hmar, bias_detected, no_bias, kappa, alpha, 3 AS annotators, hmar >= 0.8 AS hmar_ok, kappa >= 0.7 AS kappa_ok, alpha >= 0.8 AS alpha_ok FROM m, k, a""")
-add("A31_multi_batch_report", lambda s, d: E.multi_batch_report(Q.confidence_profile(R.samples(s, d), "annotator_id").join(Q.bias_balance(R.samples(s, d), "annotator_id").withColumnRenamed("balanced", "bias_ok"), "annotator_id").select("annotator_id", F.col("balanced").alias("confidence_ok"), "bias_ok", F.lit(True).alias("schema_ok"), F.lit(True).alias("consistent_ok"), F.lit(False).alias("fatigue")).withColumn("score", 60 + F.when(F.col("confidence_ok"), 20).otherwise(0) + F.when(F.col("bias_ok"), 20).otherwise(0))),
-    f"""WITH {R.SAMPLES}, b AS (SELECT annotator_id, count(*) FILTER (WHERE confidence IN ('high', 'very_high')) / count(*) BETWEEN 0.4 AND 0.7 AS c, avg(CAST(has_bias AS INT)) BETWEEN 0.3 AND 0.7 AS b FROM samples GROUP BY 1), r AS (SELECT count(*) AS batches, round(avg(60 + CASE WHEN c THEN 20 ELSE 0 END + CASE WHEN b THEN 20 ELSE 0 END), 4) AS mean_score, count(*) FILTER (WHERE NOT c) AS failed_confidence, count(*) FILTER (WHERE NOT b) AS failed_bias FROM b)
-SELECT batches, mean_score, failed_confidence, failed_bias, 0 AS failed_schema, 0 AS failed_consistent, 0 AS failed_fatigue, CASE WHEN mean_score >= 80 THEN 'Excellent' WHEN mean_score >= 60 THEN 'Good' WHEN mean_score >= 40 THEN 'Fair' ELSE 'Poor' END AS assessment, mean_score >= 60 AS passes FROM r""")
+add("A31_multi_batch_report", lambda s, d: E.multi_batch_report(Q.quality_score(R.samples(s, d), "annotator_id", ["text", "confidence"], ["ts", "doc_id"])),
+    f"""WITH r AS (SELECT count(*) AS batches, round(coalesce(avg(score), 0), 4) AS mean_score, count(*) FILTER (WHERE NOT confidence_ok) AS failed_confidence, count(*) FILTER (WHERE NOT bias_ok) AS failed_bias,
+  count(*) FILTER (WHERE NOT schema_ok) AS failed_schema, count(*) FILTER (WHERE NOT consistent_ok) AS failed_consistent, count(*) FILTER (WHERE fatigue) AS failed_fatigue FROM ({metrics_queries.ORACLES['A30_quality_score']}))
+SELECT *, CASE WHEN mean_score >= 80 THEN 'Excellent' WHEN mean_score >= 60 THEN 'Good' WHEN mean_score >= 40 THEN 'Fair' ELSE 'Poor' END AS assessment, mean_score >= 60 AS passes FROM r""")
 add("A46_field_report", lambda s, d: E.field_report(R.samples(s, d), ["bias_category", "expected_correction", "lang"], ["lang", "confidence"]),
     f"WITH {R.SAMPLES} SELECT * FROM (SELECT unnest(['bias_category', 'expected_correction', 'lang']) AS field, CAST(NULL AS VARCHAR) AS value, unnest([count(bias_category), count(expected_correction), count(lang)]) AS n, round(100 * unnest([count(bias_category), count(expected_correction), count(lang)]) / count(*), 4) AS percent FROM samples) UNION ALL SELECT 'lang', lang, count(*), round(100 * count(*) / sum(count(*)) OVER (), 4) FROM samples GROUP BY lang UNION ALL SELECT 'confidence', confidence, count(*), round(100 * count(*) / sum(count(*)) OVER (), 4) FROM samples GROUP BY confidence")
 migrated = lambda s, d: R.truth(s, d).select(F.when(F.col("has_bias"), "stereotype").otherwise("neutral").alias("bias_label"), F.when(F.col("doc_id") % 4 == 0, "irony").otherwise("").alias("device"), F.when(F.col("doc_id") % 3 == 0, "profession").alias("stereotype_category"))
@@ -296,9 +298,10 @@ add("C09_model_candidates", lambda s, d: C.with_candidates(L.detection(docs(s, d
 add("C11_batch_requests", lambda s, d: docs(s, d).groupBy(F.floor(F.col("doc_id") / 150).alias("request")).agg(F.count(F.lit(1)).alias("items")).withColumn("accepted", F.col("items").between(1, 100)), "SELECT CAST(floor(doc_id / 150) AS BIGINT) AS request, count(*) AS items, count(*) BETWEEN 1 AND 100 AS accepted FROM documents GROUP BY 1")
 edits_of = lambda s, d: L.detection(docs(s, d), plain(s)).select("doc_id", F.transform("replace_edits", lambda e: F.struct(e["from"].alias("from"), e["to"].alias("to"))).alias("edits")).join(docs(s, d).select("doc_id", F.lower("text").alias("text")), "doc_id")
 add("D23_word_baseline", lambda s, d: docs(s, d).select("doc_id", (F.size(X.substring_detector(F.col("text"), [*R.REPLACE_TERMS, "he "])) > 0).alias("has_bias")), "SELECT doc_id, " + " OR ".join(f"contains(lower(text), '{t}')" for t in (*R.REPLACE_TERMS, "he ")) + " AS has_bias FROM documents")
-add("D26_first_occurrence", lambda s, d: edits_of(s, d).select("doc_id", F.md5(F.coalesce(X.applied_once(F.col("text"), F.slice("edits", 1, 1)), F.col("text"))).alias("digest")),
-    f"WITH {R.LEXICON}, {R.HITS}, f AS (SELECT doc_id, arg_min(biased, rule_no) AS b, min(rule_no) AS r FROM hits WHERE severity <> 'warn' GROUP BY 1) SELECT doc_id, md5(CASE WHEN b IS NULL THEN lower(text) ELSE substring(lower(text), 1, strpos(lower(text), b) - 1) || 'person' || r || substring(lower(text), strpos(lower(text), b) + length(b)) END) AS digest FROM documents LEFT JOIN f USING (doc_id)")
-
+add("D26_first_occurrence", lambda s, d: edits_of(s, d).select("doc_id", F.md5(F.coalesce(X.applied_once(F.col("text"), F.col("edits")), F.col("text"))).alias("digest")),
+    f"""WITH {R.LEXICON}, {R.HITS}, f AS (SELECT doc_id, list(biased || '|person' || rule_no ORDER BY rule_no) AS edits FROM hits WHERE severity <> 'warn' GROUP BY 1)
+SELECT doc_id, md5(list_reduce(list_concat([lower(text)], coalesce(edits, [])), lambda t, e: CASE WHEN strpos(t, split_part(e, '|', 1)) > 0
+  THEN substring(t, 1, strpos(t, split_part(e, '|', 1)) - 1) || split_part(e, '|', 2) || substring(t, strpos(t, split_part(e, '|', 1)) + length(split_part(e, '|', 1))) ELSE t END)) AS digest FROM documents LEFT JOIN f USING (doc_id)""")
 plug = lambda terms: lambda df: df.select("doc_id", X.keyword_score(F.col("text"), terms).alias("score")).withColumn("has_bias", F.col("score") > 0.7)
 add("X06_plug_in_detectors", lambda s, d: M.run_detectors(docs(s, d), {"few": plug(["idiot", "trash"]), "more": plug(["idiot", "trash", "he", "the"])}).groupBy("model", "has_bias").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score")),
     "WITH s AS (SELECT m.model, least(0.4 * len(list_filter(m.t, lambda x: contains(lower(text), x))), 1) AS s FROM documents, (VALUES ('few', ['idiot', 'trash']), ('more', ['idiot', 'trash', 'he', 'the'])) m(model, t)) SELECT model, s > 0.7 AS has_bias, count(*) AS n, round(avg(s), 6) AS mean_score FROM s GROUP BY ALL")
@@ -322,10 +325,29 @@ def verses(s, d):
 add("S16_verses", verses, f"SELECT lang AS book, count(*) AS verses, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT lang, {_FLAT} AS t FROM documents) WHERE length(t) >= 10 GROUP BY lang")
 
 # validation
-add("V01_header_issues", lambda s, d: s.createDataFrame([(t, level, c) for t in ("documents", "labels") for level, c in V.header_issues(R.table(s, d, t).columns, ("doc_id", "text"), ("lang", "license"))], "file string, level string, column string"), "SELECT * FROM (VALUES ('documents', 'warning', 'license'), ('labels', 'error', 'text'), ('labels', 'warning', 'lang'), ('labels', 'warning', 'license')) t(file, level, \"column\")")
+_HEADERS = {"en": ("severity", "tags"), "fr": ("pos",), "de": ("severity", "tags", "pos"), "es": ()}
+
+
+def headed(s, d):
+    """The documents' rules as a folder of CSV files a language, each language's without some columns."""
+    at = scratch(s)
+    rows = docs(s, d).select("lang", F.col("lang").alias("language"), F.col("text").alias("biased"), F.col("source").alias("neutral_primary"), F.lit("warn").alias("severity"), F.lit("a").alias("tags"), F.lit("noun").alias("pos"))
+    for lang, gone in _HEADERS.items():
+        S.write_table(rows.where(F.col("lang") == lang).drop("lang", *gone), f"{at}/lang={lang}")
+    return V.header_reports(S.read_headers(s, at), ("language", "biased", "neutral_primary", "severity"), ("tags", "pos"))
+
+
+_gone = ", ".join(f"('{lang}', '{'error' if c == 'severity' else 'warning'}', '{c}')" for lang, own in _HEADERS.items() for c in own)
+add("V01_header_issues", lambda s, d: headed(s, d).groupBy("lang", "level", "column").agg(F.count(F.lit(1)).alias("reports"), F.sum("records").cast("long").alias("records")).select("lang", "level", "column", (F.col("reports") > 0).alias("reported"), "records"),
+    f'SELECT lang, level, "column", true AS reported, count(*) AS records FROM documents JOIN (VALUES {_gone}) g(lang, level, "column") USING (lang) GROUP BY ALL')
 add("V09_suggestions", lambda s, d: G.suggestions(docs(s, d).select("doc_id", F.concat_ws(" ", F.when(F.col("doc_id") % 3 == 0, "daktari").when(F.col("doc_id") % 3 == 1, "ciana"), "lang").alias("text"), F.lit(None).cast("string").alias("stereotype_category"), F.when(F.col("doc_id") % 2 == 0, "stereotype").otherwise("neutral").alias("bias_label"), F.when(F.col("source") == "src0", "religious_text").alias("domain"), F.lit("").alias("device"))).select("doc_id", "suggested_category", "suggested_device"),
     "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE doc_id % 3 WHEN 0 THEN 'profession' WHEN 1 THEN 'family_role' END END AS suggested_category, CASE WHEN source = 'src0' THEN 'scripture_quote' END AS suggested_device FROM documents")
-add("U05_missing_columns", lambda s, d: Q.missing_fields(R.samples(s, d), "doc_id", ["bias_category", "expected_correction"]).select("doc_id", F.array_join("missing", ",").alias("missing")), f"WITH {R.SAMPLES} SELECT doc_id, concat_ws(',', CASE WHEN bias_category IS NULL THEN 'bias_category' END, CASE WHEN expected_correction IS NULL THEN 'expected_correction' END) AS missing FROM samples WHERE bias_category IS NULL OR expected_correction IS NULL")
+def sparse_rows(s, d):
+    """Samples as JSON lines, in which a row has only the columns that it has values for."""
+    return s.read.text(written(s, R.samples(s, d).select(F.to_json(F.struct("doc_id", "text", "bias_category", "expected_correction")).alias("value")), "text"))
+
+
+add("U05_missing_columns", lambda s, d: V.absent_columns(sparse_rows(s, d), "doc_id", ["bias_category", "expected_correction"]).select(F.col("doc_id").cast("long"), F.array_join("absent", ",").alias("missing")), f"WITH {R.SAMPLES} SELECT doc_id, concat_ws(',', CASE WHEN bias_category IS NULL THEN 'bias_category' END, CASE WHEN expected_correction IS NULL THEN 'expected_correction' END) AS missing FROM samples WHERE bias_category IS NULL OR expected_correction IS NULL")
 
 # streams
 

@@ -123,7 +123,7 @@ add("M01_migration", lambda s, d: D.migrated(docs(s, d).select("doc_id", "lang",
 
 # validation
 lex_rows = lambda s, d: docs(s, d).select(F.col("doc_id").alias("row_no"), F.col("source").alias("file"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("text")).alias("biased"), F.when(F.col("doc_id") % 5 == 0, F.col("text")).when(F.col("doc_id") % 7 == 0, "").otherwise("x").alias("neutral_primary"), F.when(F.col("doc_id") % 10 == 0, "warn").otherwise("replace").alias("severity"), F.lit("").alias("tags"), F.when(F.col("doc_id") % 3 == 0, "ex").otherwise("").alias("example_biased"), F.when(F.col("doc_id") % 6 == 0, "ex").otherwise("").alias("example_neutral"), F.when(F.col("doc_id") % 4 == 0, "stereotype").alias("bias_label"), F.lit("profession").alias("stereotype_category"))
-_LEX = """lx AS (SELECT doc_id AS row_no, source AS file, trim(CASE WHEN doc_id % 11 = 0 THEN '' ELSE substring(text, 1, 12) END, ' ') AS b, trim(CASE WHEN doc_id % 5 = 0 THEN substring(text, 1, 12) WHEN doc_id % 7 = 0 THEN '' ELSE 'x' END, ' ') AS n,
+_LEX = """lx AS (SELECT doc_id AS row_no, source AS file, trim(CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END, ' ') AS b, trim(CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 7 = 0 THEN '' ELSE 'x' END, ' ') AS n,
   CASE WHEN doc_id % 10 = 0 THEN 'warning' ELSE 'error' END AS soft, CASE WHEN doc_id % 3 = 0 THEN 'ex' ELSE '' END AS eb, CASE WHEN doc_id % 6 = 0 THEN 'ex' ELSE '' END AS en, doc_id % 4 <> 0 AS nolabel FROM documents),
 iss AS (SELECT row_no, file, 'IDENTICAL_TERMS' AS issue, soft AS level FROM lx WHERE b <> '' AND b = n UNION ALL SELECT row_no, file, 'MISSING_NEUTRAL', 'warning' FROM lx WHERE b <> '' AND n = '' UNION ALL SELECT row_no, file, 'IDENTICAL_EXAMPLES', soft FROM lx WHERE b <> '' AND eb <> '' AND eb = en
  UNION ALL SELECT row_no, file, 'MISSING_EXAMPLE_NEUTRAL', 'warning' FROM lx WHERE b <> '' AND eb <> '' AND en = '' UNION ALL SELECT row_no, file, 'MISSING_BIAS_LABEL', 'info' FROM lx WHERE b <> '' AND nolabel)"""

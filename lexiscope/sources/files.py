@@ -55,6 +55,20 @@ def read_csv(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFram
     return records.where("record > 1 and value <> ''").select(cells.alias("_cells"), *folders).select("_cells.*", *folders)
 
 
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header, records) of every CSV file, besides columns that folders name: the names in its first line, and its records.
+
+    Cells may hold line ends: a line counts where an even number of quotes stands before it.
+    """
+    lines = read_lines(spark, path, "\n")
+    folders = [c for c in lines.columns if c not in ("value", "file", "block", "n")]
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    begun = running(lines, quotes, "_quotes").where((F.col("_quotes") % 2 == 0) & (F.col("value") != ""))
+    found = begun.groupBy("file", *folders).agg(F.min_by("value", F.struct("block", "n")).alias("first"), (F.count(F.lit(1)) - 1).alias("records"))
+    names = F.transform(F.split(F.regexp_replace("first", r"\r\z", ""), ","), lambda c: F.btrim(c, F.lit('"')))
+    return found.select("file", *folders, names.alias("header"), "records")
+
+
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
     """(file, sentence, lines) of tagged files: any blank line ends a sentence, whatever the line ends are."""
     lines = read_lines(spark, path)
