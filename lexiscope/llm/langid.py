@@ -33,8 +33,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Word characters of Python's ``re`` that are numbers but neither digits nor letters, such as fractions.
 NUMBERS = {c: " " for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()}
 UNDETERMINED = "und"
-#: Bound of the sample: documents of each language.
-PER_LANGUAGE = 500
+#: Bounds of the sample: documents of each language, characters of all languages together, and of one document.
+PER_LANGUAGE, CHARACTERS, LONGEST = 500, 3_000_000, 50_000
 GRAM_LENGTHS = (5, 4, 3, 2, 1)
 SMOOTHING, DISCOUNT = 0.5, 0.7
 #: Words of evidence that the score is taken to rest on at most.
@@ -59,11 +59,13 @@ def grams_of(word: str, n: int) -> list[str]:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE, seed: int = 7) -> dict:
     """The model: languages, and per kind (word, n-gram) entries with their log frequencies by language."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key")).where("text is not null and lang is not null")
-    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.where(F.length("text") <= LONGEST)
+    found = {r["lang"]: (r["n"], r["c"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("c")).collect()}
     if not found:
         return {"langs": [], "tables": []}
     langs = sorted(found)
-    rate = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_language / found[k]))]), F.col("lang"))
+    rates = {k: min(1.0, per_language / n, CHARACTERS / len(langs) / max(1, c)) for k, (n, c) in found.items()}
+    rate = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, rates[k])]), F.col("lang"))
     sample = rows.where(bernoulli(F.col("key"), rate, seed))
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -73,7 +73,7 @@ BINS, STEPS = 640, 16
 LENGTHS = (20, 24, 28, 32, 40, 56, 80)
 GROUP = 50
 #: Middle and spread of groups too small to tell, as runs are somewhat less like writing than texts are.
-UNKNOWN = 1.0, 1.0
+UNKNOWN = 0.4, 1.0
 #: Spread that a group has at least, and neighbouring letters of even writing that are counted in with the corpus's.
 LEAST_SPREAD, EVEN = 1.0, 2000.0
 Groups = dict[tuple[str, int], tuple[float, float]]
