@@ -38,7 +38,7 @@ def running(lines: DataFrame, step: Column, name: str, across: bool = False) ->
 
 
 def read_csv(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    """Files with a header, all columns as strings; cells may hold line ends, and large files are split all the same.
+    """Files with a header, all columns as strings, in file order; cells may hold line ends, and large files are split all the same.
 
     A record begins where an even number of quotes stands before a line in its file, as quotes within cells are doubled.
     """
@@ -52,7 +52,8 @@ def read_csv(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFram
     header = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True).drop(*folders).columns
     schema = ", ".join("`" + c.replace("`", "``") + "` string" for c in header)
     cells = F.from_csv("value", F.lit(schema), {"quote": '"', "escape": '"', "mode": mode, "lineSep": "\n"})
-    return records.where("record > 1 and value <> ''").select(cells.alias("_cells"), *folders).select("_cells.*", *folders)
+    kept = records.where("record > 1 and value <> ''").orderBy("file", "record")
+    return kept.select(cells.alias("_cells"), *folders).select("_cells.*", *folders)
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
