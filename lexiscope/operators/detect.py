@@ -19,20 +19,35 @@ REACH = 256
 CONFIDENCE = {"counter-stereotype": 0.85, "derogation": 0.9, "suffix": 0.95, "stereotype": 0.85, "neutral": 0.7}
 
 
-def quick(pattern: str) -> str:
-    """The pattern behind a look at the next letter, where it starts with words: cheaper, at most places, than whether a word begins."""
-    if not pattern.startswith(r"\b"):
-        return pattern
-    rest, depth, starts = pattern[2:], 0, []
+def starts(pattern: str) -> set[str] | None:
+    """What a match of a pattern that begins with words or digits can begin with, letters or digits; None where that isn't known."""
+    rest = pattern.removeprefix(r"\b")
+    if rest.startswith(r"\d"):
+        return {r"\d"} if rest[2:3] not in ("?", "*") and not rest.startswith(r"\d{0") else None
+    if rest == pattern or not rest:
+        return None
     if not rest.startswith("("):
-        return rf"(?=[{rest[0]}]){pattern}" if rest[0].isalpha() else pattern
-    for before, c in zip(rest, rest[1:], strict=False):
+        return {rest[0]} if rest[0].isalpha() and rest[1:2] not in ("?", "*", "{") else None
+    depth, found, end = 0, set(), 0
+    for end, (before, c) in enumerate(zip(rest, rest[1:] + " ", strict=True), 1):
         depth += (before == "(") - (before == ")")
         if depth == 0:
             break
         if depth == 1 and before in "(|":
-            starts.append(c)
-    return f"(?=[{''.join(sorted(set(starts)))}]){pattern}" if all(c.isalpha() for c in starts) else pattern
+            found.add(c)
+    if not all(c.isalpha() for c in found) or rest[end : end + 1] in ("*", "{"):
+        return None
+    if rest[end : end + 1] != "?":
+        return found
+    # the group may be absent: what follows it may come first
+    after = starts(r"\b" + rest[end + 1 :])
+    return None if after is None else found | after
+
+
+def quick(pattern: str) -> str:
+    """The pattern behind a look at the next letter, where it starts with words: cheaper, at most places, than whether a word begins."""
+    first = starts(pattern) if pattern.startswith(r"\b") else None
+    return f"(?=[{''.join(sorted(first))}]){pattern}" if first else pattern
 
 
 def apart(text: Column, made: Callable[[Column], Column]) -> Column:

@@ -302,3 +302,10 @@ def test_edit_distance_equals_the_table():
             for j, b in enumerate(y, 1):
                 before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (a != b))
         assert C.edit_distance(x, y) == row[-1]
+
+
+@pytest.mark.parametrize("text", ["on 5551833 or 1833 lywh it was disgusting", "disgusting since 1833", "disgusting since Mwaka 1833"])
+def test_a_pattern_whose_first_group_may_be_absent(spark, text):
+    assert one(spark, X.blocking_context(F.col("t"), F.col("a"), F.col("c")), t=text, a="disgusting", c="historical") == "historical"
+    assert X.starts(r"\b(a|b)?c") == {"a", "b", "c"} and X.starts(r"\b(a\s)?(b|c)?\d") == {"a", "b", "c", r"\d"}
+    assert all(X.quick(p) == p for p in (r"\b(a|b)*c", r"\b(a){0,2}c", r"\bc?d", r"\b(a)?[bc]", r"\b((a|b)c|d)"))
