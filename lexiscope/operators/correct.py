@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,12 +49,21 @@ def rewritten(docs: DataFrame, lexicon: DataFrame, only_replace: bool = False) -
     return out.select("doc_id", "text", F.coalesce(fold, F.col("text")).alias("rewrite"), F.coalesce(F.size("rules"), F.lit(0)).alias("n_edits"))
 
 
-def bleu_like(a: Column, b: Column) -> Column:
+@F.pandas_udf(DoubleType())
+def bleu_like(a: pd.Series, b: pd.Series) -> pd.Series:
     """C-12: mean share of b's words and word pairs that occur in a (membership, not counts)."""
-    pairs = lambda w: F.transform(F.slice(w, 2, 1 << 20), lambda x, i: F.concat_ws(" ", F.get(w, i), x))
-    share = lambda x, y: ratio(F.size(F.filter(y, lambda g: F.array_contains(x, g))), F.size(y))
-    one = share(a, b)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.when(F.size(b) < 2, one).otherwise((one + share(pairs(a), pairs(b))) / 2))
+
+    def share(x: list, y: list) -> float:
+        known = set(x)
+        return sum(g in known for g in y) / len(y)
+
+    def one(x: list, y: list) -> float:
+        if not x or not y:
+            return 0.0
+        alone = share(x, y)
+        return alone if len(y) < 2 else (alone + share(list(pairwise(x)), list(pairwise(y)))) / 2
+
+    return pd.Series([one(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def token_overlap(a: Column, b: Column) -> Column:
@@ -60,8 +71,17 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))))
 
 
+def apart_ends(a: list, b: list) -> tuple[int, list, list]:
+    """How many words two lists share at their beginning and end, and what is left of each: that alone needs comparing."""
+    most = min(len(a), len(b))
+    head = next((i for i in range(most) if a[i] != b[i]), most)
+    tail = next((i for i in range(most - head) if a[-1 - i] != b[-1 - i]), most - head)
+    return head + tail, a[head : len(a) - tail], b[head : len(b) - tail]
+
+
 def lcs_length(a: list, b: list) -> int:
     """Longest common subsequence of two word lists, a bit per word of ``a``."""
+    same, a, b = apart_ends(a, b)
     places: dict[str, int] = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | (1 << i)
@@ -69,7 +89,7 @@ def lcs_length(a: list, b: list) -> int:
     for w in b:
         hit = row & places.get(w, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count() if a else 0
+    return same + (len(a) - row.bit_count() if a else 0)
 
 
 @F.pandas_udf(DoubleType())
@@ -87,6 +107,7 @@ def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def edit_distance(x: list, y: list) -> int:
     """Levenshtein distance of word lists, a bit per word of ``x``: vertical differences as two bit sets."""
+    _, x, y = apart_ends(x, y)
     if not x:
         return len(y)
     places: dict[str, int] = {}

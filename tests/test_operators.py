@@ -309,3 +309,17 @@ def test_a_pattern_whose_first_group_may_be_absent(spark, text):
     assert one(spark, X.blocking_context(F.col("t"), F.col("a"), F.col("c")), t=text, a="disgusting", c="historical") == "historical"
     assert X.starts(r"\b(a|b)?c") == {"a", "b", "c"} and X.starts(r"\b(a\s)?(b|c)?\d") == {"a", "b", "c", r"\d"}
     assert all(X.quick(p) == p for p in (r"\b(a|b)*c", r"\b(a){0,2}c", r"\bc?d", r"\b(a)?[bc]", r"\b((a|b)c|d)"))
+
+
+def test_scores_of_long_rewrites_take_no_quadratic_time(spark):
+    import time
+
+    words = [f"w{i % 7000}" for i in range(20_000)]
+    changed = ["neutral " + w if i % 500 == 0 else w for i, w in enumerate(words)]
+    rows = spark.createDataFrame([(1, " ".join(words), " ".join(changed)), (2, "a b a c", "a b b c"), (3, "a", "b"), (4, "a b", "")], "doc_id int, text string, rewrite string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in C.preservation(rows).collect()}
+    assert time.perf_counter() - began < 20
+    assert got[1]["rouge_l"] == pytest.approx(40_000 / 40_040) and got[1]["edit"] == pytest.approx(1 - 40 / 20_040)
+    assert (got[2]["bleu"], got[3]["bleu"], got[4]["bleu"]) == pytest.approx(((1 + 1 / 3) / 2, 0.0, 0.0))
+    assert C.lcs_length(list("abcab"), list("abxab")) == 4 and C.lcs_length(list("aaa"), list("aa")) == 2 and C.edit_distance(list("aba"), list("ababa")) == 2
