@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -50,18 +51,44 @@ def quick(pattern: str) -> str:
     return f"(?=[{''.join(sorted(first))}]){pattern}" if first else pattern
 
 
+def cue(pattern: str) -> str | None:
+    """The words or digits without which a pattern with a term can't match, as a pattern of their own."""
+    before, _, after = pattern.partition("{term}")
+    own = re.sub(r"\.\{0,\d+\}$", "", before) if before else re.sub(r"^\.\{0,\d+\}", "", after)
+    return own if own and starts(own) else None
+
+
 def apart(text: Column, made: Callable[[Column], Column]) -> Column:
     """``made(text)`` evaluated in a lambda, so that many patterns don't outgrow the size of a generated method."""
     return F.get(F.transform(F.array(text), made), F.lit(0))
 
 
+def opening(pattern: str) -> str | None:
+    """What a pattern that begins with words begins with, up to where anything may follow, without the first word limit."""
+    depth = 0
+    for i, c in enumerate(pattern):
+        depth += (c == "(") - (c == ")")
+        if depth == 0 and c == "." and pattern[i + 1 : i + 2] in ("*", "+", "{"):
+            pattern = pattern[:i]
+            break
+    return pattern[2:] if pattern.startswith(r"\b") and starts(pattern) else None
+
+
 def first_pattern(text: Column, lang: Column, table: Sequence[tuple]) -> Column:
-    """D-11, D-12: struct(category, gender) of the first pattern of the text's language that occurs; literal patterns are compiled once."""
-    out = None
-    for language, pattern, category, gender in table:
-        hit = (lang == language) & text.rlike(NOCASE + quick(pattern))
-        found = F.struct(F.lit(category).alias("category"), F.lit(gender).alias("gender"))
-        out = F.when(hit, found) if out is None else out.when(hit, found)
+    """D-11, D-12: struct(category, gender) of the first pattern of the text's language that occurs; literal patterns are compiled once.
+
+    All patterns of a language are tried only where a text holds what one of them begins with.
+    """
+    out = F
+    for language in dict.fromkeys(row[0] for row in table):
+        own = [row[1:] for row in table if row[0] == language]
+        found = reduce(lambda chosen, row: chosen.when(text.rlike(NOCASE + quick(row[0])), F.struct(F.lit(row[1]).alias("category"), F.lit(row[2]).alias("gender"))), own, F)
+        first = [opening(pattern) for pattern, _, _ in own]
+        fits = lang == language
+        if all(first):
+            letters = "".join(sorted(set().union(*[starts(pattern) for pattern, _, _ in own])))
+            fits &= text.rlike(rf"{NOCASE}(?=[{letters}])\b(?:{'|'.join(dict.fromkeys(first))})")
+        out = out.when(fits, found)
     return out
 
 
@@ -72,7 +99,7 @@ def counter_stereotype(text: Column, lang: Column) -> Column:
 def derogation(text: Column, lang: Column) -> Column:
     """D-12 with D-13: nothing where the phrase is named in order to reject it."""
     rejected = (lang == "sw") & text.rlike(NOCASE + quick(P.DEROGATION_REJECTED))
-    return F.when(~rejected, first_pattern(text, lang, P.DEROGATION))
+    return apart(first_pattern(text, lang, P.DEROGATION), lambda found: F.when(found.isNotNull() & ~rejected, found))
 
 
 def gendered_suffix(text: Column) -> Column:
@@ -87,7 +114,8 @@ def gendered_suffix(text: Column) -> Column:
         corrected = F.regexp_replace(F.trim(F.regexp_replace(text, NOCASE + pattern, "$1")), "  +", " ")
         found = F.struct(F.regexp_extract(text, NOCASE + pattern, 0).alias("from"), noun.alias("to"), F.lit(suffix).alias("suffix"), F.lit(gender).alias("gender"), corrected.alias("corrected"))
         out = F.when(fits, found).otherwise(out)
-    return F.when(~text.rlike(NOCASE + quick(P.PROGRESS)), out)
+    any_suffix = text.rlike(NOCASE + r"\s(?:" + "|".join(r"\s+".join(suffix.split()) for suffix, _, _ in P.SUFFIXES) + r")\b")
+    return F.when(any_suffix & ~text.rlike(NOCASE + quick(P.PROGRESS)), out)
 
 
 def listed_conditions(avoid_when: Column) -> Column:
@@ -123,11 +151,25 @@ def blocking_context(text: Column, term: Column, avoid_when: Column, strict_case
     filled = lambda p: reduce(lambda a, b: F.concat(a, q, b), [F.lit(x) for x in p.split("{term}")])
     near = text if near is None else near
     place = lambda p: near if "{term}" in p else text
-    hits = {c: reduce(lambda a, b: a | b, [F.regexp_instr(place(p), F.concat(F.lit(CASED if strict_case and c in ("proper_noun", "organization") else NOCASE), filled(quick(p)))) > 0 for p in ps]) for c, ps in P.CONTEXTS.items()}
+    any_of = lambda tests: reduce(lambda a, b: a | b, tests)
+
+    def hit(c: str, ps: Sequence[str]) -> Column:
+        """Patterns whose words the text must hold are tried where it holds any of them: those words are one pattern, compiled once."""
+        flags = CASED if strict_case and c in ("proper_noun", "organization") else NOCASE
+        found = lambda p: F.regexp_instr(place(p), F.concat(F.lit(flags), filled(quick(p)))) > 0
+        cued = [p for p in ps if "{term}" in p and cue(p)]
+        tests = [found(p) for p in ps if p not in cued]
+        if cued:
+            first = "".join(sorted(set().union(*[starts(cue(p)) for p in cued])))
+            tests.append(near.rlike(f"{flags}(?=[{first}])(?:{'|'.join(dict.fromkeys(map(cue, cued)))})") & any_of([found(p) for p in cued]))
+        return any_of(tests)
+
+    hits = {c: hit(c, ps) for c, ps in P.CONTEXTS.items()}
     hits["biographical"] = hits["biographical"] | (F.regexp_instr(near, filled(P.NAME_BEFORE)) > 0) | (F.regexp_instr(near, filled(P.NAME_AFTER)) > 0)
-    checked = F.create_map(*[x for c, h in hits.items() for x in (F.lit(c), F.array_contains(conditions, F.lit(c)) & h)])
-    first = F.get(F.filter(conditions, lambda c: F.try_element_at(checked, c)), F.lit(0))
-    own_name = reduce(lambda a, b: a | b, [F.contains(F.lower(F.regexp_extract(text, p, 0)), F.lower(term)) for p in P.FAMILY_NAMES])
+    # a choice, not a map: of all conditions only the listed one is evaluated
+    listed_hit = lambda c: reduce(lambda chosen, kv: chosen.when(c == kv[0], kv[1]), hits.items(), F)
+    first = F.get(F.filter(conditions, listed_hit), F.lit(0))
+    own_name = any_of([F.contains(F.lower(F.regexp_extract(text, p, 0)), F.lower(term)) for p in P.FAMILY_NAMES])
     nouns = F.transform(F.regexp_extract_all(text, F.lit(NOCASE + r"\b(\w+)\s+(?:" + "|".join(P.POSSESSIVES) + r")\b"), F.lit(1)), F.lower)
     things, people = (F.array(*[F.lit(w) for w in own]) for own in (P.THINGS, P.PEOPLE))
     decisive = F.get(F.filter(nouns, lambda n: F.array_contains(things, n) | F.array_contains(people, n)), F.lit(0))

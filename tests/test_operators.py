@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from lexiscope.functions import patterns as P
 from lexiscope.functions import text as T
 from lexiscope.operators import agreement as A
 from lexiscope.operators import correct as C
@@ -323,3 +324,18 @@ def test_scores_of_long_rewrites_take_no_quadratic_time(spark):
     assert got[1]["rouge_l"] == pytest.approx(40_000 / 40_040) and got[1]["edit"] == pytest.approx(1 - 40 / 20_040)
     assert (got[2]["bleu"], got[3]["bleu"], got[4]["bleu"]) == pytest.approx(((1 + 1 / 3) / 2, 0.0, 0.0))
     assert C.lcs_length(list("abcab"), list("abxab")) == 4 and C.lcs_length(list("aaa"), list("aa")) == 2 and C.edit_distance(list("aba"), list("ababa")) == 2
+
+
+def test_cues_and_openings_are_needed_by_their_patterns(spark):
+    """A text without a pattern's cue holds no match; only listed conditions are evaluated; a language's patterns wait for an opening."""
+    cues = {p: X.cue(p) for ps in P.CONTEXTS.values() for p in ps if "{term}" in p}
+    assert cues[r"{term}.{0,50}\b(alisema|anasema|said|says)\b"] == r"\b(alisema|anasema|said|says)\b"
+    assert cues[r"\b(mwaka\s+)?\d{4}\b.{0,50}{term}"] == r"\b(mwaka\s+)?\d{4}\b" and cues[r"\b[A-Z]{2,6}\b.{0,20}{term}"] is None
+    assert X.opening(r"\b(a|b)\b.{0,30}\bc") == r"(a|b)\b" and X.opening(r"\b(a.b|c)x") == "(a.b|c)x" and X.opening("a.*b") is None
+    texts = [("in 5551833 or 1833 he", "historical", "historical"), ("a survey of he", "legal|statistical", "statistical"), ("he, 45.5%", "statistical", "statistical"), ("he in SAID", "legal|quote", "quote"), ("court; song", "legal|artistic", None)]
+    for text, avoid, want in texts:
+        assert one(spark, X.blocking_context(F.col("t"), F.col("a"), F.col("c")), t=text, a="he", c=avoid) == want
+    found = lambda f, text, lang: one(spark, f(F.col("t"), F.col("l")), t=text, l=lang)
+    assert found(X.derogation, "yeye ni tu msichana", "sw")["category"] == "capability" and found(X.derogation, "si kweli kuwa ni tu msichana", "sw") is None
+    assert found(X.derogation, "yeye ni tu msichana", "en") is None and found(X.derogation, "They CRY like", "en")["gender"] == "female"
+    assert found(X.counter_stereotype, "Baba anapika", "sw")["gender"] == "male" and found(X.counter_stereotype, "Ababa anapika", "sw") is None
