@@ -228,7 +228,11 @@ def cascade(docs: DataFrame, lexicon: DataFrame, scores: DataFrame | None = None
 
 def noun_class(noun: Column) -> Column:
     """D-18: class of a noun by its beginning; null if none fits."""
-    n = F.lower(F.trim(noun))
+    return class_of_form(F.lower(F.trim(noun)))
+
+
+def class_of_form(n: Column) -> Column:
+    """D-18 for a noun in lower case, without blanks around it."""
     person = F.startswith(n, F.lit(P.PERSON_BEGINNING)) & reduce(lambda a, b: a | b, [F.contains(n, F.lit(s)) for s in P.PERSON_STEMS])
     out = F.when(person, "1/2")
     for name, beginnings in P.NOUN_CLASSES:
@@ -237,11 +241,18 @@ def noun_class(noun: Column) -> Column:
 
 
 def noun_profile(text: Column) -> Column:
-    """D-19: struct(m_wa, others, total) of the text's classed nouns."""
+    """D-19: struct(m_wa, others, total) of the text's classed nouns. A word is lower-cased once and classed where its first letter fits."""
+    firsts = sorted({P.PERSON_BEGINNING, *[b[0] for _, beginnings in P.NOUN_CLASSES for b in beginnings]})
     words = F.filter(stripped_tokens(text), lambda w: F.length(w) >= 3)
-    classed = F.filter(F.transform(words, lambda w: F.struct(w.alias("noun"), noun_class(w).alias("cls"))), lambda x: x["cls"].isNotNull())
-    people = F.transform(F.filter(classed, lambda x: x["cls"] == "1/2"), lambda x: x["noun"])
-    return F.struct(people.alias("m_wa"), F.size(people).alias("m_wa_count"), F.filter(classed, lambda x: x["cls"] != "1/2").alias("others"), F.size(classed).alias("total"))
+    forms = F.transform(words, lambda w: F.struct(w.alias("noun"), F.lower(F.trim(w)).alias("form")))
+    likely = F.filter(forms, lambda x: F.substring(x["form"], 1, 1).isin(firsts))
+    classed = F.filter(F.transform(likely, lambda x: F.struct(x["noun"].alias("noun"), class_of_form(x["form"]).alias("cls"))), lambda x: x["cls"].isNotNull())
+
+    def made(found: Column) -> Column:
+        people = F.transform(F.filter(found, lambda x: x["cls"] == "1/2"), lambda x: x["noun"])
+        return F.struct(people.alias("m_wa"), F.size(people).alias("m_wa_count"), F.filter(found, lambda x: x["cls"] != "1/2").alias("others"), F.size(found).alias("total"))
+
+    return apart(classed, made)
 
 
 def keyword_detector(text: Column, lang: Column) -> Column:

@@ -339,3 +339,15 @@ def test_cues_and_openings_are_needed_by_their_patterns(spark):
     assert found(X.derogation, "yeye ni tu msichana", "sw")["category"] == "capability" and found(X.derogation, "si kweli kuwa ni tu msichana", "sw") is None
     assert found(X.derogation, "yeye ni tu msichana", "en") is None and found(X.derogation, "They CRY like", "en")["gender"] == "female"
     assert found(X.counter_stereotype, "Baba anapika", "sw")["gender"] == "male" and found(X.counter_stereotype, "Ababa anapika", "sw") is None
+
+
+def test_profile_of_nouns_equals_their_classes(spark):
+    text = "Mwalimu, watoto MAJI\u00a0 Kitabu kitabu! mkulima Nyumba nyu ni wa \u212aitabu Vyombo xyz mtu"
+    words = [r["w"] for r in spark.range(1).select(F.explode(T.stripped_tokens(F.lit(text))).alias("w")).where("length(w) >= 3").collect()]
+    classes = [one(spark, X.noun_class(F.col("n")), n=w) for w in words]
+    got = one(spark, X.noun_profile(F.col("t")), t=text)
+    assert got["m_wa"] == [w for w, c in zip(words, classes, strict=True) if c == "1/2"] and got["total"] == sum(c is not None for c in classes)
+    assert [tuple(x) for x in got["others"]] == [(w, c) for w, c in zip(words, classes, strict=True) if c not in (None, "1/2")] and len(got["others"]) > 4
+    assert spark.range(1).select(X.noun_profile(F.lit(None).cast("string")).alias("p")).select("p.total").first()[0] is None
+    plan = spark.createDataFrame([("a",)], "t string").select(X.noun_profile(F.col("t")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1  # the classed words are found once
