@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lexiscope.sources.scratch import saved
+
 LEXICON = "language biased neutral_primary neutral_alternatives tags pos scope register severity bias_label stereotype_category explicitness ngeli number requires_agreement agreement_notes patterns constraints avoid_when example_biased example_neutral".split()
 LEXICON_DEFAULTS = {"severity": "replace", "pos": "noun", "bias_label": "stereotype", "stereotype_category": "profession", "explicitness": "explicit", "register": "formal", "requires_agreement": "false"}
 TEXT_COLUMNS = ("text", "sentence", "translation", "utterance", "content")
@@ -70,13 +74,77 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return found.select("file", *folders, names.alias("header"), "records")
 
 
+def runs_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, block, value, blank) of lines in order as (file, block, k, edge, lines): runs between blank lines, k of them before it.
+
+    ``edge`` marks runs that other blocks may go on with: 0 what stands before a block's first blank line, 1 what stands
+    after its last, 0 also all of a block without one. Both come for every block, also where they are empty.
+    """
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("k", pa.int64()), ("edge", pa.int32()), ("lines", pa.list_(pa.string()))])
+    at, k, kept = None, 0, []
+
+    def rows(file: str, block: int, ks: list, edges: list, lines: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(ks), pa.string()), pa.array([block] * len(ks), pa.int64()), pa.array(ks, pa.int64()), pa.array(edges, pa.int32()), lines], schema=schema)
+
+    def run(edge: int | None) -> pa.RecordBatch:
+        values = pa.concat_arrays(kept) if kept else pa.array([], pa.string())
+        return rows(*at, [k], [edge], pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+
+    for batch in batches:
+        files, blocks, values = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
+        codes = pc.dictionary_encode(files).indices.to_numpy()
+        blank = batch.column(3).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((np.diff(codes) != 0) | (np.diff(blocks) != 0)) + 1
+        for start, stop in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+            if start == stop:
+                continue
+            here = (files[int(start)].as_py(), int(blocks[start]))
+            if here != at:
+                if at is not None:
+                    yield run(1 if k else 0)
+                at, k, kept = here, 0, []
+            ends = np.flatnonzero(blank[start:stop]) + start
+            if not len(ends):
+                kept.append(values.slice(start, stop - start))
+                continue
+            kept.append(values.slice(start, ends[0] - start))
+            yield run(None if k else 0)
+            # runs between two blank lines of the batch, the empty ones left out
+            begins, lengths = ends[:-1] + 1, np.diff(ends) - 1
+            full = np.flatnonzero(lengths > 0)
+            if len(full):
+                inner = values.slice(int(ends[0]), int(ends[-1] - ends[0])).filter(pa.array(~blank[ends[0] : ends[-1]]))
+                offsets = np.concatenate([[0], np.cumsum(lengths[full])]).astype(np.int32)
+                yield rows(*at, (full + k + 1).tolist(), [None] * len(full), pa.ListArray.from_arrays(pa.array(offsets), inner))
+            k += len(ends)
+            kept = [values.slice(int(ends[-1]) + 1, int(stop - ends[-1]) - 1)]
+    if at is not None:
+        yield run(1 if k else 0)
+
+
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sentence, lines) of tagged files: any blank line ends a sentence, whatever the line ends are."""
+    """(file, sentence, lines) of tagged files: any blank line ends a sentence, whatever the line ends are.
+
+    ``sentence`` puts a file's sentences in order. Lines stay in the task that reads them, and are saved as the runs between
+    blank lines; only what stands at a block's edges, which sentences may cross, is shuffled.
+    """
     lines = read_lines(spark, path)
-    blank = F.col("value").rlike(r"^\s*$")
-    placed = running(lines, blank.cast("int"), "sentence").where(~blank)
-    values = F.transform(F.array_sort(F.collect_list(F.struct("block", "n", "value"))), lambda x: F.trim(F.regexp_replace(x["value"], r"^\s+|\s+$", "")))
-    return placed.groupBy("file", "sentence").agg(values.alias("lines"))
+    # patterns only where a line ends in what they take for a line's end; to trim is the same elsewhere
+    value, ends = F.btrim("value", F.lit(" \t\n\x0b\f\r")), ("\x85", "\u2028", "\u2029")
+    odd = F.substring(value, -1, 1).isin(*ends)
+    trimmed = F.when(odd, F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))).otherwise(value)
+    runs = lines.select("file", "block", trimmed.alias("value"), F.when(odd, F.col("value").rlike(r"^\s*$")).otherwise(value == "").alias("blank"))
+    runs = saved(runs.mapInArrow(runs_of_lines, "file string, block long, k long, edge int, lines array<string>"))
+    # a block's lines begin after its start, so that its runs are fewer than its bytes
+    numbered = runs.withColumn("sentence", F.col("block") + F.col("k"))
+    inner = numbered.where("edge is null")
+    before = W.partitionBy("file").orderBy("block", "edge")
+    edges = numbered.where("edge is not null").withColumn("group", F.sum("edge").over(before))
+    part = F.struct("block", "edge", "sentence", "lines")
+    parts = F.filter(F.array_sort(F.collect_list(part)), lambda x: F.size(x["lines"]) > 0)
+    whole = edges.groupBy("file", "group").agg(parts.alias("parts")).where(F.size("parts") > 0)
+    crossed = whole.select("file", F.get("parts", F.lit(0))["sentence"].alias("sentence"), F.flatten(F.transform("parts", lambda x: x["lines"])).alias("lines"))
+    return inner.where(F.size("lines") > 0).select("file", "sentence", "lines").unionByName(crossed)
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:

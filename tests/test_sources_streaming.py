@@ -163,3 +163,28 @@ def test_any_blank_line_ends_a_sentence(spark, tmp_path, split, end):
         assert len({r["sentence"] for r in rows}) == 6
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("split", [7, 64, 1 << 27])
+def test_sentences_of_any_blocks_without_shuffling_lines(spark, tmp_path, split):
+    """As lines cut by blank ones in one pass; only edges of blocks go through an exchange, and no line meets a join."""
+    import random
+
+    rng = random.Random(split)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        want = []
+        for name in range(6):
+            lines = [rng.choice(["", " ", "a O", "Jane B-PER", " long" * 9 + " O"]) for _ in range(rng.choice([0, 1, 40]))]
+            (tmp_path / f"f{name}").write_text("\n".join(lines))
+            runs = "\n".join(x.strip() for x in lines).split("\n\n")
+            want += [(f"f{name}", [x for x in run.split("\n") if x]) for run in runs if run.strip()]
+        rows = S.read_sentences(spark, str(tmp_path))
+        got = [(r["file"].rsplit("/")[-1], r["lines"]) for r in rows.orderBy("file", "sentence").collect()]
+        assert got == want and rows.groupBy("file", "sentence").count().where("count > 1").count() == 0
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and rows._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") + plan.count("Aggregate") <= 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
