@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -49,6 +50,17 @@ def eval_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", " "), " +", " "))
 
 
+def settled_characters(blocks: Sequence[tuple[int, int]] = ((0, 0x2FF), (0x370, 0x482), (0x48A, 0x52F), (0x2010, 0x204F), (0x20A0, 0x20BF))) -> str:
+    """A pattern's class of characters of which any text is in NFKC form: each is its own form, and none combines."""
+    own = [c for a, b in blocks for c in range(a, b + 1) if unicodedata.is_normalized("NFKC", chr(c)) and not unicodedata.category(chr(c)).startswith(("M", "C")) or c in range(0x80)]
+    runs = [(c, next(e for e in range(c, 0x10FFFF) if e + 1 not in set(own))) for c in own if c - 1 not in own]
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs)
+
+
+#: Found where a text may not be in NFKC form; most characters are ASCII and need one comparison.
+UNSETTLED = rf"[^\x00-\x7F](?<![{settled_characters()}])"
+
+
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """NFKC form, which Spark SQL lacks."""
@@ -56,8 +68,9 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def clean_text(text: Column) -> Column:
-    """P-01: NFKC, blanks collapsed and trimmed; null where nothing is left."""
-    return F.nullif(F.trim(F.regexp_replace(nfkc(text), r"\s+", " ")), F.lit(""))
+    """P-01: NFKC, blanks collapsed and trimmed; null where nothing is left. Only texts that may change go to Python."""
+    form = F.coalesce(nfkc(F.when(text.rlike(UNSETTLED), text)), text)
+    return F.nullif(F.trim(F.regexp_replace(form, r"\s+", " ")), F.lit(""))
 
 
 def letter_share(text: Column) -> Column:

@@ -351,3 +351,18 @@ def test_profile_of_nouns_equals_their_classes(spark):
     assert spark.range(1).select(X.noun_profile(F.lit(None).cast("string")).alias("p")).select("p.total").first()[0] is None
     plan = spark.createDataFrame([("a",)], "t string").select(X.noun_profile(F.col("t")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1  # the classed words are found once
+
+
+def test_only_texts_that_may_change_are_normalised(spark):
+    import re
+    import unicodedata
+
+    settled = re.compile(f"[{re.sub(r'x.([0-9a-f]+).', lambda m: chr(92) + 'U' + m[1].rjust(8, '0'), T.settled_characters()).replace(chr(92) * 2, chr(92))}]")
+    own = [chr(c) for c in range(0x3000) if settled.match(chr(c))]
+    assert {"a", "\u00e9", "\u017e"} <= set(own) and not {"\u00a0", "\u0301", "\ufb01", "\u2026", "\u00bd"} & set(own)
+    assert all(unicodedata.is_normalized("NFKC", a + b) for a in own for b in own[::7])
+    texts = ["plain  text ", "caf\u00e9 na\u00efve", "cafe\u0301", "\u00bd\u00a0x", "\ufb01n", "\U0001d400 b", " \n ", "", None, "a\u2026"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.clean_text(F.col("t")).alias("c"), F.col("t").rlike(T.UNSETTLED).alias("odd"))
+    got = {r["i"]: r for r in rows.collect()}
+    assert [got[i]["c"] for i in range(10)] == ["plain text", "caf\u00e9 na\u00efve", "caf\u00e9", "1\u20442 x", "fin", "A b", None, None, None, "a..."]
+    assert [i for i in range(10) if got[i]["odd"]] == [2, 3, 4, 5, 9]
