@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ RULE_COLUMNS = ("rule_no", "biased", "neutral_primary", "severity", "stereotype_
 SMALL_TERMS, LEXICON_BYTES = 64, 64 << 20
 #: Bytes of a term in a trie beside its text, generously.
 TERM_BYTES = 400
+#: Bytes of the bitmap, at most, that keeps runs of words out of the join with a larger lexicon.
+BITMAP_BYTES = 64 << 20
 #: The words of ``tokens`` in Python, and words and what stands between them in turn.
 WORD, WORD_OR_NOT = re.compile(r"\w+"), re.compile(r"\w+|\W+")
 
@@ -32,8 +36,8 @@ def matches(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text: s
 
     The theta join never compares texts with rules one by one. A lexicon of few terms becomes literals: texts keep
     what of their tokens it holds before anything is exploded, phrases are patterns compiled once. A larger one, up to
-    ``lexicon_bytes``, becomes a trie of words that Arrow functions walk along each text. Beyond that tokens and token pairs
-    of the texts meet the rules' first two by an equi join. The lexicon is read more than once: save it if it is costly.
+    ``lexicon_bytes``, becomes a trie of words that Arrow functions walk along each text. Beyond that runs of a text's words
+    meet the terms by an equi join. The lexicon is read more than once: save it if it is costly.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("m_text"))
     few = [r["biased"] for r in lexicon.select("biased").limit(small + 1).collect()]
@@ -127,15 +131,63 @@ def trie_matches(source: DataFrame, lexicon: DataFrame) -> DataFrame:
     return met.where(bare).unionByName(odd.select("doc_id", *lexicon.columns))
 
 
+def bitmap_of(cores: DataFrame, size: int) -> bytes:
+    """A bit for each checksum of ``core``, modulo the bitmap's bits."""
+    places = cores.select((F.crc32(F.encode("core", "utf-8")) % (8 * size)).alias("p")).distinct().toArrow().column(0).to_numpy()
+    bits = np.zeros(size, np.uint8)
+    np.bitwise_or.at(bits, places >> 3, np.left_shift(1, places & 7).astype(np.uint8))
+    return bits.tobytes()
+
+
+def grams(text: str, most: int, bits: bytes) -> set[str]:
+    """Runs of one to ``most`` words of a lower-cased text, with what stands between them, whose checksum has a bit."""
+    found: set[str] = set()
+    spans = [m.span() for m in WORD.finditer(text)]
+    size = 8 * len(bits)
+    for i, (start, end) in enumerate(spans):
+        at, sum_ = start, 0
+        for k in range(min(most, len(spans) - i)):
+            end = spans[i + k][1]
+            sum_ = zlib.crc32(text[at:end].encode("utf-8", "surrogatepass"), sum_)
+            at = end
+            place = sum_ % size
+            if bits[place >> 3] >> (place & 7) & 1 and (k == 0 or not (start and is_mark(text[start - 1])) and not (end < len(text) and is_mark(text[end]))):
+                found.add(text[start:end])
+    return found
+
+
 def joined_matches(source: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Rules in texts (doc_id, m_text) by an equi join of tokens and token pairs; only what a phrase has met goes back to its text."""
-    words = tokens(F.col("biased"))
-    rules = lexicon.withColumn("m_key", F.array_join(F.slice(words, 1, 2), " ")).withColumn("m_phrase", F.size(words) > 1)
-    of_text = source.select("doc_id", tokens(F.col("m_text")).alias("w"))
-    pairs = F.transform(F.slice("w", 2, 1 << 30), lambda x, i: F.concat_ws(" ", F.get("w", i), x))
-    met = of_text.select("doc_id", F.explode_outer(F.array_distinct(F.concat("w", pairs))).alias("m_key")).join(rules, "m_key")
-    phrases = met.where("m_phrase").join(source, "doc_id").where(F.regexp_instr("m_text", word_pattern(F.col("biased"))) > 0)
-    return met.where(~F.col("m_phrase")).select("doc_id", *lexicon.columns).unionByName(phrases.select("doc_id", *lexicon.columns))
+    """Rules in texts (doc_id, m_text) by an equi join of whole terms with the texts' runs of words.
+
+    A bitmap of the terms' checksums, bounded in bytes, keeps most runs that are no term out of the join.
+    A term whose ends aren't words is verified in the text again.
+    """
+    bare = F.col("biased").rlike(r"^[\p{L}\p{N}_].*[\p{L}\p{N}_]$") | (F.size(tokens(F.col("biased"))) == 1)
+    core = F.regexp_extract(F.lower("biased"), r"(?s)[\p{L}\p{N}_](?:.*[\p{L}\p{N}_])?", 0)
+    rules = lexicon.withColumn("core", core).where("core <> ''")
+    facts = rules.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(tokens(F.col("biased")))).alias("most"), F.count_if(~bare).alias("odd")).first()
+    size = min(BITMAP_BYTES, 1 << max(10, (2 * facts["n"]).bit_length()))
+    known = source.sparkSession.sparkContext.broadcast(bitmap_of(rules, size))
+    most = facts["most"] or 0
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = known.value
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                places, found = [], []
+                for k, text in enumerate(batch.column(1).slice(start, 256).to_pylist(), start):
+                    terms = grams(text, most, bits) if text else ()
+                    places.extend([k] * len(terms))
+                    found.extend(terms)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array(found, pa.string())], names=["doc_id", "m_term"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    met = source.select("doc_id", F.lower("m_text").alias("m_text")).mapInArrow(own, f"doc_id {kind}, m_term string")
+    met = met.join(rules, F.col("m_term") == F.col("core")).select("doc_id", *lexicon.columns)
+    if not facts["odd"]:
+        return met
+    odd = met.where(~bare).join(source, "doc_id").where(F.regexp_instr("m_text", word_pattern(F.col("biased"))) > 0)
+    return met.where(bare).unionByName(odd.select("doc_id", *lexicon.columns))
 
 
 def detection(docs: DataFrame, lexicon: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -366,3 +366,14 @@ def test_only_texts_that_may_change_are_normalised(spark):
     got = {r["i"]: r for r in rows.collect()}
     assert [got[i]["c"] for i in range(10)] == ["plain text", "caf\u00e9 na\u00efve", "caf\u00e9", "1\u20442 x", "fin", "A b", None, None, None, "a..."]
     assert [i for i in range(10) if got[i]["odd"]] == [2, 3, 4, 5, 9]
+
+
+def test_a_large_lexicon_of_terms_that_begin_alike(spark):
+    """No text meets all rules that begin with its words; runs whose checksum has a bit but that are no term are left out."""
+    lex = spark.range(3000).select(F.col("id").alias("rule_no"), F.concat(F.lit("of the w"), "id").alias("biased"), F.lit("x").alias("neutral_primary"), F.lit("replace").alias("severity"), F.lit("c").alias("stereotype_category"))
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("Of the W"), "id", F.lit(", of the w"), F.col("id") + 2900, F.lit(" of, the w1")).alias("text"))
+    got = sorted(map(tuple, L.matches(docs, lex, small=0, lexicon_bytes=0).select("doc_id", "rule_no").collect()))
+    assert got == sorted({(i, i) for i in range(400)} | {(i, i + 2900) for i in range(100)})
+    bits = L.bitmap_of(spark.createDataFrame([("of the",), ("é",)], "core string"), 1024)
+    assert L.grams("x of the é the of", 3, bits) == {"of the", "é"} and L.grams("́of the", 3, bits) == set()
+    assert {"of the", "é", "of"} <= L.grams("of the é", 1 << 20, b"\xff") and L.grams("", 3, bits) == set()
