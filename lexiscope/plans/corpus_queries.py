@@ -57,7 +57,7 @@ def _digest(rows: DataFrame) -> DataFrame:
 
 add("J01_mined_lexicon", lambda s, d: _digest(L.matches(docs(s, d), mined_lexicon(s, d))),
     f"WITH {MINED} SELECT doc_id, count(*) AS n_terms, md5(string_agg(biased, '|' ORDER BY biased)) AS terms FROM found GROUP BY 1")
-add("D01_mined_lexicon", lambda s, d: L.detection(docs(s, d), mined_lexicon(s, d)).select("doc_id", "n_replace", "n_warn", "has_bias", "primary_category"),
+add("D01_mined_lexicon", lambda s, d: L.detection(docs(s, d), mined_lexicon(s, d), edits=False).select("doc_id", "n_replace", "n_warn", "has_bias", "primary_category"),
     f"""WITH {MINED} SELECT doc_id, CAST(count(f.biased) FILTER (WHERE severity <> 'warn') AS INTEGER) AS n_replace, CAST(count(f.biased) FILTER (WHERE severity = 'warn') AS INTEGER) AS n_warn,
   count(f.biased) FILTER (WHERE severity <> 'warn') > 0 AS has_bias, arg_min(stereotype_category, (rule_no, stereotype_category)) FILTER (WHERE severity <> 'warn') AS primary_category
 FROM documents LEFT JOIN found f USING (doc_id) GROUP BY 1""")

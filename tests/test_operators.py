@@ -377,3 +377,33 @@ def test_a_large_lexicon_of_terms_that_begin_alike(spark):
     bits = L.bitmap_of(spark.createDataFrame([("of the",), ("é",)], "core string"), 1024)
     assert L.grams("x of the é the of", 3, bits) == {"of the", "é"} and L.grams("́of the", 3, bits) == set()
     assert {"of the", "é", "of"} <= L.grams("of the é", 1 << 20, b"\xff") and L.grams("", 3, bits) == set()
+
+
+LEXICON_SCHEMA = "rule_no int, biased string, neutral_primary string, severity string, stereotype_category string"
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 18])
+def test_detection_without_edit_lists_counts_the_same(spark, monkeypatch, pairs):
+    """Counts by batches of texts, of any size, equal those of edit lists, in every form of the lexicon join."""
+    monkeypatch.setattr(L, "PAIRS", pairs)
+    terms = ["a", "b c", "\u00e9", "d-e", "a b c", "c b", "B C", "", None, "++", "x++ y!", "  b", "a\u0301 b", "b, c", "of", "of of of", "\u00df s", "Of"]
+    rows = [(None if t == "c b" else 90 - i, t, "of" if t == "of" else "x", [None, "warn", "replace", "replace"][i % 4], None if i % 5 == 0 else f"c{i % 3}") for i, t in enumerate(terms)]
+    lex = spark.createDataFrame(rows, LEXICON_SCHEMA)
+    texts = ["a b c", "b  c", "B C", "\u00e9a \u00c9", "d-e", "d e", "ab c", "x++ y!z", "x++ y! z", "b, c", "of of", "of of of of", "a\u0301 b", "b c\u0301", "", None, "++", "\nb c\n", "\u1e9e S \u00df s", "c b c b"]
+    docs = spark.createDataFrame([(f"d{i % 17}", t) for i, t in enumerate(texts)] + [(None, "a b c")], "doc_id string, text string").repartition(3)
+    columns = ("doc_id", "n_replace", "n_warn", "has_bias", "primary_category")
+    want = sorted(map(str, L.detection(docs, lex).select(*columns).collect()))
+    assert len(want) == 21 and sum("has_bias=True" in r for r in want) > 8
+    for small, size in ((64, 0), (0, 1 << 20), (0, 2000), (0, 0)):
+        got = L.detection(docs, lex, edits=False, small=small, lexicon_bytes=size).select(*columns)
+        assert got.schema == L.detection(docs, lex).select(*columns).schema and sorted(map(str, got.collect())) == want
+
+
+@pytest.mark.parametrize("size", [1 << 30, 0])
+def test_a_term_is_passed_on_once_for_many_texts(spark, size):
+    """What is shuffled to meet the rules has a row for each term of a batch of texts, not one for each term of each text."""
+    lex = spark.range(200).select(F.col("id").alias("rule_no"), F.concat(F.lit("of the w"), "id").alias("biased"), F.lit("x").alias("neutral_primary"), F.lit("replace").alias("severity"), F.lit("c").alias("stereotype_category"))
+    text = " ".join(f"of the w{i}" for i in range(200))
+    docs = spark.range(0, 500, 1, 2).select(F.col("id").alias("doc_id"), F.lit(text).alias("m_text"))
+    met = L.term_matches(docs, lex, size).select("rule_no", F.size("m_docs").alias("n")).collect()
+    assert len(met) == 2 * 200 and sum(r["n"] for r in met) == 500 * 200
