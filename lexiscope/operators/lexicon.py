@@ -138,7 +138,7 @@ def odd_matches(met: DataFrame, source: DataFrame, lexicon: DataFrame) -> DataFr
 
 def term_matches(source: DataFrame, lexicon: DataFrame, lexicon_bytes: int) -> DataFrame:
     """(m_batch, m_docs, m_bare, rule columns): rules and the texts (doc_id, m_text) of a batch that have their words in a row."""
-    size = lexicon.agg(F.sum(F.octet_length("biased") + TERM_BYTES).alias("b")).first()["b"]
+    size = lexicon.agg(F.sum(F.octet_length("biased") + TERM_BYTES).alias("b")).first()["b"] or 0
     met, key = trie_terms(source, lexicon) if size <= lexicon_bytes else run_terms(source, lexicon)
     rules = lexicon.withColumn("m_bare", is_bare(F.col("biased"))).withColumn("m_key", key)
     return met.join(rules, F.col("m_term") == F.col("m_key")).select("m_batch", "m_docs", "m_bare", *lexicon.columns)
@@ -372,10 +372,11 @@ def detected(source: DataFrame, lexicon: DataFrame, small: int, lexicon_bytes: i
         words, others = rules.where(is_word), rules.where(~is_word)
         known = counted(words, F.lower("biased").alias("word")).groupBy("word").agg(F.sum("n_replace").alias("n_replace"), F.sum("n_warn").alias("n_warn"), first.alias("first"))
         parts = word_counts(source, known.select("word", "n_replace", "n_warn", "first.*"), schema)
-        met = term_matches(source, others, lexicon_bytes)
-        parts = parts.unionByName(counted(met.where("m_bare"), "m_batch", "m_docs").groupBy("m_batch").applyInArrow(batch_counts, schema))
-        if has_odd(others):
-            parts = parts.unionByName(counted(odd_matches(met, source, others), "doc_id"))
+        if not others.isEmpty():
+            met = term_matches(source, others, lexicon_bytes)
+            parts = parts.unionByName(counted(met.where("m_bare"), "m_batch", "m_docs").groupBy("m_batch").applyInArrow(batch_counts, schema))
+            if has_odd(others):
+                parts = parts.unionByName(counted(odd_matches(met, source, others), "doc_id"))
     sums = [F.sum(c).cast("int").alias(c) for c in ("n_replace", "n_warn")]
     return parts.groupBy("doc_id").agg(first["stereotype_category"].alias("primary_category"), *sums)
 

@@ -407,3 +407,11 @@ def test_a_term_is_passed_on_once_for_many_texts(spark, size):
     docs = spark.range(0, 500, 1, 2).select(F.col("id").alias("doc_id"), F.lit(text).alias("m_text"))
     met = L.term_matches(docs, lex, size).select("rule_no", F.size("m_docs").alias("n")).collect()
     assert len(met) == 2 * 200 and sum(r["n"] for r in met) == 500 * 200
+
+
+def test_detection_by_a_lexicon_of_single_words_only(spark):
+    lex = spark.createDataFrame([(i, t, "x", k, f"c{i}") for i, (t, k) in enumerate([("the", "warn"), ("Cat", "replace"), ("dog", "replace"), ("the", "replace")])], LEXICON_SCHEMA)
+    docs = spark.createDataFrame([(1, "The cat, the dog"), (2, "a dog and a dog"), (3, "none"), (4, "THE")], "doc_id long, text string")
+    got = L.detection(docs, lex, edits=False, small=0).select("doc_id", "n_replace", "n_warn", "has_bias", "primary_category")
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 1, True, "c1"), (2, 1, 0, True, "c2"), (3, 0, 0, False, None), (4, 1, 1, True, "c3")]
+    assert L.matches(docs, lex.where("false"), small=-1).count() == 0
